@@ -301,7 +301,7 @@ _HOP_OUT = "source_md, chunk_index, info_pair_index, question, answer, steps, fa
 def multihop_extract(spark, sf):
     contexts = MultiHopContexts("en")(WordChunks(256)(documents(spark, sf)))
     read = with_multihop_pairs(model("multihop").ask(contexts, "multihop", F.col("context")), True, "pairs")
-    each = read.select("source_md", "chunk_index", "info_pair_index", F.posexplode("pairs").alias("j", "p"))
+    each = read.select("source_md", "chunk_index", "info_pair_index", F.posexplode(F.array_compact("pairs")).alias("j", "p"))
     return bigs(
         each.select(
             "source_md", "chunk_index", "info_pair_index", "j", "p.question", "p.answer",
@@ -562,7 +562,7 @@ _prompt_checks()
 
 # --- whole flows ----------------------------------------------------------------------------------------
 
-_FILTER = " AND ".join(f"{g} >= 2" for g in GRADES)
+_FILTER = " AND ".join(f"{g} >= 1" for g in GRADES)
 _ALPACA = "Please answer the following question based on the provided information."
 N1_SQL = (
     f"{SINGLE_SQL}, {scores_sql('single')}, kept AS (SELECT * FROM scored WHERE {_FILTER})"
@@ -576,7 +576,7 @@ N1_SQL = (
 )
 def markdown_qa(spark, sf):
     stages = flows.markdown_qa(
-        documents(spark, sf), model("singlehop", "scores"), question_num=2, grades=GradeFilter.all_at(2), language="en"
+        documents(spark, sf), model("singlehop", "scores"), question_num=2, grades=GradeFilter.all_at(1), language="en"
     )
     return bigs(stages["qa_export"])
 
@@ -590,7 +590,7 @@ def markdown_qa(spark, sf):
 )
 def markdown_qa_edited(spark, sf):
     stages = flows.markdown_qa(
-        documents(spark, sf), model("singlehop", "scores", "edits"), question_num=2, grades=GradeFilter.all_at(2), language="en",
+        documents(spark, sf), model("singlehop", "scores", "edits"), question_num=2, grades=GradeFilter.all_at(1), language="en",
         expand="contextual", think=True,
     )
     return bigs(stages["qa_export"])
@@ -654,7 +654,7 @@ def markdown_multihop_qa(spark, sf):
 )
 def stage_count_table(spark, sf):
     stages = flows.markdown_qa(
-        documents(spark, sf), model("singlehop", "scores"), question_num=2, grades=GradeFilter.all_at(2), language="en"
+        documents(spark, sf), model("singlehop", "scores"), question_num=2, grades=GradeFilter.all_at(1), language="en"
     )
     return stage_counts(stages)
 
@@ -702,7 +702,7 @@ def width_table(spark, sf):
     "N7 R1 F4",
     f"WITH {SINGLE_SQL}, {scores_sql('single')} SELECT 'qa-' || (row_number() OVER (ORDER BY source_md, chunk_index, i, j) - 1) AS id, "
     "row_number() OVER (ORDER BY source_md, chunk_index, i, j) - 1 AS sort_index, source_md, chunk_index, question, "
-    f"{_FILTER.replace('2', '3')} AS filter_passed, false AS deleted FROM scored",
+    f"{_FILTER.replace(">= 1", ">= 3")} AS filter_passed, false AS deleted FROM scored",
 )
 def review_session(spark, sf):
     items = flows.review_session(

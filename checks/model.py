@@ -63,10 +63,8 @@ def _tag(level1: str, level2: Column | str, task: str, style: str) -> Column:
     return _obj(level1_name=level1, level2_name=level2, task_type=task, reasoning_style=style)
 
 
-def rules() -> dict[str, dict[str, Column]]:
-    """All response rules by flow; built on call because columns need a session."""
+def singlehop_rules() -> dict[str, Column]:
     n = L("chunk_text")
-
     instructions = _case(
         n % 5,
         '["Ask who acts","Ask what follows"]',
@@ -75,7 +73,6 @@ def rules() -> dict[str, dict[str, Column]]:
         "no list here",
         '{"a": 1}',
     )
-
     _q = F.concat("generated_prompt", F.lit(" in "), n, F.lit(" characters?"))
     _a = F.md5("chunk_text")
     pairs = _case(
@@ -93,7 +90,10 @@ def rules() -> dict[str, dict[str, Column]]:
         ),
         "",
     )
+    return {"instructions": instructions, "pairs": pairs}
 
+
+def edit_rules() -> dict[str, Column]:
     _expanded = {"expanded_question": F.concat(F.lit("More: "), "question"), "expanded_answer": F.concat("answer", F.lit(" [grounded]"))}
     expand = _case(
         (L("question") + L("answer")) % 5,
@@ -110,9 +110,11 @@ def rules() -> dict[str, dict[str, Column]]:
         F.concat(F.lit("x "), _obj(think=F.lit(None).cast("string"), answer=C("question"))),
         "",
     )
+    return {"expand": expand, "think": think}
 
-    _clean = {c: F.translate(c, "{}", "") for c in ("premise", "intermediate", "conclusion")}
 
+def multihop_rules() -> dict[str, Column]:
+    _clean = {c: F.translate(c, "{}", "") for c in ("premise", "intermediate", "conclusion")}
     _hop_q = F.concat(F.lit("How do "), L("premise"), F.lit(" and "), L("intermediate"), F.lit(" meet?"))
     multihop = _case(
         L("context") % 5,
@@ -139,7 +141,11 @@ def rules() -> dict[str, dict[str, Column]]:
             supporting_facts=F.array("premise", F.lit(""), "intermediate", F.lit("third")), type="plain",
         ),
     )
+    return {"multihop": multihop}
+
 
+def atomic_rules() -> dict[str, Column]:
+    n = L("chunk_text")
     atomic = {
         "identifier": _case(
             n % 3,
@@ -174,7 +180,11 @@ def rules() -> dict[str, dict[str, Column]]:
             "none",
         ),
     }
+    return atomic
+
 
+def taxonomy_rules() -> dict[str, Column]:
+    n = L("chunk_text")
     _size = F.when(n < 1000, F.lit("Short")).otherwise(F.lit("Long"))
     taxonomy = {
         "tags": _case(
@@ -189,7 +199,10 @@ def rules() -> dict[str, dict[str, Column]]:
         ),
         "taxonomy_answer": F.when(L("question") % 4 == 0, F.lit("")).otherwise(_obj(answer=F.concat(F.lit(" Answer "), F.md5("chunk_text")))),
     }
+    return taxonomy
+
 
+def depth_rules() -> dict[str, Column]:
     depth = {
         "identifier": _obj(content_identifier=F.concat(F.lit("subject "), L("answer"))),
         "superset": F.when(L("_subject") % 6 == 0, F.lit('{"identifier": "x"}')).otherwise(
@@ -206,12 +219,14 @@ def rules() -> dict[str, dict[str, Column]]:
             F.lit('{"answer_score": 0}')
         ),
     }
+    return depth
 
+
+def width_rules() -> dict[str, Column]:
     _left, _right = C("left.idx").cast("string"), C("right.idx").cast("string")
     _merged_q = F.concat(C("left.question"), F.lit(" / "), C("right.question"))
-
     width = {
-        "identifier": depth["identifier"],
+        "identifier": depth_rules()["identifier"],
         "width_merge": F.when(
             L(C("left.question")) % 13 == 5, _list(_merged(_merged_q, F.concat(F.lit("["), _left, F.lit(", 99999999]"))))
         ).otherwise(
@@ -232,22 +247,25 @@ def rules() -> dict[str, dict[str, Column]]:
         "width_answer": F.when(L("question") % 5 == 4, F.lit('[{"llm_answer": null}]')).otherwise(F.lit('[{"llm_answer": "unknown"}]')),
         "width_recall": F.when(L("answer") % 3 == 2, F.lit('{"answer_score": 2}')).otherwise(F.lit('{"answer_score": 0}')),
     }
+    return width
 
-    scores = {dimension: score_rule(k) for k, dimension in enumerate(DIMENSIONS)}
-    edits = {"expand": expand, "think": think}
-    return {
-        "singlehop": {"instructions": instructions, "pairs": pairs},
-        "atomic": atomic,
-        "taxonomy": taxonomy,
-        "multihop": {"multihop": multihop},
-        "depth": depth,
-        "width": width,
-        "scores": scores,
-        "edits": edits,
-    }
+
+def score_rules() -> dict[str, Column]:
+    return {dimension: score_rule(k) for k, dimension in enumerate(DIMENSIONS)}
+
+
+FLOWS = {
+    "singlehop": singlehop_rules,
+    "atomic": atomic_rules,
+    "taxonomy": taxonomy_rules,
+    "multihop": multihop_rules,
+    "depth": depth_rules,
+    "width": width_rules,
+    "scores": score_rules,
+    "edits": edit_rules,
+}
 
 
 def model(*flows: str) -> ExpressionGenerator:
     """The stand-in for the stages of the named flows."""
-    known = rules()
-    return ExpressionGenerator({stage: rule for flow in flows for stage, rule in known[flow].items()})
+    return ExpressionGenerator({stage: rule for flow in flows for stage, rule in FLOWS[flow]().items()})

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from qaspark.functions.text import SPACE_CODEPOINTS, WS
+from qaspark.sources.tables import spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +44,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its whole text."""
-    return table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source_md"), "text")
+    scan = table(spark, sf, "documents").select("doc_id", "text")
+    return spread(scan).select(F.concat(F.lit("doc-"), "doc_id").alias("source_md"), "text")
 
 
 def headed_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,12 +55,13 @@ def headed_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\n\n###  About "), "lang", F.lit(" \n\n\n"), F.lit("Document "), "doc_id", F.lit(" of "), "source",
         F.lit(" has "), "n_chars", F.lit(" characters. It is written in "), "lang", F.lit("."),
     )
-    return table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source_md"), body.alias("text"))
+    scan = spread(table(spark, sf, "documents"))
+    return scan.select(F.concat(F.lit("doc-"), "doc_id").alias("source_md"), body.alias("text"))
 
 
 def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn and the assistant turn after it as a question record."""
-    turns = table(spark, sf, "conversations")
+    turns = spread(table(spark, sf, "conversations"))
     user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     reply = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return user.join(reply, ["conv_id", "turn"]).select(

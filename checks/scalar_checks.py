@@ -242,7 +242,7 @@ def pair_responses(spark, sf):
     )
     asked = with_pairs(model("singlehop").ask(docs, "pairs", F.col("chunk_text")))
     return bigs(
-        asked.select("doc_id", "generated_prompt", F.posexplode("pairs").alias("j", "_p")).select(
+        asked.select("doc_id", "generated_prompt", F.posexplode(F.array_compact("pairs")).alias("j", "_p")).select(
             "doc_id", "generated_prompt", "j", "_p.*"
         )
     )

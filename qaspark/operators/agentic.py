@@ -11,7 +11,7 @@ from qaspark.functions import jsontext as J
 from qaspark.functions.text import first_filled, is_blank, py_strip
 from qaspark.operators import prompts as P
 from qaspark.operators.atomic import closed_book_failed
-from qaspark.operators.base import read_fields, require
+from qaspark.operators.base import entries, read_fields, require
 from qaspark.operators.expand import optional
 from qaspark.operators.generation import Generator
 from qaspark.operators.ordering import dense_index
@@ -121,7 +121,7 @@ class DepthQA:
         for number in range(1, self.n_rounds + 1):
             rows = self._round(rows, number)
         kept = [c for c in rows.columns if c not in ("_rounds", "_subject")]
-        each = rows.select(*kept, F.explode("_rounds").alias("_d"))
+        each = rows.select(*kept, F.explode(entries("_rounds")).alias("_d"))
         order = {"rec_ord": F.concat("rec_ord", F.array("_d.round"))} if "rec_ord" in kept else {}
         return each.withColumns(
             {

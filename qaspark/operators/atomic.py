@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from qaspark.functions import jsontext as J
 from qaspark.functions.text import is_blank, token_f1
 from qaspark.operators import prompts as P
-from qaspark.operators.base import LimitPerChunk, read_fields, require
+from qaspark.operators.base import LimitPerChunk, entries, read_fields, require
 from qaspark.operators.generation import Generator
 from qaspark.operators.singlehop import plain_record
 
@@ -83,7 +83,7 @@ class AtomicQA:
             .select(
                 *base,
                 J.content_identifier(F.col("_id")).alias("identifier"),
-                F.posexplode("_tasks").alias("_i", "_task"),
+                F.posexplode(entries("_tasks")).alias("_i", "_task"),
             )
             .withColumns(
                 {"candidate_tasks_str": F.to_json("_task"), "rec_ord": F.array("_i"), "answer": F.col("_task.conclusion")}

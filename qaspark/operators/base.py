@@ -31,6 +31,16 @@ def require(ok: bool, message: str) -> None:
         raise ValueError(message)
 
 
+def entries(array: str) -> Column:
+    """Argument of an explode over a parsed array column.
+
+    Over a bare column Spark infers ``size(array) > 0`` and pushes that filter, with the whole parsing
+    expression copied into it, below the projections; over an expression it does not. The arrays hold
+    no nulls, so the compaction changes nothing.
+    """
+    return F.array_compact(F.col(array))
+
+
 def read_fields(df: DataFrame, fields: dict[str, Column], keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add columns parsed from a row and drop rows that ``keep`` refuses, in one generator step.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from qaspark.functions import jsontext as J
 from qaspark.functions.text import complexity, let, py_lower_strip, py_strip
 from qaspark.operators import prompts as P
-from qaspark.operators.base import LimitPerChunk, first_per_group, require
+from qaspark.operators.base import LimitPerChunk, entries, first_per_group, require
 from qaspark.operators.contexts import context_language
 from qaspark.operators.generation import Generator
 from qaspark.operators.language import normalize_language
@@ -147,7 +147,7 @@ class MultiHopQA:
         )
         rows = (
             with_multihop_pairs(asked, self.strict_validation, "_pairs")
-            .select(*df.columns, F.posexplode("_pairs").alias("_j", "_p"))
+            .select(*df.columns, F.posexplode(entries("_pairs")).alias("_j", "_p"))
             .select(
                 *[c for c in df.columns if c != "rec_ord"],
                 F.array("info_pair_index", "_j").alias("rec_ord"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from qaspark.functions import jsontext as J
 from qaspark.functions.text import is_blank
 from qaspark.operators import prompts as P
-from qaspark.operators.base import join_small, read_fields
+from qaspark.operators.base import entries, join_small, read_fields
 from qaspark.operators.generation import Generator
 from qaspark.operators.language import language_instruction, normalize_language
 from qaspark.operators.singlehop import plain_record
@@ -130,7 +130,7 @@ class TaxonomyQuestions:
     system_prompt: str = ""
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        tagged = df.select("source_md", "chunk_index", "chunk_text", F.posexplode("taxonomy_tags").alias("_i", "_t"))
+        tagged = df.select("source_md", "chunk_index", "chunk_text", F.posexplode(entries("taxonomy_tags")).alias("_i", "_t"))
         rows = tagged.select(
             "source_md", "chunk_index", F.array("_i").alias("rec_ord"), "chunk_text", "_t.*"
         )

@@ -24,6 +24,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         .appName("qaspark")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )
