@@ -78,6 +78,12 @@ def big(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
 
 
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    since = f"cast({column} - timestamp_ntz'1970-01-01 00:00:00' as interval second)"
+    return F.expr(f"cast(cast({since} as decimal(20, 6)) * 1000000 as bigint)")
+
+
 def bigs(df: DataFrame) -> DataFrame:
     """Integer columns as BIGINT and doubles rounded, so that both engines show the same values."""
     out = []

@@ -199,8 +199,9 @@ def result_stage(jobs: DataFrame) -> DataFrame:
 def stage_durations(events: DataFrame) -> DataFrame:
     """Events ``(job_id, created_at, event_id, stage)`` with the start of the following stage and the seconds to it."""
     following = next_in_group(events, ["job_id"], ["created_at", "event_id"], "created_at", "next_at")
-    seconds = (F.unix_micros("next_at") - F.unix_micros("created_at")) / 1_000_000
-    return following.withColumn("seconds", seconds)
+    # an interval works alike for times with and without a zone
+    gap = (F.col("next_at") - F.col("created_at")).cast("interval second").cast("decimal(20,6)")
+    return following.withColumn("seconds", gap.cast("double"))
 
 
 def qa_counts(items: DataFrame, sessions: DataFrame) -> DataFrame:

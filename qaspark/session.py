@@ -41,7 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     Only when the session names none (tests, a laptop) is a local one made, and it is then
     recorded in the session so that later calls reuse it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("qaspark.scratch.dir", None)
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("qaspark.scratch.dir", None)
+    )
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
