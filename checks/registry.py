@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from qaspark.functions.text import SPACE_CODEPOINTS, WS
+from qaspark.functions.text import SPACE_CODEPOINTS
 from qaspark.sources.tables import spread
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +100,7 @@ def bigs(df: DataFrame) -> DataFrame:
 # --- SQL fragments ----------------------------------------------------------------------------------
 
 SPACES_SQL = "concat(" + ", ".join(f"chr({c})" for c in SPACE_CODEPOINTS) + ")"
-WS_SQL = WS
+WS_SQL = "".join(rf"\x{{{c:X}}}" for c in SPACE_CODEPOINTS)
 
 
 def strip(x: str) -> str:

@@ -28,15 +28,15 @@ def json_object_tail(c: Column) -> Column:
 def strict_json(c: Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else null.
 
-    The parser itself stops at the end of the first value, so the text is read once as the only
-    element of an array and once as the only member of an object; trailing text breaks one of them.
+    The parser itself stops at the end of the first value. So the text is parsed as the only member of
+    an object, which settles its grammar, and counted as the elements of an array: a text that closes
+    its surroundings early or brings a second value gives another count than one.
     """
 
     def parse(text: Column) -> Column:
-        as_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
         as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-        only = F.try_variant_get(as_array, "$[1]", "variant").isNull() & as_member.isNotNull()
-        return F.when(only, F.try_variant_get(as_member, "$.v", "variant"))
+        return F.when(alone, F.try_variant_get(as_member, "$.v", "variant"))
 
     return let(c, parse)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,7 +40,7 @@ def _normal(x: Column) -> Column:
         J.text_of(x, "answer").alias("answer"),
         J.text_items(J.member(x, "supporting_facts")).alias("supporting_facts"),
         J.text_of(x, "type").alias("type"),
-        F.forall(F.array(*[J.member(x, key).isNotNull() for key in REQUIRED]), lambda has: has).alias("complete"),
+        reduce(and_, [J.member(x, key).isNotNull() for key in REQUIRED]).alias("complete"),
     )
 
 
