@@ -54,9 +54,9 @@ def read_fields(df: DataFrame, fields: dict[str, Column], keep: Callable[[Column
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """True when ``df`` is proven small: counts rows and text bytes, reading at most the row limit."""
-    size = F.length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    """True when ``df`` is proven small: one parallel pass counts its rows and the bytes of their JSON text."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     return seen["n"] <= BROADCAST_ROWS and (seen["b"] or 0) <= BROADCAST_BYTES
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from qaspark.operators.base import join_small
 from qaspark.session import cut
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
@@ -86,28 +87,26 @@ def dense_index_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str
     )
 
 
-def next_in_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, to: str, *, sorted_already: bool = False
-) -> DataFrame:
+def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, to: str) -> DataFrame:
     """Value of the following row in the same group, null for the last one.
 
     ``lead`` runs inside (block, group); the last row of a block looks at the first row of the next
     non-empty block, taken from a table of one row per block.
     """
-    blocks = df if sorted_already else sorted_blocks(df, keys, order)
+    blocks = sorted_blocks(df, keys, order)
     heads = blocks.filter(F.col("_pos") == 0).select("_blk", F.struct(*keys, F.col(value).alias("_v")).alias("_head"))
-    following = Window.orderBy("_blk")
     # one row per block again, so this ordered window is bounded by the number of partitions
-    heads = heads.select("_blk", F.lead("_head").over(following).alias("_next"))
+    heads = heads.select("_blk", F.lead("_head").over(Window.orderBy("_blk")).alias("_next"))
     within = Window.partitionBy("_blk", *keys).orderBy("_pos")
-    last_in_block = F.row_number().over(Window.partitionBy("_blk", *keys).orderBy(F.desc("_pos"))) == 1
-    inside = blocks.withColumns({"_lead": F.lead(value).over(within), "_edge": last_in_block})
-    same_group = F.lit(True)
+    # wrapped in a struct, a following row with a null value differs from no following row
+    inside = blocks.withColumn("_lead", F.lead(F.struct(F.col(value).alias("_v"))).over(within))
+    same_group = F.col("_next").isNotNull()
     for key in keys:
         same_group = same_group & F.col(key).eqNullSafe(F.col(f"_next.{key}"))
-    crossing = F.when(F.col("_edge") & same_group & F.col("_next").isNotNull(), F.col("_next._v"))
+    crossing = F.when(F.col("_lead").isNull() & same_group, F.col("_next._v"))
+    # the values may be long texts, so even this one-row-per-block table is measured first
     return (
-        inside.join(F.broadcast(heads), "_blk", "left")
-        .withColumn(to, F.coalesce(F.col("_lead"), crossing))
-        .drop("_lead", "_edge", "_next", "_blk", "_pos")
+        join_small(inside, heads, ["_blk"], "left")
+        .withColumn(to, F.when(F.col("_lead").isNotNull(), F.col("_lead._v")).otherwise(crossing))
+        .drop("_lead", "_next", "_blk", "_pos")
     )
