@@ -439,11 +439,15 @@ def stored_responses(spark, sf):
     return TableGenerator(stored).ask(asked, "chat", prompt)
 
 
-def _echo(prompts: list[str], system: str) -> list[str]:
-    """A stand-in model call: prompts with a parenthesis time out."""
-    if "(" in prompts[0]:
-        raise TimeoutError("no answer")
-    return [p[::-1] for p in prompts]
+def _echo_call():
+    """A stand-in model call: prompts with a parenthesis time out. Nested, so that workers get it by value."""
+
+    def call(prompts: list[str], system: str) -> list[str]:
+        if "(" in prompts[0]:
+            raise TimeoutError("no answer")
+        return [p[::-1] for p in prompts]
+
+    return call
 
 
 @check(
@@ -455,7 +459,7 @@ def _echo(prompts: list[str], system: str) -> list[str]:
 )
 def called_responses(spark, sf):
     users = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
-    asked = CallableGenerator(_echo, partitions=8, threads=2).ask(users, "echo", F.col("text"))
+    asked = CallableGenerator(_echo_call(), partitions=8, threads=2).ask(users, "echo", F.col("text"))
     return asked.select("conv_id", "turn", "response", "gen_status", "gen_error")
 
 

@@ -68,22 +68,23 @@ ModelCall = Callable[[list[str], str], list[str]]
 TRANSPORT_ERRORS = (TimeoutError, ConnectionError)
 
 
-def _one(call: ModelCall, system: str, prompt: str | None) -> tuple[str, str, str | None]:
-    if prompt is None:
-        return "", "skipped", None
-    try:
-        return call([prompt], system)[0], "ok", None
-    except TRANSPORT_ERRORS as exc:
-        return "", "failed", str(exc)
+def _model_udf(call: ModelCall, system: str, threads: int):
+    """The call as an Arrow UDF. Everything it needs is nested, so workers need not import this package."""
+    failures = TRANSPORT_ERRORS
 
+    def answer(prompt: str | None) -> tuple[str, str, str | None]:
+        if prompt is None:
+            return "", "skipped", None
+        try:
+            return call([prompt], system)[0], "ok", None
+        except failures as exc:
+            return "", "failed", str(exc)
 
-def _model_udf(call: ModelCall, system: str, threads: int):
     @F.pandas_udf("response string, gen_status string, gen_error string")
     def ask_model(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max_workers=threads) as pool:
             for prompts in series:
-                rows = list(pool.map(lambda p: _one(call, system, p), prompts))
-                yield pd.DataFrame(rows, columns=["response", "gen_status", "gen_error"])
+                yield pd.DataFrame(list(pool.map(answer, prompts)), columns=["response", "gen_status", "gen_error"])
 
     return ask_model.asNondeterministic()
 
