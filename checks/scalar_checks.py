@@ -125,7 +125,7 @@ def superset_fields(spark, sf):
     asked = table(spark, sf, "documents").select(
         "doc_id", F.to_json(F.struct(F.col("lang").alias("identifier"), relation.alias("relation"))).alias("response")
     )
-    fields = superset(F.col("response"))
+    fields = superset(J.json_object(F.col("response")))
     read = asked.select("doc_id", fields["new_identifier"].alias("i"), fields["relation"].alias("r"))
     both = (F.col("i") != "") & (F.col("r") != "")
     return read.select("doc_id", F.when(both, F.col("i")).alias("identifier"), F.when(both, F.col("r")).alias("relation"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaspark.functions import jsontext as J
-from qaspark.functions.text import first_filled, is_blank, py_strip
+from qaspark.functions.text import first_filled, is_blank, let, py_strip
 from qaspark.operators import prompts as P
 from qaspark.operators.atomic import closed_book_failed
 from qaspark.operators.base import entries, read_fields, require
@@ -28,10 +28,11 @@ def ask_and_read(
     system: str,
     fields: Callable[[Column], dict[str, Column]],
     keep: Callable[[Column], Column] | None = None,
+    parse: Callable[[Column], Column] = lambda response: response,
 ) -> DataFrame:
-    """One model call followed by parsing; ``fields`` reads the ``response`` column."""
-    asked = generator.ask(df, stage, prompt, system)
-    return read_fields(asked, fields(F.col("response")), keep).drop("response", "gen_status", "gen_error")
+    """One model call; ``parse`` reads the response once, ``fields`` takes columns from what it gives."""
+    asked = generator.ask(df, stage, prompt, system).withColumn("_v", parse(F.col("response")))
+    return read_fields(asked, fields(F.col("_v")), keep).drop("_v", "response", "gen_status", "gen_error")
 
 
 def fill_identifiers(df: DataFrame, generator: Generator) -> DataFrame:
@@ -49,14 +50,13 @@ def fill_identifiers(df: DataFrame, generator: Generator) -> DataFrame:
     )
 
 
-def superset(response: Column) -> dict[str, Column]:
-    v = J.json_object(response)
+def superset(v: Column) -> dict[str, Column]:
     return {"new_identifier": J.text_of(v, "identifier"), "relation": J.text_of(v, "relation")}
 
 
-def superset_is_valid(response: Column) -> Column:
+def superset_is_valid(v: Column) -> Column:
     """Exactly the text ``valid`` under ``new_query``."""
-    verdict = J.member(J.json_object(response), "new_query")
+    verdict = J.member(v, "new_query")
     is_text = F.schema_of_variant(verdict) == "STRING"
     return F.coalesce(is_text & (F.try_variant_get(verdict, "$", "string") == "valid"), F.lit(False))
 
@@ -87,16 +87,16 @@ class DepthQA:
         here = F.col("_subject")
         rows = ask_and_read(
             ask, df, "superset", P.SUPERSET.render(identifier=here), P.SUPERSET_SYSTEM, superset,
-            lambda r: (r.new_identifier != "") & (r.relation != ""),
+            lambda r: (r.new_identifier != "") & (r.relation != ""), J.json_object,
         )
         links = {"superset": F.col("new_identifier"), "relation": F.col("relation"), "identifier": here}
         rows = ask_and_read(
             ask, rows, "superset_check", P.SUPERSET_CHECK.render(**links), P.SUPERSET_CHECK_SYSTEM,
-            lambda r: {"_valid": superset_is_valid(r)}, lambda r: r["_valid"],
+            lambda v: {"_valid": superset_is_valid(v)}, lambda r: r["_valid"], J.json_object,
         ).drop("_valid")
         rows = ask_and_read(
             ask, rows, "depth_question", P.DEPTH_QUESTION.render(**links), P.DEPTH_QUESTION_SYSTEM,
-            lambda r: {"_new_question": J.text_of(J.json_object(r), "new_query")}, lambda r: r["_new_question"] != "",
+            lambda v: {"_new_question": J.text_of(v, "new_query")}, lambda r: r["_new_question"] != "", J.json_object,
         )
         asked_question = F.col("question") if self.verify == "original" else F.col("_new_question")
         rows = ask_and_read(
@@ -149,30 +149,35 @@ def adjacent_pairs(indexed: DataFrame, columns: Sequence[str], idx: str = "idx")
 
 
 def gather(links: DataFrame, indexed: DataFrame, columns: Sequence[str], idx: str = "idx") -> DataFrame:
-    """Follow lists of row numbers back to the rows: ``merge_index, wanted, sources``.
+    """Follow lists of row numbers back to the rows: adds ``wanted`` and ``sources`` to ``links``.
 
-    ``links`` holds ``merge_index`` and ``indices``; the lists come from single responses, so the
-    regrouped lists are as short as those. ``sources`` keeps list order and leaves unknown numbers out.
+    ``links`` holds one row per ``merge_index`` with a list ``indices``; the lists come from single
+    responses, so the regrouped lists are as short as those. ``sources`` keeps list order and leaves
+    unknown numbers out. The other columns ride along, so ``links`` is computed once.
     """
-    each = links.select("merge_index", F.posexplode("indices").alias("_at", idx))
+    carried = [c for c in links.columns if c != "merge_index"]
+    each = links.select("*", F.posexplode_outer("indices").alias("_at", idx))
     rows = indexed.select(F.col(idx).cast("bigint").alias(idx), F.struct(*columns).alias("row"))
     found = each.join(rows, idx, "left")
     gathered = found.groupBy("merge_index").agg(
-        F.count(F.lit(1)).alias("wanted"),
+        *[F.first(c).alias(c) for c in carried],
+        F.count("_at").alias("wanted"),
         F.array_sort(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("_at", "row")))).alias("_found"),
     )
-    return gathered.select("merge_index", "wanted", F.transform("_found", lambda s: s.row).alias("sources"))
+    return gathered.withColumn("sources", F.transform("_found", lambda s: s.row)).drop("_found")
 
 
 def _first_object(response: Column) -> Column:
     """The response as an object: itself, or the first element of a list."""
-    v = J.strict_json(J.clean_json_block(response))
-    first = F.when(J.is_array(v), F.get(J.items(v), 0)).otherwise(v)
-    return F.when(J.is_object(first), first)
 
+    def first(v: Column) -> Column:
+        return F.when(J.is_array(v), F.get(J.items(v), 0)).otherwise(v)
 
-def _merge_fields(response: Column) -> dict[str, Column]:
-    v = _first_object(response)
+    parsed = let(J.strict_json(J.clean_json_block(response)), first)
+    return let(parsed, lambda v: F.when(J.is_object(v), v))
+
+
+def _merge_fields(v: Column) -> dict[str, Column]:
     at = J.member(v, "index")
     listed = F.when(J.is_array(at), J.items(at)).otherwise(F.array(at))
     return {
@@ -215,14 +220,10 @@ class WidthQA:
         items = F.to_json(F.array(item("left"), item("right")))
         merged = ask_and_read(
             self.generator, pairs, "width_merge", P.WIDTH_MERGE.render(items=items), P.WIDTH_MERGE_SYSTEM, _merge_fields,
-            lambda r: r.question.isNotNull() & r.indices.isNotNull(),
+            lambda r: r.question.isNotNull() & r.indices.isNotNull(), _first_object,
         ).drop("left", "right")
-        source_columns = [c for c in indexed.columns if c != "idx"]
-        # outer side kept: an empty list gives no gathered row and resolves to no sources
-        found = merged.join(gather(merged, indexed, source_columns), "merge_index", "left")
-        return found.withColumn(
-            "complete", F.coalesce(F.col("wanted") == F.size("sources"), F.size("indices") == 0)
-        )
+        found = gather(merged, indexed, [c for c in indexed.columns if c != "idx"])
+        return found.withColumn("complete", F.col("wanted") == F.size("sources"))
 
     def __call__(self, df: DataFrame) -> DataFrame:
         indexed = self.indexed(df)
@@ -242,19 +243,14 @@ class WidthQA:
         )
         rows = ask_and_read(
             self.generator, rows, "width_origin", P.WIDTH_ORIGIN.render(item=check), P.WIDTH_ORIGIN_SYSTEM,
-            lambda r: {
-                "_one": _is_one(J.member(_first_object(r), "state")),
-                "_task": J.filled_text_of(_first_object(r), "complex_question"),
-            },
-            lambda r: r["_one"],
+            lambda v: {"_one": _is_one(J.member(v, "state")), "_task": J.filled_text_of(v, "complex_question")},
+            lambda r: r["_one"], _first_object,
         ).withColumn("question", first_filled(F.col("_task"), F.col("question"))).drop("_one", "_task")
         asked = F.to_json(F.struct(F.col("merge_index").alias("index"), F.col("question").alias("complex_question")))
         rows = ask_and_read(
             self.generator, rows, "width_answer", P.WIDTH_ANSWER.render(item=asked), P.WIDTH_ANSWER_SYSTEM,
-            lambda r: {"llm_answer": F.when(
-                ~F.is_variant_null(J.member(_first_object(r), "llm_answer")), J.as_text(J.member(_first_object(r), "llm_answer"))
-            )},
-            lambda r: r.llm_answer.isNotNull(),
+            lambda v: {"llm_answer": F.when(~F.is_variant_null(J.member(v, "llm_answer")), J.as_text(J.member(v, "llm_answer")))},
+            lambda r: r.llm_answer.isNotNull(), _first_object,
         )
         answers = F.filter(F.transform("original_answer", lambda a: py_strip(F.coalesce(a, F.lit("")))), lambda a: a != "")
         rows = rows.withColumn("answer", F.array_join(answers, ANSWER_JOINT))
