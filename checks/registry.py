@@ -61,8 +61,8 @@ def headed_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn and the assistant turn after it as a question record."""
-    turns = spread(table(spark, sf, "conversations"))
-    user = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    turns = table(spark, sf, "conversations")
+    user = spread(turns).filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     reply = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return user.join(reply, ["conv_id", "turn"]).select(
         F.concat(F.lit("conv-"), "conv_id").alias("source_md"),

@@ -11,7 +11,7 @@ from qaspark.functions import jsontext as J
 from qaspark.functions.text import is_blank, token_f1
 from qaspark.operators import prompts as P
 from qaspark.operators.base import LimitPerChunk, entries, read_fields, require
-from qaspark.operators.generation import Generator
+from qaspark.operators.generation import Ask, Generator
 from qaspark.operators.singlehop import plain_record
 
 
@@ -76,8 +76,13 @@ class AtomicQA:
         base = df.columns
         text = F.col(self.input_key)
         chunks = df.filter(~is_blank(text))
-        named = self._ask(chunks, "identifier", P.IDENTIFIER.render(text=text), P.IDENTIFIER_SYSTEM, "_id")
-        facts = self._ask(named, "conclusions", P.CONCLUSIONS.render(text=text), P.CONCLUSIONS_SYSTEM, "_facts")
+        facts = self.generator.ask_all(
+            chunks,
+            [
+                Ask("identifier", P.IDENTIFIER.render(text=text), P.IDENTIFIER_SYSTEM, "_id"),
+                Ask("conclusions", P.CONCLUSIONS.render(text=text), P.CONCLUSIONS_SYSTEM, "_facts"),
+            ],
+        )
         tasks = (
             with_candidates(facts, "_facts", self.max_per_task, "_tasks")
             .select(

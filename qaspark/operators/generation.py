@@ -10,7 +10,7 @@ prompt is not asked and gets the empty string too.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
@@ -21,10 +21,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from qaspark.session import cut
 
 
+@dataclass(frozen=True)
+class Ask:
+    """One question per row: which stage, what prompt, and the column its response goes to."""
+
+    stage: str
+    prompt: Column
+    system: str
+    to: str
+
+
 class Generator(Protocol):
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
         """``df`` with a ``response`` column."""
 
+    def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        """``df`` with one response column per ask; asks of a row do not depend on each other."""
+
 
 @dataclass(frozen=True)
 class ExpressionGenerator:
@@ -33,8 +46,13 @@ class ExpressionGenerator:
     rules: Mapping[str, Column]
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
-        answer = F.when(prompt.isNotNull(), self.rules[stage])
-        return df.withColumn("response", F.coalesce(answer, F.lit("")))
+        return df.withColumn("response", self._answer(stage, prompt))
+
+    def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        return df.withColumns({a.to: self._answer(a.stage, a.prompt) for a in asks})
+
+    def _answer(self, stage: str, prompt: Column) -> Column:
+        return F.coalesce(F.when(prompt.isNotNull(), self.rules[stage]), F.lit(""))
 
 
 def prompt_hash(prompt: Column, system: str = "") -> Column:
@@ -62,6 +80,11 @@ class TableGenerator:
             .drop("prompt_hash", "_stored")
         )
 
+    def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        for a in asks:
+            df = self.ask(df, a.stage, a.prompt, a.system).withColumn(a.to, F.col("response")).drop("response")
+        return df
+
 
 ModelCall = Callable[[list[str], str], list[str]]
 # Failures of the transport give an empty response; anything else stops the job.
@@ -103,8 +126,17 @@ class CallableGenerator:
     threads: int = 4
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
-        ask_model = _model_udf(self.call, system, self.threads)
-        spread = df.repartition(self.partitions) if self.partitions else df
         kept = [c for c in df.columns if c not in ("response", "gen_status", "gen_error")]
-        answered = spread.select(*kept, ask_model(prompt).alias("_r")).select(*kept, "_r.*")
+        answer = _model_udf(self.call, system, self.threads)(prompt)
+        answered = self._spread(df).select(*kept, answer.alias("_r")).select(*kept, "_r.*")
         return cut(answered, f"responses-{stage}")
+
+    def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        """All calls of a row in one pass, so the rows are written once and not once per ask."""
+        answers = [_model_udf(self.call, a.system, self.threads)(a.prompt).alias(f"_{a.to}") for a in asks]
+        answered = self._spread(df).select(*df.columns, *answers)
+        texts = [F.col(f"_{a.to}.response").alias(a.to) for a in asks]
+        return cut(answered.select(*df.columns, *texts), f"responses-{asks[0].stage}")
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.partitions) if self.partitions else df

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from qaspark.functions import jsontext as J
 from qaspark.operators import prompts as P
-from qaspark.operators.generation import Generator
+from qaspark.operators.generation import Ask, Generator
 from qaspark.operators.language import language_instruction, normalize_language
 from qaspark.schemas import DIMENSIONS
 
@@ -39,15 +39,10 @@ class ScoreQA:
         normalize_language(self.target_language)
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        out = df
-        for dimension in DIMENSIONS:
-            asked = self.generator.ask(
-                out, dimension, score_prompt(dimension, self.target_language), self.system_prompt
-            )
-            out = asked.withColumns(
-                {
-                    f"{dimension}_grade": J.grade(F.col("response")),
-                    f"{dimension}_feedback": J.feedback(F.col("response")),
-                }
-            ).drop("response", "gen_status", "gen_error")
-        return out
+        asks = [Ask(d, score_prompt(d, self.target_language), self.system_prompt, f"_{d}") for d in DIMENSIONS]
+        asked = self.generator.ask_all(df, asks)
+        parsed = {}
+        for d in DIMENSIONS:
+            parsed[f"{d}_grade"] = J.grade(F.col(f"_{d}"))
+            parsed[f"{d}_feedback"] = J.feedback(F.col(f"_{d}"))
+        return asked.withColumns(parsed).drop(*[a.to for a in asks])

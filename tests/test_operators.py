@@ -13,6 +13,7 @@ from qaspark.operators.contexts import MultiHopContexts, info_pairs, passes_gate
 from qaspark.operators.expand import ExpandQA, ThinkQA
 from qaspark.operators.generation import CallableGenerator, ExpressionGenerator, TableGenerator, prompt_hash
 from qaspark.operators.multihop import MultiHopQA, with_multihop_pairs
+from qaspark.operators.score import ScoreQA
 from qaspark.operators.singlehop import SingleHopQA, prompt_list, with_pairs
 from qaspark.operators.taxonomy import TagChunks
 from qaspark.plans import qa as flows
@@ -335,6 +336,20 @@ def test_each_prompt_is_called_once(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 20
 
 
+def test_scores_from_a_called_model(spark):
+    rows = spark.createDataFrame([("c", "q1", "a"), ("c", "q2", "a")], "chunk_text string, question string, answer string")
+
+    def call(prompts, system):
+        if "useful" in prompts[0]:
+            raise TimeoutError
+        return [f"**Grading**: {4 if 'q1' in prompts[0] else 2}\n**Feedback**: {system}"]
+
+    scored = ScoreQA(CallableGenerator(call, partitions=2), "en", "sys")(rows).orderBy("question").collect()
+    assert [(r.question_quality_grade, r.answer_verifiability_grade, r.downstream_value_grade) for r in scored] == [(4, 4, 0), (2, 2, 0)]
+    assert scored[0].question_quality_feedback == "sys" and scored[0].downstream_value_feedback == ""
+    assert "response" not in scored[0].asDict()
+
+
 def test_chain_and_limit(spark):
     rows = spark.createDataFrame([("s", 0, [i]) for i in range(5)], "source_md string, chunk_index int, rec_ord array<int>")
     kept = Chain([LimitPerChunk(3), lambda df: df.filter(F.get("rec_ord", F.lit(0)) > 0)])(rows)
