@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from qaspark.session import cut
+
 Operator = Callable[[DataFrame], DataFrame]
 
 # A side may be broadcast only below these sizes, both counted before the hint is given.
@@ -61,8 +63,12 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def join_small(df: DataFrame, side: DataFrame, on, how: str) -> DataFrame:
-    """Broadcast ``side`` when it is proven small, else a shuffled join that AQE may split on skew."""
-    return df.join(F.broadcast(side) if fits_broadcast(side) else side, on, how)
+    """Broadcast ``side`` when it is proven small, else a shuffled join.
+
+    A side too large to broadcast is written first: over a plain table AQE can split a hot key of
+    ``df``, over an aggregate it cannot.
+    """
+    return df.join(F.broadcast(side) if fits_broadcast(side) else cut(side, "side"), on, how)
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

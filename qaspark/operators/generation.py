@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
@@ -63,19 +63,26 @@ def prompt_hash(prompt: Column, system: str = "") -> Column:
 class TableGenerator:
     """Stored responses ``(stage, prompt_hash, response[, resp_ord])``; the lowest ``resp_ord`` wins.
 
-    The response side is reduced to one row per hash first (combined before the shuffle), so a prompt
-    asked by a third of all rows meets exactly one response and AQE can split its partition.
+    The responses of a stage are reduced to one row per hash (combined before the shuffle) and written
+    once. The join then reads a plain table on that side, which lets AQE split the partition of a prompt
+    that a third of all rows ask; it cannot do so above an aggregate.
     """
 
     responses: DataFrame
+    _by_stage: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+
+    def _stored(self, stage: str) -> DataFrame:
+        if stage not in self._by_stage:
+            rows = self.responses.filter(F.col("stage") == stage)
+            order = F.col("resp_ord") if "resp_ord" in rows.columns else F.col("response")
+            unique = rows.groupBy("prompt_hash").agg(F.min_by("response", order).alias("_stored"))
+            self._by_stage[stage] = cut(unique, f"stored-{stage}")
+        return self._by_stage[stage]
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
-        stored = self.responses.filter(F.col("stage") == stage)
-        order = F.col("resp_ord") if "resp_ord" in stored.columns else F.col("response")
-        unique = stored.groupBy("prompt_hash").agg(F.min_by("response", order).alias("_stored"))
         return (
             df.withColumn("prompt_hash", prompt_hash(prompt, system))
-            .join(unique, "prompt_hash", "left")
+            .join(self._stored(stage), "prompt_hash", "left")
             .withColumn("response", F.coalesce("_stored", F.lit("")))
             .drop("prompt_hash", "_stored")
         )

@@ -10,6 +10,7 @@ from qaspark.operators import base
 from qaspark.operators.base import first_per_group, fits_broadcast, join_small
 from qaspark.operators.chunking import SemanticChunks, WordChunks
 from qaspark.operators.contexts import MultiHopContexts
+from qaspark.operators.generation import TableGenerator, prompt_hash
 from qaspark.operators.multihop import FirstByQuestion
 from qaspark.operators.ordering import dense_index, dense_index_in_group, next_in_group, sorted_blocks
 from qaspark.sources.tables import spread
@@ -72,6 +73,30 @@ def test_broadcast_only_when_counted_small(spark, skewed, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_hot_prompt_is_split_by_aqe(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        prompt = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+        noise = F.concat(*[F.sha2(F.concat("id", F.lit(k)), 512) for k in "abc"])
+        rows = spark.range(0, 120000, 1, 8).select(prompt.alias("t"), noise.alias("pad"))
+        stored = rows.select(F.lit("s").alias("stage"), prompt_hash(F.col("t")).alias("prompt_hash"), F.col("t").alias("response"))
+        asked = TableGenerator(stored).ask(rows, "s", F.col("t")).select("response", "pad")
+        asked.collect()
+        assert "SortMergeJoin(skew=true)" in plan(asked)
+        assert asked.filter("response = 'hot'").count() == 40000 and asked.count() == 120000
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+
+
 def test_chunking_needs_no_shuffle_and_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("source").alias("source_md"), "text")
     for operator in (WordChunks(), SemanticChunks()):
