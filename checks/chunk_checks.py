@@ -88,7 +88,7 @@ def packing_sql(source: str, max_chars: int) -> str:
     "paragraph_groups",
     "C4 C6",
     f"WITH RECURSIVE {HEADED_SQL}, src AS (SELECT source_md AS doc, 0 AS pos, 0 AS level, '' AS title, text AS body FROM headed), "
-    f"{packing_sql('src', 300)} SELECT doc AS source_md, g AS pos, part FROM groups",
+    f"{packing_sql('src', 300)} SELECT doc AS source_md, g::BIGINT AS pos, part FROM groups",
 )
 def paragraph_groups(spark, sf):
     docs = headed_documents(spark, sf)

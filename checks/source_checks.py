@@ -206,7 +206,7 @@ def taxonomy_catalog(spark, sf):
     "taxonomy_tree",
     "A6",
     f"WITH {_CATS_SQL}, firsts AS (SELECT level1_name, min(cat_ord) AS ord1 FROM cats GROUP BY 1) "
-    "SELECT -1 AS ord1, -1 AS ord2, '01' AS level, 'root/Texts' AS label, 0 AS indent UNION ALL SELECT ord1, -1, '02', level1_name, 1 FROM firsts "
+    "SELECT -1 AS ord1, -1 AS ord2, '01' AS level, 'root/Texts' AS label, 0::BIGINT AS indent UNION ALL SELECT ord1, -1, '02', level1_name, 1 FROM firsts "
     "UNION ALL SELECT ord1, cat_ord, '03', level2_name, 2 FROM cats JOIN firsts USING (level1_name)",
 )
 def taxonomy_tree(spark, sf):

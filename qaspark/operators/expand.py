@@ -24,14 +24,19 @@ def grounding(df: DataFrame) -> Column:
     return first_filled(optional(df, "context"), optional(df, "chunk_text"), F.lit(""))
 
 
+# Error texts of responses without an object and of incomplete expansions.
+NO_OBJECT = "No JSON object found in {} response"
+INCOMPLETE = "Expansion response must include expanded_question and expanded_answer"
+
+
 def _error(what: str, missing: Column | None = None) -> Column:
     """Why a response could not be used; needs ``response`` and the parsed ``_v``."""
     tail = J.json_object_tail(F.col("response"))
-    reason = F.when(tail.isNull(), F.lit(f"No JSON object found in {what} response")).when(
+    reason = F.when(tail.isNull(), F.lit(NO_OBJECT.format(what))).when(
         F.col("_v").isNull(), F.lit(f"{what.capitalize()} response is not one valid JSON object")
     )
     return reason if missing is None else reason.when(
-        missing, F.lit("Expansion response must include expanded_question and expanded_answer")
+        missing, F.lit(INCOMPLETE)
     )
 
 
