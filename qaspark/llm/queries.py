@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from qaspark.llm.decontaminate import Decontamination
 from qaspark.llm.exact import StreamingExactDedup
+from qaspark.llm.lpf import RepeatedPassages
 from qaspark.llm.packing import BestFitPacking
 from qaspark.llm.simhash import SimHashDedup, hex_of
 from qaspark.llm.toxicity import Toxicity
@@ -74,3 +75,16 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = SimHashDedup()(table(spark, sf, "documents"))
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
+@query("op2_repeated_passages")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = RepeatedPassages()(table(spark, sf, "documents"))
+    n_kept = F.octet_length("kept").cast("bigint")
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - n_kept).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
