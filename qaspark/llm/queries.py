@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from qaspark.llm.decontaminate import Decontamination
 from qaspark.llm.exact import StreamingExactDedup
+from qaspark.llm.lines import RepeatedLines
 from qaspark.llm.lpf import RepeatedPassages
 from qaspark.llm.packing import BestFitPacking
 from qaspark.llm.simhash import SimHashDedup, hex_of
@@ -88,3 +89,28 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+s AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 1)) AS s FROM d),
+w AS (SELECT doc_id, s, array_to_string(list_slice(lines, s + 1, s + 2), chr(10)) AS k FROM s),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS rn FROM w),
+g AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS i FROM f WHERE rn > 1),
+r AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(lines) AS n_lines,
+             list_filter(lines, lambda x, i: NOT coalesce(list_contains(gone, i - 1), false)) AS kept
+      FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_lines, n_lines - len(kept) AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
+"""
+
+
+@query("op8_line_dedup", LINES_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = RepeatedLines()(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        (F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_removed"),
+        F.sha2(F.concat_ws("\n", "kept"), 256).alias("kept_sha256"),
+    )
