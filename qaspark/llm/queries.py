@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from qaspark.llm.decontaminate import Decontamination
 from qaspark.llm.exact import StreamingExactDedup
+from qaspark.llm.html import WrapperExtraction
 from qaspark.llm.lines import RepeatedLines
 from qaspark.llm.lpf import RepeatedPassages
 from qaspark.llm.packing import BestFitPacking
@@ -114,3 +115,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_lines") - F.size("kept")).cast("bigint").alias("n_removed"),
         F.sha2(F.concat_ws("\n", "kept"), 256).alias("kept_sha256"),
     )
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = WrapperExtraction()(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
