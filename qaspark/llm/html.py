@@ -42,18 +42,26 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+DEPTH = 200
+
+
 class Node:
-    __slots__ = ("tag", "names", "parts", "parent")
+    __slots__ = ("tag", "names", "parts", "parent", "depth")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: "Node | None") -> None:
         self.tag, self.names, self.parent = tag, names, parent
+        self.depth = 0 if parent is None else parent.depth + 1
         self.parts: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
-    """A forgiving tree: end tags close what is open, a block closes an open paragraph, the rest is text."""
+    """A forgiving tree: end tags close what is open, a block closes an open paragraph, the rest is text.
+
+    Elements nested deeper than ``DEPTH`` stay empty and their content goes to the element around them.
+    """
     root = here = Node("html", (), None)
     at, end = 0, len(page)
+    flat: dict[str, int] = {}
     while at < end:
         found = TOKEN.search(page, at)
         if not found:
@@ -66,13 +74,17 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found.group(1):
+            if flat.get(tag):
+                flat[tag] -= 1
+                here.parts.append(Node(tag, (), here))
+                continue
             up = here
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
                 here = up.parent
             continue
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             continue
         if tag in BLOCKS:
             here = _close(here, {"p"}, BLOCKS - {"p"})
@@ -88,6 +100,9 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if node.depth > DEPTH:
+            flat[tag] = flat.get(tag, 0) + 1
+            continue
         here = node
     return root
 
@@ -362,7 +377,8 @@ class WrapperExtraction:
                         _join(found[host], own, None, 1)
                     else:
                         found[host] = own
-            yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]}, columns=["host", "wrapper"])
+            if found:
+                yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]})
 
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
             total = merged([json.loads(w) for w in sorted(rows["wrapper"])])

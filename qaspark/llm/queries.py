@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from qaspark.llm.chat import ChatFormat
 from qaspark.llm.decontaminate import Decontamination
 from qaspark.llm.exact import StreamingExactDedup
 from qaspark.llm.html import WrapperExtraction
@@ -13,6 +14,7 @@ from qaspark.llm.lines import RepeatedLines
 from qaspark.llm.lpf import RepeatedPassages
 from qaspark.llm.packing import BestFitPacking
 from qaspark.llm.simhash import SimHashDedup, hex_of
+from qaspark.llm.tokens import EditAwareCounts, cleaning_column
 from qaspark.llm.toxicity import Toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,20 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     found = WrapperExtraction()(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op5_chat_formatting")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    chat = ChatFormat()
+    return chat.read_back(chat.segments(turns.unionByName(probe)))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens before and after a cleaning pass over every document."""
+    docs = table(spark, sf, "documents")
+    edited = docs.select("doc_id", "text", cleaning_column()("text").alias("edits"))
+    return EditAwareCounts(tokenizer_path("byte_bpe_50k.json")).recount(edited, "edits").drop("text")
