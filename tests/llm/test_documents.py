@@ -67,7 +67,7 @@ def test_odd_pages(spark):
     assert found[(None, "http://b/", "Same everywhere.")] == 2
     assert found[(4, "http://a/2", "open x\ny")] == 1 and found[(3, "http://a/1", "plain text only")] == 1
     assert found[(7, "http://c/", "\n".join(["w <b> é"] * 5000))] == 1
-    assert found[(9, "http://d/1", "attr")] == 1 and found[(10, "http://e/", "deep\ner\nend")] == 1
+    assert found[(9, "http://d/1", "attr")] == 1 and found[(10, "http://e/", "deep\ner")] == 1
     assert sum(found.values()) == len(rows)
     assert WrapperExtraction()(pages.limit(0)).count() == 0
 
