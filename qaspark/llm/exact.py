@@ -74,6 +74,8 @@ class StreamingExactDedup:
         session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
         session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+        # files of small states are not stretched in advance
+        session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
 
         def write(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
