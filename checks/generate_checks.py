@@ -99,8 +99,8 @@ def expand_sql(source: str, mode: str = "detail", to: str = "expanded") -> str:
         f"CASE {h} WHEN 0 THEN 'contextual' WHEN 1 THEN '{mode}' END AS expansion_type, "
         f"CASE {h} WHEN 0 THEN 'kept' WHEN 1 THEN '' END AS expansion_notes, "
         f"CASE WHEN {h} < 2 THEN 'ok' ELSE 'failed' END AS expansion_status, "
-        f"CASE {h} WHEN 2 THEN 'No JSON object found in expansion response' "
-        "WHEN 3 THEN 'Expansion response must include expanded_question and expanded_answer' "
+        f"CASE {h} WHEN 2 THEN 'the expansion response holds no JSON object' "
+        "WHEN 3 THEN 'the expansion lacks its question or its answer' "
         f"WHEN 4 THEN 'Expansion response is not one valid JSON object' END AS expansion_error FROM {source})"
     )
 
@@ -138,7 +138,7 @@ def think_sql(source: str, to: str = "thought") -> str:
     return (
         f"{to} AS (SELECT * EXCLUDE (answer, expanded_answer), CASE WHEN {h} = 0 THEN 'because' ELSE '' END AS think, "
         f"CASE WHEN {h} < 3 THEN 'ok' ELSE 'failed' END AS think_status, "
-        f"CASE WHEN {h} = 3 THEN 'No JSON object found in think response' END AS think_error, "
+        f"CASE WHEN {h} = 3 THEN 'the think response holds no JSON object' END AS think_error, "
         f"CASE WHEN {h} < 3 AND {use} THEN coalesce(expanded_answer, '') END AS original_expanded_answer, "
         f"CASE WHEN {h} < 3 AND NOT {use} THEN answer END AS original_answer, "
         f"CASE WHEN {h} < 3 AND NOT {use} AND {new} <> '' THEN {new} ELSE answer END AS answer, "

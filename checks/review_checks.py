@@ -269,13 +269,51 @@ def expand_edited(spark, sf):
     return done.select("session_id", "id", "expanded_question", "expansion_status", "dirty")
 
 
+@check(
+    "rescore_upsert_patch",
+    "R2 R4 R10",
+    f"WITH {PAIRS_SQL}, {scores_sql('qa')} SELECT source_md AS session_id, 'qa-' || chunk_index AS id, "
+    + ", ".join(f"CASE WHEN hit THEN {g} WHEN '{g}' = 'question_quality_grade' THEN length(question) % 5 + 1.0 END::DOUBLE AS {g}" for g in GRADES)
+    + ", hit AS kept_feedback, 'p' || length(answer) AS extra FROM "
+    "(SELECT *, length(answer) % 2 = 0 AND length(question) % 9 <> 0 AS hit FROM scored)",
+)
+def rescore_upsert_patch(spark, sf):
+    """Scored again, stored, then patched: grades and feedback survive the patch."""
+    rows = items(spark, sf).withColumns({"created_at": F.lit(1), "updated_at": F.lit(1)})
+    again = R.as_versions(R.rescore_edited(rows, model("scores"), 2.0, "en"), rows)
+    later = again.withColumn("updated_at", F.lit(2))
+    stored = R.upsert(rows, later)
+    patch = F.to_json(F.struct(F.concat(F.lit("p"), F.length("answer").cast("string")).alias("extra")))
+    patches = stored.select("session_id", "id", patch.alias("record_patch"))
+    done = R.patch_items(stored, patches)
+    feedback = F.get_json_object("record_json", f"$.{GRADES[0].removesuffix('_grade')}_feedback").isNotNull()
+    return bigs(done.select("session_id", "id", *GRADES, feedback.alias("kept_feedback"), R.merged_field("extra").alias("extra")))
+
+
+@check(
+    "expand_upsert_patch",
+    "R2 R4 R10",
+    f"WITH {PAIRS_SQL}, {expand_sql('qa')} SELECT source_md AS session_id, 'qa-' || chunk_index AS id, "
+    "CASE WHEN hit THEN expanded_question END AS expanded_question, CASE WHEN hit THEN expansion_status END AS expansion_status, 'p' AS extra "
+    "FROM (SELECT *, length(answer) % 2 = 0 AND length(question) % 9 <> 0 AS hit FROM expanded)",
+)
+def expand_upsert_patch(spark, sf):
+    """Expanded again, stored, then patched: the expansion survives the patch."""
+    rows = items(spark, sf).withColumns({"created_at": F.lit(1), "updated_at": F.lit(1)})
+    again = R.as_versions(R.expand_edited(rows, model("edits"), "detail", "en"), rows)
+    stored = R.upsert(rows, again.withColumn("updated_at", F.lit(2)))
+    done = R.patch_items(stored, stored.select("session_id", "id", F.lit('{"extra":"p"}').alias("record_patch")))
+    return done.select("session_id", "id", R.merged_field("expanded_question").alias("expanded_question"), R.merged_field("expansion_status").alias("expansion_status"), R.merged_field("extra").alias("extra"))
+
+
 @check(
     "qa_counts",
     "A8",
-    f"WITH {PAIRS_SQL} SELECT 'job-' || split_part(source_md, '-', 2) AS job_id, count(*) AS qa_count FROM qa GROUP BY 1",
+    f"WITH {PAIRS_SQL}, j AS (SELECT DISTINCT conv_id FROM conversations) SELECT 'job-' || j.conv_id AS job_id, count(qa.source_md) AS qa_count "
+    "FROM j LEFT JOIN qa ON qa.source_md = 'conv-' || j.conv_id AND length(qa.question) % 2 = 0 GROUP BY 1",
 )
 def qa_counts(spark, sf):
-    rows = items(spark, sf)
+    rows = items(spark, sf).filter(F.length("question") % 2 == 0)  # some sessions are left without items
     sessions = table(spark, sf, "conversations").select(
         F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.concat(F.lit("job-"), "conv_id").alias("job_id")
     ).distinct()

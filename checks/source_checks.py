@@ -105,12 +105,15 @@ def ingest_outcomes(spark, sf):
 @check(
     "url_layout",
     "S6 S7",
-    "WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) "
+    "WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM "
+    "(SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '^[a-z]+://', '') ELSE url END AS url FROM pages)) "
     "SELECT page_id, host AS url_host, left(sha256(url), 16) AS url_fingerprint, "
-    "'urls/' || replace(lower(host), ':', '_') || '/' || left(sha256(url), 16) AS rel_path FROM u WHERE host <> ''",
+    "CASE WHEN host <> '' THEN 'urls/' || replace(lower(host), ':', '_') || '/' || left(sha256(url), 16) END AS rel_path FROM u",
 )
 def url_layout(spark, sf):
-    return ingest.url_layout(table(spark, sf, "pages")).select("page_id", "url_host", "url_fingerprint", "rel_path")
+    relative = F.when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "^[a-z]+://", "")).otherwise(F.col("url"))
+    pages = table(spark, sf, "pages").select("page_id", relative.alias("url"))
+    return ingest.url_layout(pages).select("page_id", "url_host", "url_fingerprint", "rel_path")
 
 
 _FETCHED_SQL = (
@@ -196,7 +199,7 @@ def categories(spark, sf):
 @check(
     "taxonomy_catalog",
     "Q14 S12",
-    f"WITH {_CATS_SQL} SELECT cat_ord, '- ' || level1_name || ' / ' || level2_name || ': focus=' || focus || '; prompt_hint=' || prompt_hint AS line FROM cats",
+    f"WITH {_CATS_SQL} SELECT cat_ord, level1_name || ' > ' || level2_name || ' | ' || focus || ' | ' || prompt_hint AS line FROM cats",
 )
 def taxonomy_catalog(spark, sf):
     return tax.catalog_lines(categories(spark, sf))

@@ -55,6 +55,22 @@ def read_fields(df: DataFrame, fields: dict[str, Column], keep: Callable[[Column
     return df.select(*rest, F.inline(F.filter(record, keep) if keep else record))
 
 
+def fold_in_blocks(array: Column, start: Column, step: Callable[[Column, Column], Column], size: int = 256) -> Column:
+    """A fold whose state has a growing list ``done``, in time close to linear.
+
+    Appending copies the list. Inside a block of ``size`` elements the step appends to a list of its own, and the long
+    list is copied once for each block. All other fields of the state must be small.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(size))
+    blocks = F.transform(starts, lambda i: F.slice(array, i, size))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, acc.withField("done", F.slice(acc.done, 1, 0)), step)
+        return F.aggregate(F.array(inner), acc, lambda old, new: new.withField("done", F.concat(old.done, new.done)))
+
+    return F.aggregate(blocks, start, block)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """True when ``df`` is proven small: one parallel pass counts its rows and the bytes of their JSON text."""
     size = F.octet_length(F.to_json(F.struct(*df.columns)))

@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from qaspark.functions.text import WS, is_blank, py_strip, py_words
-from qaspark.operators.base import require
+from qaspark.functions.text import WS, is_blank, let, py_strip, py_words
+from qaspark.operators.base import fold_in_blocks, require
 
 HEADING = rf"(?md)^(#{{1,6}})[{WS}]+(.+?)[{WS}]*$"
 PARAGRAPH_GAP = rf"\n[{WS}]*\n"
@@ -105,31 +105,31 @@ def _packing_units(paras: Column, max_chars: int) -> Column:
 def pack(units: Column, max_chars: int) -> Column:
     """Greedy packing: a unit joins the open group while it fits, and never crosses a run border.
 
-    One fold in the JVM. Finished groups are appended only when a group closes, so the cost per unit
-    is bounded by ``max_chars``.
+    A fold finds the last unit of every group; the texts are joined once, afterwards.
     """
     start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("open"),
-        F.lit(0).alias("used"),
-        F.lit(-1).alias("run"),
+        F.array().cast("array<int>").alias("done"), F.lit(0).alias("seen"), F.lit(0).alias("used"), F.lit(-1).alias("run")
     )
 
     def step(acc: Column, u: Column) -> Column:
-        fresh = acc.open.isNull()
+        fresh = acc.seen == 0
         closes = ~fresh & ((u.run != acc.run) | (acc.used + u.joint + u.size > max_chars))
-        restart = fresh | closes
         return F.struct(
-            F.when(closes, F.concat(acc.done, F.array(acc.open))).otherwise(acc.done).alias("done"),
-            F.when(restart, u.text).otherwise(F.concat(acc.open, u.sep, u.text)).alias("open"),
-            F.when(restart, u.size).otherwise(acc.used + u.joint + u.size).alias("used"),
+            F.when(closes, F.concat(acc.done, F.array(acc.seen))).otherwise(acc.done).alias("done"),
+            (acc.seen + 1).alias("seen"),
+            F.when(fresh | closes, u.size).otherwise(acc.used + u.joint + u.size).alias("used"),
             u.run.alias("run"),
         )
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc.open.isNull(), acc.done).otherwise(F.concat(acc.done, F.array(acc.open)))
+    def groups(us: Column) -> Column:
+        ends = F.concat(fold_in_blocks(us, start, step).done, F.array(F.size(us)))
+        spans = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), ends, lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+        texts = lambda span: F.transform(
+            F.slice(us, span.i + 1, span.j - span.i), lambda u, k: F.when(k == 0, u.text).otherwise(F.concat(u.sep, u.text))
+        )
+        return F.transform(spans, lambda span: F.array_join(texts(span), ""))
 
-    return F.aggregate(units, start, step, finish)
+    return let(units, lambda us: F.when(F.size(us) == 0, F.array().cast("array<string>")).otherwise(groups(us)))
 
 
 def paragraph_groups(body: Column, max_chars: int) -> Column:

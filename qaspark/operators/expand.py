@@ -24,9 +24,9 @@ def grounding(df: DataFrame) -> Column:
     return first_filled(optional(df, "context"), optional(df, "chunk_text"), F.lit(""))
 
 
-# Error texts of responses without an object and of incomplete expansions.
-NO_OBJECT = "No JSON object found in {} response"
-INCOMPLETE = "Expansion response must include expanded_question and expanded_answer"
+# Why a response cannot be used, in our words.
+NO_OBJECT = "the {} response holds no JSON object"
+INCOMPLETE = "the expansion lacks its question or its answer"
 
 
 def _error(what: str, missing: Column | None = None) -> Column:

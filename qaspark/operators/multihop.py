@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from qaspark.functions import jsontext as J
 from qaspark.functions.text import complexity, let, py_lower_strip, py_strip
 from qaspark.operators import prompts as P
-from qaspark.operators.base import LimitPerChunk, entries, first_per_group, require
+from qaspark.operators.base import LimitPerChunk, entries, first_per_group, fold_in_blocks, require
 from qaspark.operators.contexts import context_language
 from qaspark.operators.generation import Generator
 from qaspark.operators.language import normalize_language
@@ -77,22 +77,25 @@ def braced_objects(response: Column) -> Column:
     quoted text count as well. A fold over brace tokens, inside the JVM.
     """
     start = F.struct(
-        F.lit(0).alias("depth"), F.lit(None).cast("string").alias("open"), F.array().cast("array<string>").alias("done")
+        F.array().cast("array<struct<i:int,n:int>>").alias("done"), F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("opened")
     )
 
     def step(acc: Column, token: Column) -> Column:
         opens, closes = token == "{", token == "}"
         depth = acc.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
-        text = F.when(opens & (acc.depth == 0), token).otherwise(F.concat(acc.open, token))
-        ends = closes & (depth == 0) & acc.open.isNotNull()
+        seen = acc.seen + 1
+        ends = closes & (depth == 0) & (acc.opened > 0)
+        group = F.struct(acc.opened.alias("i"), (seen - acc.opened + 1).alias("n"))
         return F.struct(
+            F.when(ends, F.concat(acc.done, F.array(group))).otherwise(acc.done).alias("done"),
             depth.alias("depth"),
-            F.when(~ends, text).alias("open"),
-            F.when(ends, F.concat(acc.done, F.array(text))).otherwise(acc.done).alias("done"),
+            seen.alias("seen"),
+            F.when(opens & (acc.depth == 0), seen).when(ends, 0).otherwise(acc.opened).alias("opened"),
         )
 
+    # the fold finds token ranges, the texts are joined once
     tokens = F.regexp_extract_all(response, F.lit(r"[{}]|[^{}]+"), 0)
-    return F.aggregate(tokens, start, step, lambda acc: acc.done)
+    return let(tokens, lambda ts: F.transform(fold_in_blocks(ts, start, step).done, lambda g: F.array_join(F.slice(ts, g.i, g.n), "")))
 
 
 def with_multihop_pairs(df: DataFrame, strict: bool = True, to: str = "pairs") -> DataFrame:

@@ -74,11 +74,15 @@ ATOMIC_CLEAN_SYSTEM = (
 ATOMIC_CLEAN = Template("Item:\n<<item>>\n")
 CLOSED_BOOK = Template("Answer from your own knowledge, as briefly as possible.\nQuestion: <<question>>\n")
 RECALL_SYSTEM = (
-    "Compare an answer with the reference answer: 2 when it says the same, 1 when it says part of it, 0 otherwise. "
-    'Reply as {"answer_score": 0}.'
+    "Judge whether an answer carries what the reference answer carries. Score 2: the same content, however it is "
+    "put. Score 1: everything the reference says and further correct content. Score 0: some essential part of the "
+    'reference is absent or contradicted; a partial answer is 0. Reply as {"answer_score": 0}.'
 )
 RECALL = Template("Reference answer: <<golden>>\nOther answer: <<other>>\n")
-ALTERNATIVES_SYSTEM = "List other wordings that mean the same as the answer. Reply as a JSON list of strings."
+ALTERNATIVES_SYSTEM = (
+    "Collect the wordings under which this answer could appear. The first element is the answer exactly as given, "
+    "every further one says the same in another way. Reply as a JSON list of strings."
+)
 ALTERNATIVES = Template("Answer: <<answer>>\n")
 OPEN_BOOK = Template("Answer from the document only, as briefly as possible.\nDocument:\n<<text>>\n\nQuestion: <<question>>\n")
 
@@ -89,7 +93,9 @@ SUPERSET_SYSTEM = (
 )
 SUPERSET = Template("Subject: <<identifier>>\n")
 SUPERSET_CHECK_SYSTEM = (
-    "Decide whether the broader subject and the relation lead to the narrower subject without naming it. "
+    "Decide whether the broader subject together with the relation points to the narrower subject and to nothing "
+    "else. It is invalid when the broader subject does not truly contain the narrower one, when both are names for the "
+    "same thing, or when several subjects would fit the relation. "
     'Reply as {"new_query": "valid"} or {"new_query": "invalid"}.'
 )
 SUPERSET_CHECK = Template("Broader subject: <<superset>>\nRelation: <<relation>>\nNarrower subject: <<identifier>>\n")
@@ -165,36 +171,39 @@ def with_json_rule(system: str) -> str:
 # Expansion modes.
 EXPANSION_MODES = ("detail", "contextual", "reasoning")
 EXPANSION_HINTS = {
-    "detail": "Add context, limits and explanation to the answer.",
-    "contextual": "Word the question more naturally with its context, then refine the answer.",
-    "reasoning": "Add short reasoning and keep the final answer grounded.",
+    "detail": "The longer answer may name conditions, figures and causes that the passage states.",
+    "contextual": "Someone without the passage should see from the question what it is about; fit the answer to it.",
+    "reasoning": "Lead the reader to the answer through the facts it rests on, in two or three sentences.",
 }
 EXPAND = Template(
-    "Expand the question/answer pair and keep its meaning.\n<<language>>\nMode: <<mode>>\n<<hint>>\n"
+    "Passage:\n<<context>>\n\nSomebody asked: <<question>>\nThe reply was: <<answer>>\n\n"
+    "Rewrite both so that they say more without saying anything else. <<hint>>\n<<language>>\n"
     'Reply as {"expanded_question": "...", "expanded_answer": "...", "expansion_type": "<<mode>>", '
-    '"expansion_notes": "..."}\n\nContext:\n<<context>>\n\nQuestion:\n<<question>>\n\nAnswer:\n<<answer>>'
+    '"expansion_notes": "what you changed"}'
 )
 THINK = Template(
-    "Write a short chain of thought for the question and rebuild the answer from it; leave it empty when none is "
-    'needed.\n<<language>>\nReply as {"think": "...", "answer": "..."}\n\nContext:\n<<context>>\n\n'
-    "Question:\n<<question>>\n\nAnswer:\n<<answer>>"
+    "Passage:\n<<context>>\n\nAsked: <<question>>\nKnown reply: <<answer>>\n\n"
+    "Show how a careful reader gets from the passage to the reply, then give the reply as it follows from that. "
+    'A reply that can be read off directly needs no reasoning: use "" then.\n<<language>>\n'
+    'Reply as {"think": "...", "answer": "..."}'
 )
 
 
 def grounded_system(task: str, language: str, system: str | None) -> str:
     from qaspark.operators.language import language_instruction
 
-    lead = system.strip() if system else f"{task} Use only facts of the given context."
+    lead = system.strip() if system else f"{task} What the passage does not support must not appear."
     return f"{lead} {language_instruction(language)} {JSON_ONLY}"
 
 
 SCORE_TASKS = {
-    "question_quality": "how clear and meaningful the question is",
-    "answer_alignment": "how directly the answer meets the question",
-    "answer_verifiability": "how well the answer can be verified from the context",
-    "downstream_value": "how useful the pair is for training or retrieval",
+    "question_quality": "Could a reader act on this question alone, and is it worth asking?",
+    "answer_alignment": "Is this reply about what was asked, all of it and no more?",
+    "answer_verifiability": "Can each statement of the reply be pointed to in the passage?",
+    "downstream_value": "Would a model or a search index be better for having seen this pair?",
 }
 SCORE = Template(
-    "Score from 1 to 5 <<task>>.\n<<language>>\nReply as:\n**Grading**: <integer>\n**Feedback**: <one sentence>\n\n"
-    "Context: <<context>>\nQuestion: <<question>>\nAnswer: <<answer>>"
+    "Passage:\n<<context>>\n\nAsked: <<question>>\nReplied: <<answer>>\n\n<<task>> Give a whole number, 5 for a clear "
+    "yes down to 1 for a clear no, and one sentence of reason.\n<<language>>\n"
+    "Use these two lines:\n**Grading**: number\n**Feedback**: sentence"
 )

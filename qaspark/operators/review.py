@@ -68,10 +68,13 @@ def code_flag(code: Column) -> Column:
 
 
 def latest(log: DataFrame, keys: tuple[str, ...] = ITEM_KEY, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
-    """Latest version of each key, with the earliest ``created_at`` of all its versions."""
+    """Latest version of each key, with the earliest ``created_at`` of all its versions.
+
+    ``order`` should tell versions apart; where it ties, the larger row by its columns wins, so the result is defined.
+    """
     payload = [c for c in log.columns if c not in (*keys, "created_at")]
     newest = log.groupBy(*keys).agg(
-        F.max_by(F.struct(*payload), F.struct(*order)).alias("_r"), F.min("created_at").alias("created_at")
+        F.max(F.struct(F.struct(*order).alias("_o"), F.struct(*payload).alias("_p"))).getField("_p").alias("_r"), F.min("created_at").alias("created_at")
     )
     return newest.select(*keys, "_r.*", "created_at").select(*log.columns)
 
@@ -105,15 +108,19 @@ def merge_json(base: Column, patch: Column) -> Column:
 def patch_items(items: DataFrame, patches: DataFrame) -> DataFrame:
     """Apply at most one patch per item: ``record_patch`` (JSON object or null) and flag columns (null: keep).
 
-    A record patch marks the item as user-modified, any patch marks it dirty. Keys are unique on both
-    sides, so the join cannot be skewed.
+    A patch is applied to the item as it is now: hot columns that are not null stand for their fields, as in
+    ``merge_record``, so grades and expansions made since the text was stored survive. A record patch marks the item as
+    user-modified, any patch marks it dirty. Keys are unique on both sides, so the join cannot be skewed.
     """
     flags = [f for f in ("deleted", "selected", "filter_passed") if f in patches.columns]
     renamed = patches.select(*ITEM_KEY, "record_patch", *[F.col(f).alias(f"_{f}") for f in flags], F.lit(True).alias("_hit"))
     joined = items.join(renamed, list(ITEM_KEY), "left")
     edited = F.coalesce(F.length("record_patch") > 0, F.lit(False)) & (F.col("record_patch") != "{}")
     marked = F.lit('{"user_modified":true}')
-    record = F.when(edited, merge_json(merge_json(F.col("record_json"), F.col("record_patch")), marked))
+    # null columns are left out of the text, so they change nothing
+    hot_now = F.to_json(F.struct(*[c for c in HOT_FIELDS if c in items.columns]))
+    present = merge_json(F.col("record_json"), hot_now)
+    record = F.when(edited, merge_json(merge_json(present, F.col("record_patch")), marked))
     merged = joined.withColumn("_record", record)
     value = F.try_parse_json("_record")
 
@@ -205,11 +212,24 @@ def stage_durations(events: DataFrame) -> DataFrame:
 
 
 def qa_counts(items: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Items per job; counted per session first, so the join carries one row per session."""
+    """Items per job, zero for a job whose sessions are empty; counted per session before the join."""
     per_session = items.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_session.join(sessions.select("session_id", "job_id"), "session_id").groupBy("job_id").agg(
-        F.sum("n").alias("qa_count")
-    )
+    joined = sessions.select("session_id", "job_id").join(per_session, "session_id", "left")
+    return joined.groupBy("job_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("qa_count"))
+
+
+def as_versions(changed: DataFrame, items: DataFrame) -> DataFrame:
+    """``changed`` rows as versions of ``items``, ready for ``upsert``.
+
+    Fields that items have no column for (feedback, expansion notes) go into ``record_json``, and so do the present
+    values of the hot columns, so that a later patch starts from them.
+    """
+    own = [c for c in changed.columns if c in items.columns]
+    extra = [c for c in changed.columns if c not in items.columns]
+    known = [c for c in HOT_FIELDS if c in changed.columns]
+    fresh = F.to_json(F.struct(*dict.fromkeys([*known, *extra])))
+    rest = [F.col(c) if c in own else F.lit(None).cast(items.schema[c].dataType).alias(c) for c in items.columns if c != "record_json"]
+    return changed.select(*rest, merge_json(F.col("record_json"), fresh).alias("record_json")).select(*items.columns)
 
 
 # --- paged views: top-k reports, so their limit is the feature ---------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from qaspark.functions.text import WS
@@ -44,16 +46,53 @@ def _fill(df: DataFrame) -> DataFrame:
     )
 
 
+def any_case(extensions: tuple[str, ...]) -> str:
+    """A path filter for files with one of the extensions in any case; other files are not opened."""
+    letters = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*.{" + ",".join(letters(e) for e in extensions) + "}"
+
+
 def scan_directory(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` that get a manifest row: ``(source_path, kind, sha256, length)``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kinds = files.withColumn("kind", classify(F.col("path"))).filter(F.col("kind").isNotNull())
-    return kinds.select(
-        F.col("path").alias("source_path"),
-        "kind",
-        F.when(F.col("kind") == "convert", F.sha2("content", 256)).alias("sha256"),
-        "length",
-    )
+    """Files below ``path`` that get a manifest row: ``(source_path, kind, sha256, length)``.
+
+    Paths are relative to ``path``. Only files that will be converted are read; of skipped ones the listing is enough,
+    so their size does not matter.
+    """
+    root = _absolute(spark, path)
+
+    def files(extensions: tuple[str, ...]) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions))
+        relative = F.substring(plain_path(F.col("path")), len(root) + 2, 1 << 30)
+        return reader.load(path).withColumn("source_path", relative).withColumn("kind", classify(F.col("source_path"))).filter(F.col("kind").isNotNull())
+
+    converted = files(CONVERTED_EXTENSIONS).select("source_path", "kind", F.sha2("content", 256).alias("sha256"), "length")
+    skipped = files(OFFICE_EXTENSIONS).select("source_path", "kind", F.lit(None).cast("string").alias("sha256"), "length")
+    return converted.unionByName(skipped)
+
+
+def plain_path(path: Column) -> Column:
+    """One spelling of a file path: decoded, without scheme and host."""
+    bare = F.regexp_replace(path, r"\A[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)", "")
+    # a plus sign is itself in a path, unlike in a form
+    decoded = F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(path, F.lit(":/")), decoded).otherwise(path)
+
+
+def _absolute(spark: SparkSession, path: str) -> str:
+    """The folder as ``plain_path`` spells its files, asked from the listing itself."""
+    from urllib.parse import unquote, urlparse
+
+    parts = urlparse(path)
+    if parts.scheme:
+        return unquote(parts.path).rstrip("/")
+    return path.rstrip("/") if path.startswith("/") else os.path.abspath(path)
+
+
+def missing_converter(output_dir: str, spark: SparkSession) -> DataFrame:
+    """The manifest of a run that found no converter: one failed row for the whole run."""
+    row = [("", "", "failed", PARSER, E_CONVERTER_MISSING, "file")]
+    names = "source_path string, output_md_path string, status string, parser string, error_code string, source_kind string"
+    return _fill(spark.createDataFrame(row, names).withColumn("source_path", F.lit(output_dir)))
 
 
 def outcome(returncode: Column, has_output: Column, copy_error: Column) -> tuple[Column, Column]:
@@ -112,13 +151,13 @@ def host_segment(loc: Column) -> Column:
 
 
 def url_layout(df: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``url_host``, ``url_fingerprint`` and ``rel_path``; relative URLs are dropped."""
-    host = netloc(F.col(url))
+    """Add ``url_host``, ``url_fingerprint`` and ``rel_path``; a URL without a host keeps its row and has no path."""
+    host = F.coalesce(netloc(F.col(url)), F.lit(""))
+    folder = F.concat_ws("/", F.lit("urls"), host_segment(F.col("url_host")), "url_fingerprint")
     return (
         df.withColumn("url_host", host)
-        .filter(F.col("url_host") != "")
         .withColumn("url_fingerprint", F.left(F.sha2(F.col(url), 256), F.lit(FINGERPRINT_HEX)))
-        .withColumn("rel_path", F.concat_ws("/", F.lit("urls"), host_segment(F.col("url_host")), "url_fingerprint"))
+        .withColumn("rel_path", F.when(F.col("url_host") != "", folder))
     )
 
 
@@ -146,9 +185,9 @@ def url_error(head_type: Column, get_type: Column, body: Column) -> Column:
 
 def url_manifest(fetched: DataFrame, results: DataFrame, output_dir: str) -> DataFrame:
     """Manifest of fetched URLs ``(url, head_type, get_type, body)`` and converter ``results`` keyed by url."""
-    checked = url_layout(fetched).withColumn(
-        "_refused", url_error(F.col("head_type"), F.col("get_type"), F.col("body"))
-    )
+    refused = url_error(F.col("head_type"), F.col("get_type"), F.col("body"))
+    # a URL without a host cannot have been fetched; its row stays, as failed
+    checked = url_layout(fetched).withColumn("_refused", F.when(F.col("url_host") == "", F.lit(E_FAILED)).otherwise(refused))
     joined = checked.join(results, "url", "left")
     status, code = outcome(F.col("returncode"), F.col("has_output"), F.col("copy_error"))
     taken = F.col("_refused").isNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from qaspark.functions.text import first_filled
+from qaspark.sources.ingest import any_case, plain_path
 
 DEFAULT_UPLOAD_LIMIT = 32 * 1024 * 1024
 
@@ -26,10 +27,12 @@ def usable_manifest(manifest: DataFrame) -> DataFrame:
 def scan_manifest(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts named by usable manifest rows; a path without a text is passed over silently.
 
-    Both sides are keyed by path and neither is assumed small, so this is a shuffled equi join. A path
-    listed many times stays a repeated row, as in the input.
+    Both sides are keyed by the decoded path, whether or not they spell a scheme, and neither is assumed small, so this
+    is a shuffled equi join. A path listed many times stays a repeated row, as in the input.
     """
-    return usable_manifest(manifest).select("source_md").join(texts.select("source_md", "text"), "source_md")
+    named = usable_manifest(manifest).select("source_md", plain_path(F.col("source_md")).alias("_path"))
+    found = texts.select(plain_path(F.col("source_md")).alias("_path"), "text")
+    return named.join(found, "_path").select("source_md", "text")
 
 
 def accepted_uploads(files: DataFrame, limit: int = DEFAULT_UPLOAD_LIMIT) -> DataFrame:
@@ -44,7 +47,9 @@ def upload_ok(name: Column, content: Column, limit: int = DEFAULT_UPLOAD_LIMIT)
 
 
 def read_uploads(spark: SparkSession, path: str, limit: int = DEFAULT_UPLOAD_LIMIT) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(("md",)))
+    # the bound on the length is pushed to the listing, so larger files are not opened
+    files = reader.load(path).filter((F.col("length") > 0) & (F.col("length") <= limit))
     return accepted_uploads(files, limit).select(
         "path", F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("text")
     )

@@ -362,7 +362,7 @@ def test_taxonomy_config():
     config = {"taxonomy": {"topic": " ", "task_type": {"f": 1}, "level1_name": {"A": [{"level2_name": "B", "focus": "x", "prompt_hint": "y"}]}, "reasoning_style": {"d": "e"}}}
     t = parse_taxonomy(config)
     assert t.is_complete() and t.topic == "民航领域" and t.task_type == {"f": "1"}
-    assert catalog_text(t).splitlines()[1] == "- A / B: focus=x; prompt_hint=y"
+    assert catalog_text(t).splitlines()[1] == "A > B | x | y"
     assert not parse_taxonomy({}).is_complete()
     for bad in ({"taxonomy": []}, {"taxonomy": {"task_type": []}}, {"taxonomy": {"level1_name": {"A": {}}}}, {"taxonomy": {"level1_name": {"A": [1]}}}):
         with pytest.raises(ValueError):
