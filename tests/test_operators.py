@@ -340,7 +340,7 @@ def test_scores_from_a_called_model(spark):
     rows = spark.createDataFrame([("c", "q1", "a"), ("c", "q2", "a")], "chunk_text string, question string, answer string")
 
     def call(prompts, system):
-        if "useful" in prompts[0]:
+        if "search index" in prompts[0]:
             raise TimeoutError
         return [f"**Grading**: {4 if 'q1' in prompts[0] else 2}\n**Feedback**: {system}"]
 
