@@ -55,7 +55,7 @@ def test_directory_scan(spark, tmp_path):
     (tmp_path / "sub" / "b.docx").write_text("x")
     (tmp_path / "sub" / "c.txt").write_text("x")
     (tmp_path / "sub" / ".png").write_text("x")
-    rows = {r.source_path.rsplit("/", 1)[1]: r for r in ingest.scan_directory(spark, str(tmp_path)).collect()}
+    rows = {r.source_path.rsplit("/", 1)[-1]: r for r in ingest.scan_directory(spark, str(tmp_path)).collect()}
     assert {k: r.kind for k, r in rows.items()} == {"a.PDF": "convert", "b.docx": "skipped"}
     assert len(rows["a.PDF"].sha256) == 64 and rows["b.docx"].sha256 is None
 
