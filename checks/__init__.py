@@ -7,6 +7,7 @@ from checks import (  # noqa: F401  (imported for their registrations)
     join_checks,
     review_checks,
     scalar_checks,
+    selection_checks,
     source_checks,
     table_checks,
 )

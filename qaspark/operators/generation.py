@@ -80,8 +80,10 @@ class TableGenerator:
         return self._by_stage[stage]
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
+        # rows that ask nothing have no partner; a running number instead of one null key spreads them over all tasks
+        nothing = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
         return (
-            df.withColumn("prompt_hash", prompt_hash(prompt, system))
+            df.withColumn("prompt_hash", F.coalesce(prompt_hash(prompt, system), nothing))
             .join(self._stored(stage), "prompt_hash", "left")
             .withColumn("response", F.coalesce("_stored", F.lit("")))
             .drop("prompt_hash", "_stored")

@@ -8,6 +8,8 @@ partitions and therefore safe to broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -65,26 +67,27 @@ def dense_index_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str
     """
     blocks = sorted_blocks(df, keys, order)
     counts = blocks.groupBy("_blk", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    edge = counts.groupBy("_blk").agg(F.max("_first").alias("_last"))
-    spans = counts.join(F.broadcast(edge), "_blk")
-    carried_from = spans.filter(F.col("_first") == F.col("_last"))  # group that may go on in the next block
-    carried_into = spans.filter(F.col("_first") == 0)
-    before = carried_from.select(F.col("_blk").alias("_b"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    matched = carried_into.select("_blk", *keys).join(
-        F.broadcast(before), [F.col("_b") < F.col("_blk"), *same], "inner"
+    group = F.struct(*keys)
+    ends = counts.groupBy("_blk").agg(
+        F.min_by(group, "_first").alias("_head"),
+        F.max_by(group, "_first").alias("_tail"),
+        F.max_by("_n", "_first").alias("_out"),
+        (F.count(F.lit(1)) == 1).alias("_one"),
     )
-    carried = matched.groupBy("_blk", *keys).agg(F.sum("_n").alias("_carried"))
+    # one row per block: a running sum that starts anew where a block's last group begins inside it
+    along = Window.orderBy("_blk")
+    same = [F.col(f"_head.{k}").eqNullSafe(F.col(f"_prev.{k}")) for k in keys]
+    goes_on = F.coalesce(reduce(and_, same, F.col("_prev").isNotNull()), F.lit(False))
+    chained = ends.withColumn("_prev", F.lag("_tail").over(along)).withColumn("_on", goes_on)
+    chained = chained.withColumn("_chain", F.sum(F.when(F.col("_on") & F.col("_one"), 0).otherwise(1)).over(along))
+    chained = chained.withColumn("_sum", F.sum("_out").over(Window.partitionBy("_chain").orderBy("_blk")))
+    carried = chained.withColumn("_carried", F.when(F.col("_on"), F.lag("_sum").over(along))).filter("_carried is not null")
+    carried = carried.select("_blk", "_head", "_carried")
     local = F.row_number().over(Window.partitionBy("_blk", *keys).orderBy("_pos")) - 1
-    numbered = blocks.withColumn("_local", local)
-    hit = [numbered["_blk"] == carried["_blk"], *[numbered[k].eqNullSafe(carried[k]) for k in keys]]
-    return (
-        numbered.join(F.broadcast(carried), hit, "left")
-        .select(
-            *[numbered[c] for c in df.columns],
-            (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(to),
-        )
-    )
+    # keys may be long texts, so the table of blocks is measured before it is broadcast
+    numbered = join_small(blocks.withColumn("_local", local), carried, ["_blk"], "left")
+    mine = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_head.{k}")) for k in keys], F.col("_head").isNotNull())
+    return numbered.select(*df.columns, (F.col("_local") + F.when(mine, F.col("_carried")).otherwise(0)).alias(to))
 
 
 def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, to: str) -> DataFrame:
