@@ -148,3 +148,42 @@ def test_row_operators_run_on_streams(spark, tmp_path):
     query = WordChunks(2)(stream).writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(sink)
     query.awaitTermination(120)
     assert sorted(r.chunk_text for r in spark.read.parquet(sink).collect()) == ["five", "one two", "three four"]
+
+
+def test_one_group_over_hundreds_of_blocks(spark):
+    """A group that fills every block is numbered by one running sum over the blocks."""
+    from qaspark.operators.ordering import dense_index_in_group
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "520")
+    try:
+        rows = spark.range(6000).select(F.when(F.col("id") < 20, "a").when(F.col("id") < 5980, "hot").otherwise("z").alias("g"), "id")
+        found = dense_index_in_group(rows, ["g"], ["id"], "idx").groupBy("g").agg(
+            F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.countDistinct("idx").alias("n"), F.max(F.abs(F.col("id") - F.col("idx"))).alias("shift")
+        )
+        assert {tuple(r) for r in found.collect()} == {("a", 0, 19, 20, 0), ("hot", 0, 5959, 5960, 20), ("z", 0, 19, 20, 5980)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_folds_grow_in_proportion(spark):
+    """Twice the input takes about twice the time, far from the fourfold of a copying fold."""
+    import time
+
+    from qaspark.operators.chunking import pack
+    from qaspark.operators.multihop import braced_objects
+
+    unit = F.struct(F.lit("word").alias("text"), F.lit(4).alias("size"), F.lit(-1).alias("run"), F.lit(2).alias("joint"), F.lit("\n\n").alias("sep"))
+
+    def seconds(n, column):
+        started = time.time()
+        spark.range(1).select(F.size(column(n)).alias("n")).collect()
+        return time.time() - started
+
+    for column, expected in (
+        (lambda n: braced_objects(F.repeat(F.lit("{a{b}c} "), F.lit(n))), lambda n: n),
+        (lambda n: pack(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda _: unit), 10), lambda n: -(-n // 2)),
+    ):
+        assert spark.range(1).select(F.size(column(1001)).alias("n")).first().n == expected(1001)
+        seconds(20_000, column)
+        assert seconds(80_000, column) < 3 * seconds(40_000, column) + 2
