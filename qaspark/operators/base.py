@@ -20,7 +20,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 @dataclass(frozen=True)
 class Chain:
-    """Operators applied one after another; nothing runs until an action asks for rows."""
+    """Operators applied one after another. Most only plan; those that must write something first run jobs at the call."""
 
     operators: Sequence[Operator]
 

@@ -167,11 +167,17 @@ def width_table(qa: DataFrame, generator: Generator, path: str | None = None) ->
     return done
 
 
-def review_session(
+def review_flow(
     documents: DataFrame, generator: Generator, session_id: str, *, pipeline: str = "singlehop", kind: str = "default",
-    min_score: float = 3.0, language: str = "zh", **options,
-) -> DataFrame:
-    """Generate and turn the result into review items: all scored rows, or the generated ones where no scores exist."""
+    min_score: float = 3.0, language: str = "zh", add_depth: bool = False, depth_rounds: int = 2, add_width: bool = False,
+    **options,
+) -> dict[str, DataFrame]:
+    """Stages of a review job: ``session`` (review items) and, where asked for, ``depth`` and ``width``.
+
+    The session is made of all scored rows, or of the generated ones where no scores exist. Depth and width work on the
+    generated rows of single-hop jobs, which are written once so that no stage asks the model again.
+    """
+    extra = {}
     if pipeline == "multihop":
         rows = markdown_multihop_qa(documents, generator, language=language, **options)["qa_multihop_generated"]
     else:
@@ -179,5 +185,16 @@ def review_session(
             documents, generator, kind=kind, grades=GradeFilter.all_at(min_score), language=language, **options
         )
         rows = stages["qa_generated" if kind == "atomic" else "qa_scored"]
+        if add_depth or add_width:
+            generated = cut(stages["qa_generated"], "generated")
+            if add_depth:
+                extra["depth"] = depth_table(generated, generator, depth_rounds)
+            if add_width:
+                extra["width"] = width_table(generated, generator)
     records = rows.withColumn("session_id", F.lit(session_id))
-    return session_items(records, min_score, ("source_md", "chunk_index", "rec_ord"))
+    return {"session": session_items(records, min_score, ("source_md", "chunk_index", "rec_ord")), **extra}
+
+
+def review_session(documents: DataFrame, generator: Generator, session_id: str, **options) -> DataFrame:
+    """The review items of ``review_flow`` alone."""
+    return review_flow(documents, generator, session_id, **options)["session"]

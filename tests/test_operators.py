@@ -369,3 +369,20 @@ def test_taxonomy_config():
             parse_taxonomy(bad)
     with pytest.raises(ValueError):
         flows.markdown_qa(None, None, kind="taxonomy", taxonomy=Taxonomy())
+
+
+def test_review_flow_adds_depth_and_width(spark):
+    """Depth and width of a job work on its generated rows; the session is the same with or without them."""
+    from checks.model import model
+    from checks.registry import documents
+    from qaspark.plans import qa as flows
+    from tests.conftest import SMALL
+
+    docs = documents(spark, SMALL).limit(60)
+    generator = model("singlehop", "scores", "depth", "width")
+    stages = flows.review_flow(docs, generator, "s", min_score=3.0, language="en", question_num=2, add_depth=True, depth_rounds=1, add_width=True)
+    assert set(stages) == {"session", "depth", "width"}
+    plain = flows.review_session(docs, generator, "s", min_score=3.0, language="en", question_num=2)
+    assert sorted(stages["session"].select("id", "question").collect()) == sorted(plain.select("id", "question").collect())
+    assert {"depth_round", "new_identifier"} <= set(stages["depth"].columns) and stages["depth"].count() > 0
+    assert "original_question" in stages["width"].columns and stages["width"].count() > 0
