@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from qaspark.llm.common import ship, text_of
 from qaspark.session import cut
 
 END = b"\0\0\0\0"
-CACHE = 400_000
+CACHE = 200_000
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 # --- token ids ----------------------------------------------------------------------------------------
@@ -33,7 +34,8 @@ class WordTokens:
     """Ids of a text as little-endian bytes, for a tokenizer that never joins what white space parts.
 
     Each stretch between white space is encoded once and kept; of a stretch that ends in a full stop or comma the
-    word alone is looked up. Caches are bounded. Rare inputs that Python and the tokenizer would part differently
+    word alone is looked up. A full cache stays as it is: frequent
+    words come early, and rare ones are not worth a place. Rare inputs that Python and the tokenizer would part differently
     are encoded whole.
     """
 
@@ -41,46 +43,42 @@ class WordTokens:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
-        """A word of letters only goes straight to the merges."""
-        known = self.words.get(word)
+        """A word of letters only goes straight to the merges; ASCII letters are their own byte names."""
+        low = word.lower()
+        known = self.words.get(low)
         if known is None:
-            if word.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word):
-                pieces = self.tokenizer.model.tokenize(self.bytes_of(word.lower())[0][0])
-                known = np.array([p.id for p in pieces], "<u4").tobytes()
+            if low.isalpha() and (low.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", word)):
+                pieces = self.model.tokenize(low if low.isascii() else self.bytes_of(low)[0][0])
+                known = array("I", [p.id for p in pieces]).tobytes()
             else:
-                known = self.encode(word)
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = known
+                return self.encode(word)
+            if len(self.words) < 2 * CACHE:
+                self.words[low] = known
         return known
 
     def stretch(self, piece: str) -> bytes:
-        if piece[-1] in ".," and piece[:-1].isalpha():
-            known = self.word(piece[:-1]) + self.word(piece[-1])
+        if piece[-1] in ".,":
+            known = self.word(piece[:-1]) + self.word(piece[-1]) if piece[:-1].isalpha() else self.encode(piece)
         else:
             known = self.word(piece)
-        if len(self.stretches) >= CACHE:
-            self.stretches.clear()
-        self.stretches[piece] = known
+        if len(self.stretches) < CACHE:
+            self.stretches[piece] = known
         return known
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in ODD_SPACES):
             return self.encode(text)
-        known, pieces = self.stretches, text.split()
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            return b"".join([known.get(p) or self.stretch(p) for p in pieces])
+        known = self.stretches.get
+        return b"".join([known(p) or self.stretch(p) for p in text.split()])
 
 
 _tokenizers: dict[str, WordTokens] = {}
