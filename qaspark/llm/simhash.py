@@ -155,18 +155,18 @@ def hex_of(column: str):
 
 
 def _anchored(texts: pd.Series, k: int, seeds: np.ndarray, width: int) -> Iterator[tuple]:
-    """For each text the fingerprints of its anchored windows and its set of shingle hashes."""
+    """For each text the fingerprints of its anchored windows and the number of its different shingles."""
     for text in texts:
         hashes = shingle_hashes(text or "", k)
         if not len(hashes):
-            yield [], []
+            yield [], 0
             continue
         prints = []
         for seed in seeds:
             mixed = (hashes ^ seed) * np.uint64(0x9E3779B97F4A7C15)
             at = int(np.argmin(mixed ^ (mixed >> np.uint64(29))))
             prints.append(signed(majority(hashes[at : at + width])))
-        yield prints, np.unique(hashes).view(np.int64)
+        yield prints, len(np.unique(hashes))
 
 
 @dataclass(frozen=True)
@@ -196,13 +196,12 @@ class NearDuplicates:
         k, width = self.shingle, self.width
         seeds = np.array([xxhash.xxh64_intdigest(str(i), SEED) for i in range(self.anchors)], np.uint64)
 
-        @F.pandas_udf("prints array<bigint>, shingles array<bigint>")
+        @F.pandas_udf("prints array<bigint>, n int")
         def sketch(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(list(_anchored(texts, k, seeds, width)), columns=["prints", "shingles"])
+            return pd.DataFrame(list(_anchored(texts, k, seeds, width)), columns=["prints", "n"])
 
         rows = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), sketch("text").alias("s"))
-        rows = rows.select("doc", "s.prints", "s.shingles", F.size("s.shingles").alias("n"))
-        return cut(rows, "sketches")
+        return cut(rows.select("doc", "s.prints", "s.n"), "sketches")
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """(``a``, ``b``): each document with the centres of its classes; sizes too far apart are left out."""
@@ -221,13 +220,27 @@ class NearDuplicates:
 
     def links(self, docs: DataFrame) -> DataFrame:
         """(``u``, ``v``), u > v: verified links between row names."""
-        rows = self.sketches(docs)
-        side = rows.select("doc", "shingles").dropDuplicates(["doc"])
-        pairs = cut(self.candidates(rows), "candidates")
-        a, b = side.toDF("a", "sa"), side.toDF("b", "sb")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - shared
-        return pairs.join(a, "a").join(b, "b").filter(shared >= union * self.similarity).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        pairs = cut(self.candidates(self.sketches(docs)), "candidates")
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
+        # all texts are shuffled once; only those of candidates travel on
+        texts = cut(named.join(involved, "doc", "left_semi").dropDuplicates(["doc"]), "candidate-texts")
+        k, least = self.shingle, self.similarity
+
+        @F.pandas_udf("boolean")
+        def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+            out, known, last = [], None, np.empty(0, np.uint64)
+            for a, b in zip(left, right):
+                if a != known:
+                    known, last = a, np.unique(shingle_hashes(a, k))
+                other = np.unique(shingle_hashes(b, k))
+                shared = len(np.intersect1d(last, other, assume_unique=True))
+                out.append(shared >= least * (len(last) + len(other) - shared))
+            return pd.Series(out, dtype=bool)
+
+        # the last join leaves the pairs of one centre together
+        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        return both.filter(similar("ta", "tb")).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
     def dropped(self, docs: DataFrame) -> DataFrame:
         """Row names that are near copies of a smaller one: every member of a group but its first."""
