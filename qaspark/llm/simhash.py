@@ -187,8 +187,8 @@ class NearDuplicates:
 
     similarity: float = 0.8
     shingle: int = 5
-    anchors: int = 10
-    width: int = 4
+    anchors: int = 8
+    width: int = 3
     salts: int = 16
 
     def sketches(self, docs: DataFrame) -> DataFrame:
