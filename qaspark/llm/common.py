@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 ROW = ("_r1", "_r2")
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 BLOCK_BYTES = 32 * 1024 * 1024
 
 
@@ -20,6 +21,10 @@ def ship(df: DataFrame) -> None:
 
     Functions then travel by name, and what a worker has learnt (a cache) serves its later tasks too.
     """
+    # batches of long texts, their copies in both processes included, stay small unless the session says otherwise
+    settings = df.sparkSession.conf
+    if settings.get(BATCH, None) in (None, "67108864b"):
+        settings.set(BATCH, BATCH_BYTES)
     context = df.sparkSession.sparkContext
     if getattr(context, "_qaspark_shipped", False):
         return
