@@ -36,6 +36,8 @@ CHROME_NAMES = set(
     "login share sharing social related recommended recommendations pagination pager comment comments commentlist comment-list disqus replies reply respond "
     "discussion reader-comments tags toolbar skip".split()
 )
+CHROME_FIRST = set("ad ads advert advertisement sidebar cookie comment comments share social promo sponsor sponsored newsletter notice banner menu nav navbar footer popup related breadcrumb subscribe".split())
+CHROME_LAST = set("ad ads advert advertisement sidebar comments notice menu nav navbar banner breadcrumbs newsletter".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol table dl select body html td th tr article section div".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -116,7 +118,16 @@ def _close(here: Node, tags: set[str], walls: set[str]) -> Node:
 
 
 def furniture(node: Node) -> bool:
-    return node.tag in SILENT or node.tag in CHROME or any(n in CHROME_NAMES or re.split(r"[-_]", n)[0] in ("ad", "ads", "advert", "sidebar", "cookie", "comment", "comments", "share", "social", "promo", "sponsor") for n in node.names)
+    """By element, or by a name such as ``sidebar``, ``cookie-bar`` or ``reader-comments``; ``has-sidebar`` says nothing of the kind."""
+    if node.tag in SILENT or node.tag in CHROME:
+        return True
+    if node.tag in ("html", "body", "article", "main"):
+        return False
+    for name in node.names:
+        parts = re.split(r"[-_]+", name)
+        if name in CHROME_NAMES or parts[0] not in ("has", "no", "with") and (parts[0] in CHROME_FIRST or parts[-1] in CHROME_LAST):
+            return True
+    return False
 
 
 # --- wrappers -------------------------------------------------------------------------------------------

@@ -52,6 +52,15 @@ def test_wrapper_without_an_article_element(spark):
         assert found[i] == f"Head {i}\nFirst & {i} text here.\nSecond {'word ' * (i + 2)}word bold word\none {i}\ntwo"
 
 
+def test_furniture_inside_the_article(spark):
+    """Notices, adverts, forms and reader comments go wherever they stand; a page class that mentions a sidebar does not matter."""
+    page = """<body class="has-sidebar"><aside>side</aside><article class="post with-comments"><header><h1>Title</h1><p>by me</p></header>
+    <div class="site-notice">notice</div><p>One.</p><ins class="ad-slot">buy</ins><blockquote>Two <i>three</i></blockquote><form><p>mail</p></form>
+    <table><tr><td>a</td><td>b</td></tr></table><section id="reader-comments"><p>first!</p></section><div class="newsletter-box">join</div></article></body>"""
+    found = WrapperExtraction()(spark.createDataFrame([(1, "http://x.example/", page)], "page_id bigint, url string, html string")).collect()
+    assert found[0]["text"] == "Title\nby me\nOne.\nTwo three\na\nb"
+
+
 def test_odd_pages(spark):
     same = "<body><article><p>Same everywhere.</p></article></body>"
     rows = [
