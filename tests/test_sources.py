@@ -73,8 +73,43 @@ def test_url_layout(spark, url, host, segment):
     assert row.url_host == host and row.rel_path == f"urls/{segment}/{row.url_fingerprint}" and len(row.url_fingerprint) == 16
 
 
-def test_relative_urls_are_dropped(spark):
-    assert ingest.url_layout(spark.createDataFrame([("/a/b",), ("mailto:x",), ("http:///p",)], "url string")).count() == 0
+def test_relative_urls_keep_their_rows(spark):
+    urls = spark.createDataFrame([("/a/b",), ("mailto:x",), ("http:///p",)], "url string")
+    rows = ingest.url_layout(urls).collect()
+    assert [(r.url_host, r.rel_path) for r in rows] == [("", None)] * 3
+    fetched = urls.selectExpr("url", "'application/pdf' AS head_type", "'' AS get_type", "cast('%PDF' AS binary) AS body")
+    nothing = spark.createDataFrame([], "url string, returncode int, has_output boolean, copy_error string, stderr string, duration_ms bigint, version string, backend string")
+    done = ingest.url_manifest(fetched, nothing, "out").collect()
+    assert [(r.status, r.error_code, r.output_md_path) for r in done] == [("failed", ingest.E_FAILED, "")] * 3
+
+
+def test_manifest_finds_texts_of_real_files(spark, tmp_path):
+    """Plain paths of a manifest and the URIs of a reader name the same files, blanks and plus signs included."""
+    from qaspark.sources.markdown import scan_manifest
+
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    for name in ("x y.md", "p+q.md"):
+        (folder / name).write_text(name)
+    manifest = spark.createDataFrame([(str(folder / n), "ok") for n in ("x y.md", "p+q.md", "gone.md")], "output_md_path string, status string")
+    manifest = manifest.selectExpr("*", "'' AS source_path")
+    found = scan_manifest(manifest, read_markdown(spark, str(folder))).collect()
+    assert {(r.source_md, r.text) for r in found} == {(str(folder / n), n) for n in ("x y.md", "p+q.md")}
+
+
+def test_scan_reads_accepted_files_only(spark, tmp_path):
+    """A file that is ignored or too large is never opened, so its size cannot fail the scan."""
+    (tmp_path / "big.txt").write_bytes(b"x" * 5000)
+    (tmp_path / "big.md").write_bytes(b"x" * 5000)
+    (tmp_path / "ok.MD").write_text("fine")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert [r.text for r in read_uploads(spark, str(tmp_path), limit=900).collect()] == ["fine"]
+        assert [r.source_path for r in ingest.scan_directory(spark, str(tmp_path)).collect()] == ["a.pdf"]
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
 
 
 def test_taxonomy_file(tmp_path):
