@@ -179,7 +179,11 @@ class NearDuplicates:
     similarity s choose the same shingle with probability s in every order, so all orders fail with probability
     (1 - s)^anchors; the covering tables also join windows in which a bit or two differ. In a class of linked
     windows each document is compared with the smallest of the class and the smallest of its salt in the class,
-    linear in the class, and the exact similarity of whole shingle sets decides every link.
+    linear in the class. Members of one class that are then in different groups meet by a prefix filter: two similar
+    documents share one of their rarest shingles (``prefixes``). In a block of one such shingle first the block's
+    first document, then every pair still in different groups is compared. So no two similar documents of one class
+    stay apart, and the exact similarity of whole shingle sets decides every link. Groups are told apart by a 64-bit
+    hash of their name.
 
     Input ``doc_id``, ``text``; other columns are ignored. Null and wordless texts are never near copies. Repeated
     rows are one document. Ties do not occur: the order is by id, then by a hash of the text.
@@ -190,6 +194,9 @@ class NearDuplicates:
     anchors: int = 8
     width: int = 3
     salts: int = 16
+    sample: int = 5000
+    known: int = 1 << 18
+    side: int = 256
 
     def sketches(self, docs: DataFrame) -> DataFrame:
         ship(docs)
@@ -203,24 +210,116 @@ class NearDuplicates:
         rows = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), sketch("text").alias("s"))
         return cut(rows.select("doc", "s.prints", "s.n"), "sketches")
 
-    def candidates(self, rows: DataFrame) -> DataFrame:
-        """(``a``, ``b``): each document with the centres of its classes; sizes too far apart are left out."""
+    def classes(self, rows: DataFrame) -> DataFrame:
+        """(``c``, ``doc``, ``n``): the classes of linked windows that each document lies in."""
         windows = rows.select("doc", "n", F.explode(F.array_distinct("prints")).alias("fp"))
         roots = cut(components(CoveringLsh().links(windows.select("fp").distinct())), "roots")
-        classes = windows.join(roots, windows.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("c"), "doc", "n")
-        classes = cut(classes.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(self.salts))), "window-classes")
+        return cut(windows.join(roots, windows.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("c"), "doc", "n"), "window-classes")
+
+    def _sized(self, n: str, m: str):
+        return F.least(n, m) >= F.greatest(n, m) * self.similarity
+
+    def centres(self, classes: DataFrame) -> DataFrame:
+        """(``a``, ``b``): each document with the first of its classes and of its salt in them."""
+        classes = classes.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(self.salts)))
         least = F.min(F.struct("doc", "n")).alias("first")
         by_salt = classes.groupBy("c", "salt").agg(least, F.max("doc").alias("last"))
         by_class = by_salt.groupBy("c").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first.doc < last")
-        near = F.least("n", "first.n") >= F.greatest("n", "first.n") * self.similarity
         one = classes.join(cut(by_class, "class-centres"), "c")
         two = classes.join(cut(by_salt.filter("first.doc < last"), "salt-centres"), ["c", "salt"])
-        pairs = [x.filter((F.col("doc") > F.col("first.doc")) & near).select(F.col("first.doc").alias("a"), F.col("doc").alias("b")) for x in (one, two)]
-        return pairs[0].unionByName(pairs[1]).distinct()
+        fits = (F.col("doc") > F.col("first.doc")) & self._sized("n", "first.n")
+        pairs = [x.filter(fits).select(F.col("first.doc").alias("a"), F.col("doc").alias("b")) for x in (one, two)]
+        return cut(pairs[0].unionByName(pairs[1]).distinct(), "centre-pairs")
+
+    def mixed(self, classes: DataFrame, links: DataFrame) -> DataFrame:
+        """(``id``, ``doc``, ``label``): documents of classes whose members are not yet all in one group."""
+        groups = cut(components(links), "groups")
+        marked = classes.join(groups, classes.doc == groups.node, "left").select("c", "doc", F.xxhash64(F.coalesce("root", "doc")).alias("label"))
+        marked = cut(marked, "marked-classes")
+        open_ = cut(marked.groupBy("c").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("c"), "open-classes")
+        found = marked.join(open_, "c", "left_semi").select("doc", "label").distinct()
+        return cut(found.select(F.monotonically_increasing_id().alias("id"), "doc", "label"), "open-documents")
+
+    def prefixes(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+        """(``token``, ``id``, ``n``, ``label``): the rarest shingles of every member, by one order for all.
+
+        Two sets of similarity t share t of the larger one, so with n shingles each the first n - tn + 1 of both in any
+        common order meet. The order is by the count in a sample of documents, then by hash: the sample decides only
+        how large blocks get, never what is found.
+        """
+        k, least = self.shingle, self.similarity
+        named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
+        texts = cut(named.join(members, "doc").dropDuplicates(["id"]).select("id", "label", "text"), "open-texts")
+        share = max(1, texts.count() // self.sample)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sets = [np.unique(shingle_hashes(t, k)) for t in batch["text"]]
+                seen, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                yield pd.DataFrame({"token": seen.view(np.int64), "times": times})
+
+        sampled = texts.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text").mapInPandas(count, "token bigint, times bigint")
+        often = sampled.groupBy("token").agg(F.sum("times").alias("times")).filter("times > 2").orderBy(F.desc("times"), "token").limit(self.known).toArrow()
+        keys, times = np.asarray(often["token"].to_numpy(), np.int64), np.asarray(often["times"].to_numpy(), np.int64)
+        at = np.argsort(keys)
+        shared = docs.sparkSession.sparkContext.broadcast((keys[at], times[at]))
+
+        @F.pandas_udf("tokens array<bigint>, n int")
+        def rarest(texts: pd.Series) -> pd.DataFrame:
+            known, counts = shared.value
+            out = []
+            for text in texts:
+                own = np.unique(shingle_hashes(text, k)).view(np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[place] == own, counts[place], 0)
+                need = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                out.append((own[np.lexsort((own, rank))[:need]], len(own)))
+            return pd.DataFrame(out, columns=["tokens", "n"])
+
+        rows = texts.select("id", "label", rarest("text").alias("s"))
+        return cut(rows.select(F.explode("s.tokens").alias("token"), "id", F.col("s.n").alias("n"), "label"), "prefixes")
+
+    def block_firsts(self, index: DataFrame) -> DataFrame:
+        """(``i``, ``j``): each document with the first of its blocks where the two are in different groups."""
+        firsts = index.groupBy("token").agg(F.min(F.struct("id", "n", "label")).alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        firsts = cut(firsts.filter("lo <> hi").select("token", "f"), "block-firsts")
+        pairs = index.join(firsts, "token").filter((F.col("f.label") != F.col("label")) & self._sized("n", "f.n"))
+        return pairs.select(F.col("f.id").alias("i"), F.col("id").alias("j")).distinct()
+
+    def block_pairs(self, index: DataFrame) -> DataFrame:
+        """(``i``, ``j``): all pairs of a block that are in different groups; large blocks are cut into squares of bounded side."""
+        sizes = index.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+        sizes = cut(sizes.filter("lo <> hi").select("token", F.ceil(F.col("size") / self.side).cast("int").alias("parts")), "open-blocks")
+        rows = index.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        rows = rows.select("token", "id", "n", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = cut(rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "n", "label"), "block-squares")
+        left = rows.select("token", "p", "q", *[F.col(x).alias(f"{x}_l") for x in ("part", "id", "n", "label")])
+        both = left.join(rows, ["token", "p", "q"]).filter("id_l < id AND label_l <> label AND (p = q OR part_l <> part)").filter(self._sized("n_l", "n"))
+        return both.select(F.col("id_l").alias("i"), F.col("id").alias("j")).distinct()
 
     def links(self, docs: DataFrame) -> DataFrame:
-        """(``u``, ``v``), u > v: verified links between row names."""
-        pairs = cut(self.candidates(self.sketches(docs)), "candidates")
+        """(``u``, ``v``), u > v: verified links between row names that connect all members of each group."""
+        classes = self.classes(self.sketches(docs))
+        found = cut(self.verified(docs, self.centres(classes)), "centre-links")
+        members = self.mixed(classes, found)
+        if members.isEmpty():
+            return found
+        index = self.prefixes(docs, members)
+        names = members.select("id", "doc")
+        for blocks in (self.block_firsts, self.block_pairs):
+            pairs = blocks(index).join(names.toDF("i", "x"), "i").join(names.toDF("j", "y"), "j")
+            pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "block-pairs")
+            found = cut(found.unionByName(self.verified(docs, pairs)), "links-so-far")
+            groups = cut(components(found), "groups")
+            label = F.xxhash64(F.coalesce("root", "doc")).alias("label")
+            labels = names.join(groups, names.doc == groups.node, "left").select("id", label)
+            index = index.drop("label").join(labels, "id")
+        return found
+
+    def verified(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(``u``, ``v``) of those ``pairs`` whose whole shingle sets are similar."""
         involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
         # all texts are shuffled once; only those of candidates travel on

@@ -165,6 +165,32 @@ def test_near_duplicates_on_odd_rows(odd, nothing):
     assert NearDuplicates().keep_first(nothing).count() == 0
 
 
+def test_near_copies_behind_a_smaller_member_of_their_class(spark):
+    rows, copies = [], set()
+    for g in range(40):  # similarities 0.79 (A, B), 0.67 (A, C) and 0.85 (B, C): only C is a near copy
+        words = [f"chain{g}w{i}" for i in range(500)]
+        rows += [(10 * g + j, " ".join(words[d : d + 404])) for j, d in enumerate((0, 47, 79))]
+        copies.add(10 * g + 2)
+    for g in range(10):  # two copies of 0.9 whose passage of two thirds 60 smaller documents share
+        passage, tail = [f"shared{g}w{i}" for i in range(200)], [f"tail{g}w{i}" for i in range(115)]
+        start = 10_000 + 100 * g
+        rows += [(start + j, " ".join(passage + [f"own{g}x{j}w{i}" for i in range(100)])) for j in range(60)]
+        rows += [(start + 60, " ".join(passage + tail[:100])), (start + 61, " ".join(passage + tail[15:]))]
+        copies.add(start + 61)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["_r1"] for r in NearDuplicates().dropped(docs).collect()} == copies
+
+
+def test_all_pairs_of_large_blocks(spark):
+    near = NearDuplicates(side=4)
+    rows = [(1, i, 10, i % 3) for i in range(50)] + [(2, i, 10, 0) for i in range(9)] + [(3, 7, 10, 1), (3, 8, 13, 2)]
+    index = spark.createDataFrame(rows, "token bigint, id bigint, n int, label bigint")
+    expected = {(i, j) for i in range(50) for j in range(i + 1, 50) if i % 3 != j % 3}
+    assert {tuple(r) for r in near.block_pairs(index).collect()} == expected
+    found = {tuple(r) for r in near.block_firsts(index).collect()}
+    assert found == {(0, j) for j in range(50) if j % 3}
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     stored = rng.integers(0, 2**64, 50, dtype=np.uint64)
