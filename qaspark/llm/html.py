@@ -235,42 +235,73 @@ def is_chrome(node: list) -> bool:
     return furniture(probe)
 
 
-def content_path(wrapper: list) -> list[tuple[str, str]]:
-    """Keys from the root to the wrapper's content node.
+def content_path(wrapper: list) -> list[tuple[str, str, int]]:
+    """Keys from the root to the wrapper's content node, each with its place among siblings of equal key.
 
     A node that says it is the article wins, the largest of several. Else the walk goes down from the root to the child
     that holds most of the text outside furniture and links, as long as one child holds three fifths of it.
     """
     best: tuple[int, list] = (0, [])
 
-    def named(node: list, path: list) -> None:
+    def named(node: list, path: list, step: tuple) -> None:
         nonlocal best
         if is_chrome(node):
             return
-        path = [*path, (node[0], node[1])]
+        path = [*path, step]
         if (node[0] in ("article", "main") or CONTENT_NAMES & set(node[1].split())) and node[4] > best[0]:
             best = (node[4], path)
-        for child in node[6]:
-            named(child, path)
+        for step, child in zip(_steps(node), node[6]):
+            named(child, path, step)
 
-    for child in wrapper[6]:
-        named(child, [])
+    for step, child in zip(_steps(wrapper), wrapper[6]):
+        named(child, [], step)
     if best[1]:
-        article = [k for k, (tag, _) in enumerate(best[1]) if tag == "article"]
+        article = [k for k, (tag, *_) in enumerate(best[1]) if tag == "article"]
         return best[1][: article[0] + 1] if article else best[1]
     node, path = wrapper, []
     while True:
-        inner = [(c[4] - c[5], c) for c in node[6] if not is_chrome(c) and c[0] in BLOCKS]
-        total = sum(n for n, _ in inner)
+        inner = [(c[4] - c[5], c, step) for step, c in zip(_steps(node), node[6]) if not is_chrome(c) and c[0] in BLOCKS]
+        total = sum(n for n, *_ in inner)
         if not inner or not total:
             return path
-        most, child = max(inner, key=lambda x: x[0])
+        most, child, step = max(inner, key=lambda x: x[0])
         if most < 0.6 * total or not any(c[0] in BLOCKS for c in child[6]):
             return path
-        node, path = child, [*path, (child[0], child[1])]
+        node, path = child, [*path, step]
 
 
-def template_keys(wrapper: list, path: list[tuple[str, str]]) -> list[tuple[str, str]]:
+def _steps(node: list) -> list[tuple[str, str, int]]:
+    """Tag, names and place among siblings of equal tag and names, for every child."""
+    seen: dict[tuple[str, str], int] = {}
+    out = []
+    for child in node[6]:
+        key = (child[0], child[1])
+        seen[key] = seen.get(key, -1) + 1
+        out.append((*key, seen[key]))
+    return out
+
+
+def content_paths(wrapper: list) -> list[list[tuple[str, str, int]]]:
+    """The content node's path, then those of the content's other parts.
+
+    A part has the tag and names of a node on the path and stands beside it, apart from it. It holds paragraphs, most
+    of its text is outside links, and it varies where the wrapper is of several pages.
+    """
+    main = content_path(wrapper)
+    node, paths = wrapper, [main]
+    for depth, step in enumerate(main):
+        for other, child in zip(_steps(node), node[6]):
+            if other[:2] == step[:2] and other != step and not is_chrome(child) and _prose(child) and (wrapper[2] < 2 or _varying(child)):
+                paths.append([*main[:depth], other])
+        node = _descend(wrapper, main[: depth + 1])
+    return paths
+
+
+def _prose(node: list) -> bool:
+    return 2 * node[5] < node[4] and (node[0] == "p" or any(_prose(c) for c in node[6]))
+
+
+def template_keys(wrapper: list, path: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
     """Children of the content node that are constant on at least five pages while others vary: template inside it.
 
     Paragraphs, headings and lists are never template: an article may repeat another's sentence.
@@ -290,7 +321,7 @@ def _varying(node: list) -> bool:
 def _descend(wrapper: list, path: list) -> list | None:
     node = wrapper
     for key in path:
-        node = next((c for c in node[6] if (c[0], c[1]) == tuple(key)), None)
+        node = next((c for step, c in zip(_steps(node), node[6]) if step == tuple(key)), None)
         if node is None:
             return None
     return node
@@ -336,26 +367,39 @@ def _left_out(node: Node, skip: set[tuple[str, str]]) -> bool:
     return furniture(node) or bool(node.names) and (node.tag, " ".join(node.names)) in skip
 
 
-def extract(page: str, wrapper: list | None, path: list, skip: list) -> str:
+def extract(page: str, wrapper: list | None, paths: list, skip: list) -> str:
     """The page's main text by its host's wrapper; a page that the wrapper does not fit is its own wrapper."""
     root = parse(page)
     seen: dict = {}
     own = outline(root, seen)
-    found = _matching(own, wrapper, path) if wrapper is not None else None
-    if found is None:
-        found = _descend(own, content_path(own))
+    found = [_matching(own, wrapper, path) for path in paths] if wrapper is not None else [None]
+    if found[0] is None:
+        found = [_descend(own, path) for path in content_paths(own)]
         skip = []
-    nodes = seen.get(id(found), [root]) if found is not None else [root]
+    nodes = [node for part in found if part is not None for node in seen.get(id(part), [root])]
+    if len(nodes) > 1:
+        nodes = _in_page_order(root, nodes)
     skips = {tuple(k) for k in skip}
     return "\n".join(line for node in nodes for line in blocks_of(node, skips))
 
 
+def _in_page_order(root: Node, nodes: list[Node]) -> list[Node]:
+    """The nodes as they stand on the page, each once."""
+    wanted, out, stack = {id(n) for n in nodes}, [], [root]
+    while stack:
+        node = stack.pop()
+        if id(node) in wanted:
+            out.append(node)
+        stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
+    return out
+
+
 def _matching(own: list, wrapper: list, path: list) -> list | None:
     """The page's node that simple tree matching aligns with the wrapper's content node."""
     here, there = own, wrapper
     for key in path:
-        pairs = [(own_child, other) for i, j in _aligned(there[6], here[6]) if i is not None and j is not None for own_child, other in [(here[6][j], there[6][i])]]
-        step = next(((a, b) for a, b in pairs if (b[0], b[1]) == tuple(key)), None)
+        at = next((i for i, step in enumerate(_steps(there)) if step == tuple(key)), None)
+        step = next(((here[6][j], there[6][i]) for i, j in _aligned(there[6], here[6]) if i is not None and i == at and j is not None), None)
         if step is None:
             return None
         here, there = step
@@ -397,8 +441,8 @@ class WrapperExtraction:
 
         def finish(rows: pd.DataFrame) -> pd.DataFrame:
             total = merged([json.loads(w) for w in sorted(rows["wrapper"])])
-            path = content_path(total)
-            plan = [_bare(total, path), path, template_keys(total, path)]
+            paths = content_paths(total)
+            plan = [_bare(total, paths), paths, [key for path in paths for key in template_keys(total, path)]]
             return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(plan)]})
 
         schema = "host string, wrapper string"
@@ -433,7 +477,8 @@ class WrapperExtraction:
         return self.hosted(pages).join(side, "host", "left").select("page_id", "url", text_of("html", "wrapper").alias("text"))
 
 
-def _bare(wrapper: list, path: list) -> list:
-    """The wrapper down to its content node; what lies beside the path keeps only its keys."""
-    children = [_bare(c, path[1:]) if path and (c[0], c[1]) == tuple(path[0]) else [*c[:6], []] for c in wrapper[6]] if path else []
+def _bare(wrapper: list, paths: list) -> list:
+    """The wrapper down to its content nodes; what lies beside the paths keeps only its keys."""
+    below = lambda step: [path[1:] for path in paths if path and tuple(path[0]) == step]
+    children = [_bare(c, below(step)) if below(step) else [*c[:6], []] for step, c in zip(_steps(wrapper), wrapper[6])] if any(paths) else []
     return [*wrapper[:6], children]

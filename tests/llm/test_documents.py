@@ -52,6 +52,22 @@ def test_wrapper_without_an_article_element(spark):
         assert found[i] == f"Head {i}\nFirst & {i} text here.\nSecond {'word ' * (i + 2)}word bold word\none {i}\ntwo"
 
 
+def texts_of(spark, bodies):
+    rows = [(i, f"http://same.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    found = WrapperExtraction()(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_content_among_siblings_of_equal_key(spark, n):
+    story = lambda i, part: f"<p>Story {i} {part} " + f"word{i}{part} " * 60 + "</p>"
+    found = texts_of(spark, [f"<div>Home News Sport</div><hr><div>{story(i, 'a')}{story(i, 'b')}</div>" for i in range(n)])
+    assert all("Home" not in t and f"Story {i} a" in t and f"Story {i} b" in t for i, t in enumerate(found))
+    split = "<div>{}{}</div><aside>Buy now</aside><div>{}</div><aside>Buy more</aside>"
+    found = texts_of(spark, [split.format(*(story(i, x) for x in "abc")) for i in range(n)])
+    assert all([line.split()[2] for line in t.split("\n")] == ["a", "b", "c"] for t in found)
+
+
 def test_furniture_inside_the_article(spark):
     """Notices, adverts, forms and reader comments go wherever they stand; a page class that mentions a sidebar does not matter."""
     page = """<body class="has-sidebar"><aside>side</aside><article class="post with-comments"><header><h1>Title</h1><p>by me</p></header>
