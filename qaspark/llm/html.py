@@ -41,17 +41,17 @@ CHROME_LAST = set("ad ads advert advertisement sidebar comments notice menu nav
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol table dl select body html td th tr article section div".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 DEPTH = 200
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts", "parent", "depth")
+    __slots__ = ("tag", "names", "key", "parts", "parent", "depth")
 
-    def __init__(self, tag: str, names: tuple[str, ...], parent: "Node | None") -> None:
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: tuple[str, ...], parent: "Node | None", key: str = "") -> None:
+        self.tag, self.names, self.parent, self.key = tag, names, parent, key
         self.depth = 0 if parent is None else parent.depth + 1
         self.parts: list[Node | str] = []
 
@@ -93,8 +93,8 @@ def parse(page: str) -> Node:
         if tag in CLOSES:
             here = _close(here, CLOSES[tag], SCOPE - CLOSES[tag])
         attributes = found.group(3)
-        names = tuple(w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()) if "=" in attributes else ()
-        node = Node(tag, names, here)
+        found_names = [(m[1].lower(), w) for m in NAMES.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()] if "=" in attributes else []
+        node = Node(tag, tuple(w for _, w in found_names), here, " ".join(filter(None, (_stable(*x) for x in found_names))))
         here.parts.append(node)
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
@@ -117,17 +117,31 @@ def _close(here: Node, tags: set[str], walls: set[str]) -> Node:
     return up.parent if up is not None and up.tag in tags and up.parent is not None else here
 
 
+DIGITS = re.compile(r"\d+")
+
+
+def _stable(kind: str, name: str) -> str:
+    """What of a name is the layout's: ids and digits are a page's own, but what they say of furniture or content stays."""
+    if kind != "id":
+        bare = DIGITS.sub("", name)
+        if _furniture_name(name) == _furniture_name(bare):
+            return bare
+        return "widget" if _furniture_name(name) else ""
+    return "widget" if _furniture_name(name) else name if name in CONTENT_NAMES else ""
+
+
 def furniture(node: Node) -> bool:
     """By element, or by a name such as ``sidebar``, ``cookie-bar`` or ``reader-comments``; ``has-sidebar`` says nothing of the kind."""
     if node.tag in SILENT or node.tag in CHROME:
         return True
     if node.tag in ("html", "body", "article", "main"):
         return False
-    for name in node.names:
-        parts = re.split(r"[-_]+", name)
-        if name in CHROME_NAMES or parts[0] not in ("has", "no", "with") and (parts[0] in CHROME_FIRST or parts[-1] in CHROME_LAST):
-            return True
-    return False
+    return any(map(_furniture_name, node.names))
+
+
+def _furniture_name(name: str) -> bool:
+    parts = re.split(r"[-_]+", name)
+    return name in CHROME_NAMES or parts[0] not in ("has", "no", "with") and (parts[0] in CHROME_FIRST or parts[-1] in CHROME_LAST)
 
 
 # --- wrappers -------------------------------------------------------------------------------------------
@@ -155,7 +169,7 @@ def outline(node: Node, seen: dict) -> list:
     if node.tag == "a":
         links = chars
     digest = xxhash.xxh64_intdigest(" ".join(text)) if text else 0
-    out = [node.tag, " ".join(node.names), 1, digest, chars, links, children]
+    out = [node.tag, node.key, 1, digest, chars, links, children]
     seen[id(out)] = [node]
     return out
 
@@ -364,7 +378,7 @@ def blocks_of(node: Node, skip: set[tuple[str, str]]) -> list[str]:
 def _left_out(node: Node, skip: set[tuple[str, str]]) -> bool:
     if node.tag == "header":  # an article's own header holds its headline
         return not any(isinstance(p, Node) and p.tag in HEADINGS for p in node.parts)
-    return furniture(node) or bool(node.names) and (node.tag, " ".join(node.names)) in skip
+    return furniture(node) or bool(node.key) and (node.tag, node.key) in skip
 
 
 def extract(page: str, wrapper: list | None, paths: list, skip: list) -> str:

@@ -68,6 +68,15 @@ def test_content_among_siblings_of_equal_key(spark, n):
     assert all([line.split()[2] for line in t.split("\n")] == ["a", "b", "c"] for t in found)
 
 
+def test_wrapper_of_pages_with_own_ids(spark):
+    body = '<div id="sidebar">Links</div><article id="post-{i}" class="post-{i} entry{i}"><p>Text {i}</p><div class="tip">Buy our book</div></article>'
+    rows = [(i, f"http://same.example/{i}", "<html><body>" + body.format(i=i) + "</body></html>") for i in range(100, 140)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    (plan,) = WrapperExtraction().wrappers(pages).collect()
+    assert len(plan["wrapper"]) < 1000
+    assert {r["text"] for r in WrapperExtraction()(pages).collect()} == {f"Text {i}" for i in range(100, 140)}
+
+
 def test_furniture_inside_the_article(spark):
     """Notices, adverts, forms and reader comments go wherever they stand; a page class that mentions a sidebar does not matter."""
     page = """<body class="has-sidebar"><aside>side</aside><article class="post with-comments"><header><h1>Title</h1><p>by me</p></header>
