@@ -13,6 +13,7 @@ from qaspark.llm.html import WrapperExtraction
 from qaspark.llm.lines import RepeatedLines
 from qaspark.llm.lpf import RepeatedPassages
 from qaspark.llm.packing import BestFitPacking
+from qaspark.llm.permuterm import CorpusWords, SpellingVariants
 from qaspark.llm.simhash import SimHashDedup, hex_of
 from qaspark.llm.tokens import EditAwareCounts, cleaning_column
 from qaspark.llm.toxicity import Toxicity
@@ -140,3 +141,47 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     edited = docs.select("doc_id", "text", cleaning_column()("text").alias("edits"))
     return EditAwareCounts(tokenizer_path("byte_bpe_50k.json")).recount(edited, "edits").drop("text")
+
+
+# CRC-32 with the reflected polynomial EDB88320, byte by byte; near words share a text with one character left out.
+VARIANTS_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i::BIGINT], [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+                          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), runs AS (
+  SELECT doc, r, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc,
+           translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents)
+  WHERE length(r) >= 7 GROUP BY doc, r
+), bytes AS (
+  SELECT r, n, flatten(list_transform(string_split(doc || ':' || r, ''),
+                       lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM runs
+), marked AS (
+  SELECT r, n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), words AS (
+  SELECT w, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS w, n FROM marked)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2
+), gaps AS (
+  SELECT w, n, i, left(w, i::INT) || substr(w, i::INT + 2) AS s FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM words)
+), near AS (
+  SELECT a.w, b.w AS v, b.n FROM gaps a JOIN gaps b ON a.s = b.s AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, b.w, b.n FROM gaps a JOIN words b ON a.s = b.w
+  UNION SELECT b.w, a.w, a.n FROM gaps a JOIN words b ON a.s = b.w
+), best AS (
+  SELECT w, count(*) AS k, first(v ORDER BY n DESC, v) AS v, max(n) AS m FROM near GROUP BY w
+), formed AS (
+  SELECT words.w, words.n, coalesce(k, 0) AS k, CASE WHEN m >= 10 * words.n THEN v END AS v, CASE WHEN m >= 10 * words.n THEN m END AS m
+  FROM words LEFT JOIN best USING (w)
+), chain AS (
+  SELECT w, w AS root, v AS onward FROM formed
+  UNION ALL SELECT c.w, f.w, f.v FROM chain c JOIN formed f ON c.onward = f.w
+)
+SELECT f.w AS word, f.v AS form, c.root, f.n, f.k AS n_near, f.m AS form_n FROM formed f JOIN chain c ON f.w = c.w AND c.onward IS NULL
+"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return SpellingVariants()(CorpusWords()(table(spark, sf, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
