@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from qaspark.llm.centroids import CentroidClusters
 from qaspark.llm.chat import ChatFormat
 from qaspark.llm.decontaminate import Decontamination
 from qaspark.llm.exact import StreamingExactDedup
@@ -185,3 +186,28 @@ SELECT f.w AS word, f.v AS form, c.root, f.n, f.k AS n_near, f.m AS form_n FROM
 @query("op11_spelling_variants", VARIANTS_SQL)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return SpellingVariants()(CorpusWords()(table(spark, sf, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def clusters_sql(k: int = 8, dims: int = 64, rounds: int = 10) -> str:
+    """Every round spelt out: all distances, the nearest centroid, the floor of the mean."""
+    assign = """SELECT vec_id, v, min(struct_pack(d := d, j := j)) AS m FROM (
+    SELECT r, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r}) GROUP BY r, vec_id, v"""
+    ctes = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM v QUALIFY j < {k})",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED ({assign.format(r=r)})")
+        if r < rounds:
+            sums = f"""SELECT j, list(s ORDER BY i) AS c FROM (
+    SELECT j, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS s FROM (SELECT m.j AS j, unnest(range({dims})) AS i, unnest(v) AS x FROM a{r}) GROUP BY j, i) GROUP BY j"""
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(n.c, c{r}.c) AS c FROM c{r} LEFT JOIN ({sums}) n ON n.j = c{r}.j)")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.j)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON m.j = c{rounds}.j"""
+
+
+@query("op12_centroid_clusters", clusters_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return CentroidClusters()(table(spark, sf, "embeddings"))
