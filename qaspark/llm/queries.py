@@ -11,6 +11,7 @@ from qaspark.llm.chat import ChatFormat
 from qaspark.llm.decontaminate import Decontamination
 from qaspark.llm.exact import StreamingExactDedup
 from qaspark.llm.html import WrapperExtraction
+from qaspark.llm.itq import EmbeddingNearDuplicates
 from qaspark.llm.lines import RepeatedLines
 from qaspark.llm.lpf import RepeatedPassages
 from qaspark.llm.packing import BestFitPacking
@@ -211,3 +212,8 @@ SELECT vec_id, m.j::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY
 @query("op12_centroid_clusters", clusters_sql())
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return CentroidClusters()(table(spark, sf, "embeddings"))
+
+
+@query("op13_embedding_near_duplicates")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return EmbeddingNearDuplicates()(table(spark, sf, "embeddings"))
