@@ -3,6 +3,7 @@
 from checks.registry import REGISTRY, Check
 from checks import (  # noqa: F401  (imported for their registrations)
     chunk_checks,
+    exchange_checks,
     generate_checks,
     join_checks,
     review_checks,

@@ -6,18 +6,24 @@
 
 A prompt without an answer gets the empty string, which every parser treats as unusable. A null
 prompt is not asked and gets the empty string too.
+
+``over`` prepares a generator for rows that carry long texts through many calls: responses are then exchanged as a side
+table of keys, hashes and answers, and the texts stay in a ``TextStore``. Equal prompts are asked once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from qaspark.operators.base import first_per_group
+from qaspark.operators.exchange import ROW_KEY, TextStore, row_key
 from qaspark.session import cut
 
 
@@ -38,6 +44,9 @@ class Generator(Protocol):
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         """``df`` with one response column per ask; asks of a row do not depend on each other."""
 
+    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+        """A generator that keeps the columns ``texts`` (name to the column it repeats) of ``df`` out of its joins, and the rows to go on with."""
+
 
 @dataclass(frozen=True)
 class ExpressionGenerator:
@@ -51,6 +60,9 @@ class ExpressionGenerator:
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         return df.withColumns({a.to: self._answer(a.stage, a.prompt) for a in asks})
 
+    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+        return self, df
+
     def _answer(self, stage: str, prompt: Column) -> Column:
         return F.coalesce(F.when(prompt.isNotNull(), self.rules[stage]), F.lit(""))
 
@@ -59,6 +71,17 @@ def prompt_hash(prompt: Column, system: str = "") -> Column:
     return F.sha2(F.concat(F.lit(system + "\n"), prompt), 256)
 
 
+def hash_or_own(prompt: Column, system: str = "") -> Column:
+    """The prompt's hash. Rows that ask nothing have no partner; a number of their own instead of one null key spreads them over all tasks."""
+    own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    return F.coalesce(prompt_hash(prompt, system), own)
+
+
+def store_of(texts: TextStore | None, df: DataFrame) -> TextStore | None:
+    """The store, for rows that still carry its key."""
+    return texts if texts is not None and ROW_KEY in df.columns else None
+
+
 @dataclass(frozen=True)
 class TableGenerator:
     """Stored responses ``(stage, prompt_hash, response[, resp_ord])``; the lowest ``resp_ord`` wins.
@@ -69,8 +92,13 @@ class TableGenerator:
     """
 
     responses: DataFrame
+    texts: TextStore | None = None
     _by_stage: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
+    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+        marked = df.withColumn(ROW_KEY, row_key(df))
+        return replace(self, texts=TextStore.of(marked, texts)), marked
+
     def _stored(self, stage: str) -> DataFrame:
         if stage not in self._by_stage:
             rows = self.responses.filter(F.col("stage") == stage)
@@ -80,19 +108,19 @@ class TableGenerator:
         return self._by_stage[stage]
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
-        # rows that ask nothing have no partner; a running number instead of one null key spreads them over all tasks
-        nothing = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
-        return (
-            df.withColumn("prompt_hash", F.coalesce(prompt_hash(prompt, system), nothing))
-            .join(self._stored(stage), "prompt_hash", "left")
-            .withColumn("response", F.coalesce("_stored", F.lit("")))
-            .drop("prompt_hash", "_stored")
-        )
+        return self.ask_all(df.drop("response"), [Ask(stage, prompt, system, "response")])
 
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
-        for a in asks:
-            df = self.ask(df, a.stage, a.prompt, a.system).withColumn(a.to, F.col("response")).drop("response")
-        return df
+        """All prompts of a row are hashed where the row is; then only hashes and narrow columns move."""
+        texts = store_of(self.texts, df)
+        held = texts.held(df) if texts else []
+        hashed = df.withColumns({f"_h{i}": hash_or_own(a.prompt, a.system) for i, a in enumerate(asks)})
+        rows = texts.detach(hashed) if texts else hashed
+        for i, a in enumerate(asks):
+            stored = self._stored(a.stage).withColumnRenamed("prompt_hash", f"_h{i}")
+            rows = rows.join(stored, f"_h{i}", "left").withColumn(a.to, F.coalesce("_stored", F.lit(""))).drop(f"_h{i}", "_stored")
+        rows = texts.attach(rows, held) if texts else rows
+        return rows.select(*df.columns, *[a.to for a in asks])
 
 
 ModelCall = Callable[[list[str], str], list[str]]
@@ -127,14 +155,41 @@ class CallableGenerator:
 
     Only the prompt travels to Python. The result is written to the shared folder straight away: the
     call is costly and not repeatable, so no later stage may trigger it again. ``partitions`` sets how
-    many tasks call at the same time and ``threads`` how many calls each task keeps open.
+    many tasks call at the same time and ``threads`` how many calls each task keeps open. Over a text store
+    the tasks are those of its buckets.
     """
 
     call: ModelCall
     partitions: int | None = None
     threads: int = 4
+    texts: TextStore | None = None
+
+    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+        marked = df.withColumn(ROW_KEY, row_key(df))
+        return replace(self, texts=TextStore.of(marked, texts)), marked
+
+    def _once(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        """``df`` with a struct ``_a0``, ``_a1``, ... for each ask; of rows with equal prompts one asks.
+
+        The narrow rows are written once with their hashes. The row that asks is chosen among narrow rows and gets its texts from
+        the store, so a prompt is built only where it is sent.
+        """
+        held = self.texts.held(df)
+        hashes = {f"_h{i}": hash_or_own(a.prompt, a.system) for i, a in enumerate(asks)}
+        rows = written = cut(self.texts.detach(df.withColumns(hashes)), f"asked-{asks[0].stage}")
+        for i, a in enumerate(asks):
+            asking = first_per_group(written.filter(~F.startswith(f"_h{i}", F.lit("-"))), [f"_h{i}"], [ROW_KEY], 1)
+            answer = _model_udf(self.call, a.system, self.threads)(a.prompt).alias(f"_a{i}")
+            answers = cut(self.texts.attach(asking, held).select(f"_h{i}", answer), f"responses-{a.stage}")
+            rows = rows.join(answers, f"_h{i}", "left")
+        rows = self.texts.attach(rows, held)
+        nothing = F.struct(F.lit("").alias("response"), F.lit("skipped").alias("gen_status"), F.lit(None).cast("string").alias("gen_error"))
+        return rows.select(*df.columns, *[F.coalesce(f"_a{i}", nothing).alias(f"_a{i}") for i in range(len(asks))])
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
+        if store_of(self.texts, df):
+            kept = df.drop("response", "gen_status", "gen_error")
+            return self._once(kept, [Ask(stage, prompt, system, "response")]).select(*kept.columns, "_a0.*")
         kept = [c for c in df.columns if c not in ("response", "gen_status", "gen_error")]
         answer = _model_udf(self.call, system, self.threads)(prompt)
         answered = self._spread(df).select(*kept, answer.alias("_r")).select(*kept, "_r.*")
@@ -142,6 +197,8 @@ class CallableGenerator:
 
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         """All calls of a row in one pass, so the rows are written once and not once per ask."""
+        if store_of(self.texts, df):
+            return self._once(df, asks).select(*df.columns, *[F.col(f"_a{i}.response").alias(a.to) for i, a in enumerate(asks)])
         answers = [_model_udf(self.call, a.system, self.threads)(a.prompt).alias(f"_{a.to}") for a in asks]
         answered = self._spread(df).select(*df.columns, *answers)
         texts = [F.col(f"_{a.to}.response").alias(a.to) for a in asks]
@@ -149,3 +206,38 @@ class CallableGenerator:
 
     def _spread(self, df: DataFrame) -> DataFrame:
         return df.repartition(self.partitions) if self.partitions else df
+
+
+@dataclass(frozen=True)
+class RecordingGenerator:
+    """Passes on to ``inner`` and keeps what was asked: ``recorded()`` is a response table for ``TableGenerator``."""
+
+    inner: Generator
+    _parts: list[DataFrame] = field(default_factory=list, repr=False, compare=False)
+
+    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+        inner, rows = self.inner.over(df, texts)
+        return replace(self, inner=inner), rows
+
+    def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
+        answered = self.inner.ask(df, stage, prompt, system)
+        self._keep(answered, Ask(stage, prompt, system, "response"))
+        return answered
+
+    def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        answered = self.inner.ask_all(df, asks)
+        for a in asks:
+            self._keep(answered, a)
+        return answered
+
+    def _keep(self, answered: DataFrame, a: Ask) -> None:
+        part = answered.filter(a.prompt.isNotNull()).select(
+            F.lit(a.stage).alias("stage"), prompt_hash(a.prompt, a.system).alias("prompt_hash"), F.col(a.to).alias("response")
+        )
+        self._parts.append(part)
+
+    def recorded(self) -> DataFrame:
+        """(``stage``, ``prompt_hash``, ``response``), one row for each prompt of a stage, written."""
+        union = reduce(DataFrame.unionByName, self._parts)
+        once = union.groupBy("stage", "prompt_hash").agg(F.min("response").alias("response"))
+        return cut(once, "recorded-responses")

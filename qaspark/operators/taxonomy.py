@@ -10,6 +10,7 @@ from qaspark.functions import jsontext as J
 from qaspark.functions.text import is_blank
 from qaspark.operators import prompts as P
 from qaspark.operators.base import entries, join_small, read_fields
+from qaspark.operators.exchange import ROW_KEY
 from qaspark.operators.generation import Generator
 from qaspark.operators.language import language_instruction, normalize_language
 from qaspark.operators.singlehop import plain_record
@@ -130,10 +131,9 @@ class TaxonomyQuestions:
     system_prompt: str = ""
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        tagged = df.select("source_md", "chunk_index", "chunk_text", F.posexplode(entries("taxonomy_tags")).alias("_i", "_t"))
-        rows = tagged.select(
-            "source_md", "chunk_index", F.array("_i").alias("rec_ord"), "chunk_text", "_t.*"
-        )
+        keys = [c for c in ("source_md", "chunk_index", ROW_KEY) if c in df.columns]
+        tagged = df.select(*keys, "chunk_text", F.posexplode(entries("taxonomy_tags")).alias("_i", "_t"))
+        rows = tagged.select(*keys, F.array("_i").alias("rec_ord"), "chunk_text", "_t.*")
         prompt = P.TAXONOMY_QUESTION.render(
             topic=self.taxonomy.topic,
             language=language_instruction(self.target_language),

@@ -17,6 +17,7 @@ from qaspark.operators.base import LimitPerChunk, require
 from qaspark.operators.chunking import SemanticChunks, WordChunks
 from qaspark.operators.contexts import MultiHopContexts
 from qaspark.operators.expand import ExpandQA, ThinkQA
+from qaspark.operators.exchange import ROW_KEY
 from qaspark.operators.export import AlpacaExport, MultiHopExport
 from qaspark.operators.filters import GradeFilter
 from qaspark.operators.generation import Generator
@@ -29,6 +30,8 @@ from qaspark.session import cut
 from qaspark.sources.jsonl import CONTEXT_FIELDS, write_jsonl
 from qaspark.sources.taxonomy import Taxonomy
 
+# What tells contexts apart; all their other columns are texts that follow from them.
+CONTEXT_KEYS = ("source_md", "chunk_index", "info_pair_index", "rec_ord")
 # Generator names of the single-hop flow.
 GENERATORS = ("default", "atomic", "taxonomy")
 
@@ -46,8 +49,8 @@ class Stages:
         if self.output_dir:
             # the cut keeps every column for the next stage and stops it from computing this one again
             df = cut(df, name)
-            write_jsonl(df, f"{self.output_dir.rstrip('/')}/{name}.jsonl", omit)
-        self.tables[name] = df
+            write_jsonl(df.drop(ROW_KEY), f"{self.output_dir.rstrip('/')}/{name}.jsonl", omit)
+        self.tables[name] = df.drop(ROW_KEY)
         return df
 
 
@@ -76,6 +79,7 @@ def markdown_qa(
     require(kind != "taxonomy" or complete, "generator='taxonomy' requires a complete taxonomy config")
     out = Stages(output_dir)
     chunks = out.add("chunks", WordChunks(chunk_words, overlap_words)(documents))
+    generator, chunks = generator.over(chunks, dict.fromkeys(CONTEXT_FIELDS, "chunk_text"))
     if kind == "taxonomy":
         tagged = TagChunks(generator, taxonomy, language)(chunks)
         questions = TaxonomyQuestions(generator, taxonomy, language)(tagged)
@@ -91,7 +95,7 @@ def markdown_qa(
     else:
         scored = out.add("qa_scored", ScoreQA(generator, language)(generated), CONTEXT_FIELDS)
         kept = grades(scored)
-    out.tables["qa_filtered"] = kept
+    out.tables["qa_filtered"] = kept.drop(ROW_KEY)
     if expand:
         kept = out.add("qa_expanded", ExpandQA(generator, expand, language)(kept), CONTEXT_FIELDS)
     if think:
@@ -115,6 +119,7 @@ def markdown_multihop_qa(
     chunks = out.add("chunks", SemanticChunks(max_chunk_chars=chunk_words * 4)(documents))
     contexts = MultiHopContexts(language, min_context_sentences=min_context_sentences)(chunks)
     contexts = out.add("multihop_contexts", contexts)
+    generator, contexts = generator.over(contexts, {name: name for name, kind in contexts.dtypes if name not in CONTEXT_KEYS})
     generated = out.add("qa_multihop_generated", MultiHopQA(generator, language, num_q=num_q)(contexts))
     out.add("qa_multihop_export", MultiHopExport()(generated))
     return out.tables
