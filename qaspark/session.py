@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +59,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# The tables that the innermost open ``scratch`` block has written.
+_written: ContextVar[list[str] | None] = ContextVar("written tables", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Paths of the tables that ``cut`` writes inside the block, for ``drop_tables`` once nothing reads them."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, wherever the shared folder is; paths that are gone already do no harm."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
+def distil(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``cut`` what ``build`` returns, then drop the tables that it wrote on the way."""
+    with scratch() as used:
+        df = build()
+    out = cut(df, label)
+    drop_tables(spark, used)
+    return out
+
+
 def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -69,5 +104,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_table_path(spark, label)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
