@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from qaspark.llm.common import keyed, row_id, ship
-from qaspark.session import cut
+from qaspark.session import cut, distil, drop_tables, scratch
 
 BITS = 64
 SEED = 42
@@ -105,7 +105,9 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars; each round is written to the shared folder, and only two numbers a round
     reach the driver. Ends when a round changes nothing.
     """
-    edges = cut(links.select("u", "v").distinct(), "links")
+    spark = links.sparkSession
+    with scratch() as used:
+        edges = cut(links.select("u", "v").distinct(), "links")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -114,9 +116,14 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = cut(small, "links")
+        before, used = used, []
+        with scratch() as used:
+            edges = cut(small, "links")
+        drop_tables(spark, before)
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
+            edges = distil(spark, lambda: edges, "links")
+            drop_tables(spark, used)
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
@@ -180,10 +187,13 @@ class NearDuplicates:
     (1 - s)^anchors; the covering tables also join windows in which a bit or two differ. In a class of linked
     windows each document is compared with the smallest of the class and the smallest of its salt in the class,
     linear in the class. Members of one class that are then in different groups meet by a prefix filter: two similar
-    documents share one of their rarest shingles (``prefixes``). In a block of one such shingle first the block's
-    first document, then every pair still in different groups is compared. So no two similar documents of one class
-    stay apart, and the exact similarity of whole shingle sets decides every link. Groups are told apart by a 64-bit
-    hash of their name.
+    documents share one of their rarest shingles (``prefixes``), early enough that what follows can still reach the
+    threshold. In a block of one such shingle first all meet the block's most central document. Then blocks hold balls
+    instead of documents: a document and all that are linked to it. The Jaccard distance obeys the triangle inequality, so
+    two balls whose centres are further apart than the threshold and both radii have no link, and a large group meets a
+    document once. Only members of balls that are close enough, at distances that allow it, are compared in pairs. So no two
+    similar documents of one class stay apart, and the exact similarity of whole shingle sets decides every link. Groups
+    are told apart by a 64-bit hash of their name.
 
     Input ``doc_id``, ``text``; other columns are ignored. Null and wordless texts are never near copies. Repeated
     rows are one document. Ties do not occur: the order is by id, then by a hash of the text.
@@ -196,7 +206,6 @@ class NearDuplicates:
     salts: int = 16
     sample: int = 5000
     known: int = 1 << 18
-    side: int = 256
 
     def sketches(self, docs: DataFrame) -> DataFrame:
         ship(docs)
@@ -241,11 +250,12 @@ class NearDuplicates:
         return cut(found.select(F.monotonically_increasing_id().alias("id"), "doc", "label"), "open-documents")
 
     def prefixes(self, docs: DataFrame, members: DataFrame) -> DataFrame:
-        """(``token``, ``id``, ``n``, ``label``): the rarest shingles of every member, by one order for all.
+        """(``token``, ``pos``, ``id``, ``n``, ``label``, ``weight``): the rarest shingles of every member, by one order for all.
 
         Two sets of similarity t share t of the larger one, so with n shingles each the first n - tn + 1 of both in any
         common order meet. The order is by the count in a sample of documents, then by hash: the sample decides only
-        how large blocks get, never what is found.
+        how large blocks get, never what is found. ``weight`` is the mean count of those shingles: documents that many
+        others were copied from have the largest.
         """
         k, least = self.shingle, self.similarity
         named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
@@ -264,7 +274,7 @@ class NearDuplicates:
         at = np.argsort(keys)
         shared = docs.sparkSession.sparkContext.broadcast((keys[at], times[at]))
 
-        @F.pandas_udf("tokens array<bigint>, n int")
+        @F.pandas_udf("tokens array<bigint>, n int, weight double")
         def rarest(texts: pd.Series) -> pd.DataFrame:
             known, counts = shared.value
             out = []
@@ -275,77 +285,118 @@ class NearDuplicates:
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     rank = np.where(known[place] == own, counts[place], 0)
                 need = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
-                out.append((own[np.lexsort((own, rank))[:need]], len(own)))
-            return pd.DataFrame(out, columns=["tokens", "n"])
+                first = np.lexsort((own, rank))[:need]
+                out.append((own[first], len(own), float(rank[first].mean()) if len(first) else 0.0))
+            return pd.DataFrame(out, columns=["tokens", "n", "weight"])
 
         rows = texts.select("id", "label", rarest("text").alias("s"))
-        return cut(rows.select(F.explode("s.tokens").alias("token"), "id", F.col("s.n").alias("n"), "label"), "prefixes")
+        return cut(rows.select(F.posexplode("s.tokens").alias("pos", "token"), "id", "s.n", "s.weight", "label"), "prefixes")
 
-    def block_firsts(self, index: DataFrame) -> DataFrame:
-        """(``i``, ``j``): each document with the first of its blocks where the two are in different groups."""
-        firsts = index.groupBy("token").agg(F.min(F.struct("id", "n", "label")).alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        firsts = cut(firsts.filter("lo <> hi").select("token", "f"), "block-firsts")
+    def block_centres(self, index: DataFrame) -> DataFrame:
+        """(``i``, ``j``): each document with the most central of its blocks where the two are in different groups."""
+        central = F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "n", "label")).alias("f")
+        firsts = index.groupBy("token").agg(central, F.min("label").alias("lo"), F.max("label").alias("hi"))
+        firsts = cut(firsts.filter("lo <> hi").select("token", "f"), "block-centres")
         pairs = index.join(firsts, "token").filter((F.col("f.label") != F.col("label")) & self._sized("n", "f.n"))
         return pairs.select(F.col("f.id").alias("i"), F.col("id").alias("j")).distinct()
 
-    def block_pairs(self, index: DataFrame) -> DataFrame:
-        """(``i``, ``j``): all pairs of a block that are in different groups; large blocks are cut into squares of bounded side."""
-        sizes = index.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-        sizes = cut(sizes.filter("lo <> hi").select("token", F.ceil(F.col("size") / self.side).cast("int").alias("parts")), "open-blocks")
-        rows = index.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        rows = rows.select("token", "id", "n", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        rows = cut(rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "n", "label"), "block-squares")
-        left = rows.select("token", "p", "q", *[F.col(x).alias(f"{x}_l") for x in ("part", "id", "n", "label")])
-        both = left.join(rows, ["token", "p", "q"]).filter("id_l < id AND label_l <> label AND (p = q OR part_l <> part)").filter(self._sized("n_l", "n"))
-        return both.select(F.col("id_l").alias("i"), F.col("id").alias("j")).distinct()
+    def balls(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """(``id``, ``doc``, ``label``, ``c``, ``away``, ``radius``): the centre of each member's ball, its distance from it, the ball's radius."""
+        groups = cut(components(links), "groups")
+        label = F.xxhash64(F.coalesce("root", "doc")).alias("label")
+        marked = members.select("id", "doc").join(groups, members.doc == groups.node, "left").select("id", "doc", label)
+        least = links.groupBy("u").agg(F.min(F.struct("v", "s")).alias("m"))
+        placed = marked.join(least, marked.doc == least.u, "left")
+        placed = cut(placed.select("id", "doc", "label", F.coalesce("m.v", "doc").alias("c"), (1 - F.coalesce("m.s", F.lit(1.0))).alias("away")), "placed")
+        shapes = cut(placed.groupBy("c").agg(F.max("away").alias("radius")), "shapes")
+        return cut(placed.join(shapes, "c").select("id", "doc", "label", "c", "away", "radius"), "balls")
+
+    def ball_pairs(self, index: DataFrame, balls: DataFrame) -> DataFrame:
+        """(``a``, ``b``, ``need``): centres of balls of different groups that meet in a block, and the similarity below which no link is possible."""
+        rows = index.select("token", "pos", "id", "n").join(balls.select("id", "label", "c", "radius"), "id")
+        held = rows.groupBy("token", "c").agg(*[f("n").alias(x) for x, f in (("lo", F.min), ("hi", F.max))], F.min("pos").alias("pos"), F.first("label").alias("label"), F.first("radius").alias("radius"))
+        held = cut(held, "block-balls")
+        mixed = cut(held.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"), "open-blocks")
+        held = cut(held.join(mixed, "token", "left_semi"), "open-block-balls")
+        left = held.select("token", *[F.col(x).alias(f"{x}_l") for x in ("c", "lo", "hi", "pos", "label", "radius")])
+        t = self.similarity
+        sized = (F.col("hi") >= F.col("lo_l") * t) & (F.col("hi_l") >= F.col("lo") * t)
+        enough = self._enough(F.least(F.col("hi_l") - F.col("pos_l"), F.col("hi") - F.col("pos")), F.col("lo_l") + F.col("lo"))
+        met = left.join(held, "token").filter((F.col("c_l") < F.col("c")) & (F.col("label_l") != F.col("label")) & sized & enough)
+        met = met.select(F.col("c_l").alias("a"), F.col("c").alias("b"), (t - F.col("radius_l") - F.col("radius")).alias("need"))
+        return met.distinct()
+
+    def ball_links(self, docs: DataFrame, index: DataFrame, balls: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(``u``, ``v``, ``s``): the links between members of the balls in ``pairs``."""
+        close = cut(self.verified(docs, pairs), "close-balls").select(F.col("v").alias("a"), F.col("u").alias("b"), "s", "need")
+        settled = close.filter(F.col("need") >= self.similarity).select(F.col("b").alias("u"), F.col("a").alias("v"), "s")
+        # members meet in their blocks, at distances from the centres and with sizes and places that allow a link
+        open_ = close.filter(F.col("need") < self.similarity).select("a", "b", "s")
+        rows = index.select("token", "pos", "id", "n").join(balls.select("id", "doc", "c", "away"), "id").drop("id")
+        side = lambda x: rows.select("token", *[F.col(y).alias(f"{y}_{x}") for y in ("pos", "n", "doc", "away", "c")])
+        both = open_.join(side("b"), F.col("b") == F.col("c_b")).join(side("a").withColumnRenamed("c_a", "a"), ["a", "token"])
+        both = both.filter(self._sized("n_a", "n_b") & self._enough(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), F.col("n_a") + F.col("n_b")))
+        both = both.filter(F.col("away_a") + F.col("away_b") + 1e-9 >= self.similarity - F.col("s"))
+        inner = both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+        return settled.unionByName(self.verified(docs, cut(inner, "member-pairs")).select("u", "v", "s"))
+
+    def _enough(self, rest, sizes):
+        """Whether the overlap of two similar sets fits behind the first shingle that they share."""
+        return rest + 1e-9 >= sizes * (self.similarity / (1 + self.similarity))
 
     def links(self, docs: DataFrame) -> DataFrame:
-        """(``u``, ``v``), u > v: verified links between row names that connect all members of each group."""
-        classes = self.classes(self.sketches(docs))
-        found = cut(self.verified(docs, self.centres(classes)), "centre-links")
-        members = self.mixed(classes, found)
+        """(``u``, ``v``, ``s``), u > v: verified links between row names that connect all members of each group."""
+        spark = docs.sparkSession
+        classes = distil(spark, lambda: self.classes(self.sketches(docs)), "classes")
+        found = distil(spark, lambda: self.verified(docs, self.centres(classes)).select("u", "v", "s"), "centre-links")
+        members = distil(spark, lambda: self.mixed(classes, found), "members")
         if members.isEmpty():
             return found
-        index = self.prefixes(docs, members)
+        index = distil(spark, lambda: self.prefixes(docs, members), "index")
         names = members.select("id", "doc")
-        for blocks in (self.block_firsts, self.block_pairs):
-            pairs = blocks(index).join(names.toDF("i", "x"), "i").join(names.toDF("j", "y"), "j")
+
+        def central() -> DataFrame:
+            pairs = self.block_centres(index).join(names.toDF("i", "x"), "i").join(names.toDF("j", "y"), "j")
             pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "block-pairs")
-            found = cut(found.unionByName(self.verified(docs, pairs)), "links-so-far")
-            groups = cut(components(found), "groups")
-            label = F.xxhash64(F.coalesce("root", "doc")).alias("label")
-            labels = names.join(groups, names.doc == groups.node, "left").select("id", label)
-            index = index.drop("label").join(labels, "id")
-        return found
+            return found.unionByName(self.verified(docs, pairs).select("u", "v", "s")).distinct()
+
+        more = distil(spark, central, "links-so-far")
+        balls = distil(spark, lambda: self.balls(members, more), "balls")
+        pairs = distil(spark, lambda: self.ball_pairs(index, balls), "ball-pairs")
+        return more.unionByName(distil(spark, lambda: self.ball_links(docs, index, balls, pairs), "ball-links"))
 
     def verified(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(``u``, ``v``) of those ``pairs`` whose whole shingle sets are similar."""
+        """(``u``, ``v``, ``s``, ``need``) of those ``pairs`` (``a``, ``b``) whose whole shingle sets are as similar as ``need``, the threshold if it is absent."""
+        if "need" not in pairs.columns:
+            pairs = pairs.withColumn("need", F.lit(self.similarity))
         involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
         # all texts are shuffled once; only those of candidates travel on
         texts = cut(named.join(involved, "doc", "left_semi").dropDuplicates(["doc"]), "candidate-texts")
-        k, least = self.shingle, self.similarity
+        k = self.shingle
 
-        @F.pandas_udf("boolean")
-        def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        @F.pandas_udf("double")
+        def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
             out, known, last = [], None, np.empty(0, np.uint64)
             for a, b in zip(left, right):
                 if a != known:
                     known, last = a, np.unique(shingle_hashes(a, k))
                 other = np.unique(shingle_hashes(b, k))
                 shared = len(np.intersect1d(last, other, assume_unique=True))
-                out.append(shared >= least * (len(last) + len(other) - shared))
-            return pd.Series(out, dtype=bool)
+                out.append(shared / max(1, len(last) + len(other) - shared))
+            return pd.Series(out, dtype="float64")
 
         # the last join leaves the pairs of one centre together
         both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-        return both.filter(similar("ta", "tb")).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        measured = both.select(F.col("b").alias("u"), F.col("a").alias("v"), similarity.asNondeterministic()("ta", "tb").alias("s"), "need")
+        return measured.filter(F.col("s") + 1e-12 >= F.col("need"))
 
     def dropped(self, docs: DataFrame) -> DataFrame:
         """Row names that are near copies of a smaller one: every member of a group but its first."""
-        return components(self.links(docs)).filter("node <> root").select("node._r1", "node._r2").distinct()
+        rows = distil(docs.sparkSession, lambda: self.links(docs), "near-links")
+        return components(rows).filter("node <> root").select("node._r1", "node._r2").distinct()
 
     def keep_first(self, docs: DataFrame) -> DataFrame:
         """``docs`` with its own columns, one document of each group; repeated rows count as one."""
         named = docs.withColumns(dict(zip(("_r1", "_r2"), row_id())))
-        return named.join(cut(self.dropped(docs), "near-copies"), ["_r1", "_r2"], "left_anti").select(*docs.columns)
+        return named.join(distil(docs.sparkSession, lambda: self.dropped(docs), "near-copies"), ["_r1", "_r2"], "left_anti").select(*docs.columns)

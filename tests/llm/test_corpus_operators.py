@@ -181,14 +181,34 @@ def test_near_copies_behind_a_smaller_member_of_their_class(spark):
     assert {r["_r1"] for r in NearDuplicates().dropped(docs).collect()} == copies
 
 
-def test_all_pairs_of_large_blocks(spark):
-    near = NearDuplicates(side=4)
-    rows = [(1, i, 10, i % 3) for i in range(50)] + [(2, i, 10, 0) for i in range(9)] + [(3, 7, 10, 1), (3, 8, 13, 2)]
-    index = spark.createDataFrame(rows, "token bigint, id bigint, n int, label bigint")
-    expected = {(i, j) for i in range(50) for j in range(i + 1, 50) if i % 3 != j % 3}
-    assert {tuple(r) for r in near.block_pairs(index).collect()} == expected
-    found = {tuple(r) for r in near.block_firsts(index).collect()}
-    assert found == {(0, j) for j in range(50) if j % 3}
+def test_a_large_group_meets_others_as_one_ball(spark):
+    near = NearDuplicates()
+    members = [(i, 0 if i < 90 else i, 0 if i < 90 else i, 0.0 if i in (0, *range(90, 95)) else 0.15) for i in range(95)]
+    balls = spark.createDataFrame([(*m, m[2], 0.15 if m[1] == 0 else 0.0) for m in members], "id bigint, label bigint, c bigint, away double, doc bigint, radius double")
+    index = spark.createDataFrame([(t, t, i, 100, 0, 1.0) for i in range(95) for t in range(3)], "token bigint, pos int, id bigint, n int, label bigint, weight double")
+    found = {(r["a"], r["b"]): round(r["need"], 9) for r in near.ball_pairs(index, balls).collect()}
+    singles = range(90, 95)
+    assert found == {(0, i): 0.65 for i in singles} | {(i, j): 0.8 for i in singles for j in singles if i < j}
+    late = index.withColumn("pos", F.lit(12))  # 88 of 100 are left behind it, 89 are needed
+    assert near.ball_pairs(late, balls).count() == 0
+
+
+def test_edited_copies_of_one_late_original(spark):
+    """Copies far from one another, linked by an original with the largest id, and documents just too far from it."""
+    rng = np.random.default_rng(8)
+    words = [f"o{i}" for i in range(300)]
+    texts = [" ".join(edited(words, rng, 0.012)) for _ in range(60)] + [" ".join(edited(words, rng, 0.05)) for _ in range(40)]
+    texts += [" ".join(t.split()[:-1] + ["end"]) for t in texts[60:80]] + [" ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 10 < len(set(root)) < 60
+    assert {r["doc_id"] for r in NearDuplicates().keep_first(docs).collect()} == set(root)
 
 
 def test_block_index_finds_all_within_the_radius():
