@@ -6,6 +6,7 @@ from checks import (  # noqa: F401  (imported for their registrations)
     exchange_checks,
     generate_checks,
     join_checks,
+    layout_checks,
     near_checks,
     review_checks,
     scalar_checks,

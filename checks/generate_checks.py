@@ -658,7 +658,7 @@ def markdown_multihop_qa(spark, sf):
 )
 def stage_count_table(spark, sf):
     stages = flows.markdown_qa(
-        documents(spark, sf), model("singlehop", "scores"), question_num=2, grades=GradeFilter.all_at(1), language="en"
+        documents(spark, sf), model("singlehop", "scores"), question_num=2, grades=GradeFilter.all_at(1), language="en", written=True
     )
     return stage_counts(stages)
 
@@ -713,3 +713,28 @@ def review_session(spark, sf):
         documents(spark, sf), model("singlehop", "scores"), "s1", min_score=3.0, language="en", question_num=2
     )
     return bigs(items.select("id", "sort_index", "source_md", "chunk_index", "question", "filter_passed", "deleted"))
+
+
+_MADE_SQL = f"{SINGLE_SQL}, subj AS (SELECT source_md, chunk_index, i, j, question, answer, 'subject ' || length(answer) AS identifier FROM single)"
+
+
+@check(
+    "review_session_depth",
+    "N7 Q19",
+    f"WITH {_MADE_SQL}, {_round_sql('subj', 'identifier', 'r1')}, {_round_sql('r1', 'r1_id', 'r2')} {_DEPTH_OUT.format(r='r1', k=1)} UNION ALL {_DEPTH_OUT.format(r='r2', k=2)}",
+)
+def review_session_depth(spark, sf):
+    """The depth stage of a review job over all documents."""
+    stages = flows.review_flow(documents(spark, sf), model("singlehop", "scores", "depth"), "s1", language="en", question_num=2, add_depth=True)
+    return _depth_rows(stages["depth"])
+
+
+@check(
+    "review_session_width",
+    "N7 Q20",
+    "WITH " + WIDTH_SQL.replace(SUBJECT_SQL, _MADE_SQL).replace("ORDER BY source_md, chunk_index)", "ORDER BY source_md, chunk_index, i, j)") + f" {_WIDTH_OUT}",
+)
+def review_session_width(spark, sf):
+    """The width stage of a review job over all documents."""
+    stages = flows.review_flow(documents(spark, sf), model("singlehop", "scores", "width"), "s1", language="en", question_num=2, add_width=True)
+    return _width_rows(stages["width"])

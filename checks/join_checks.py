@@ -10,6 +10,7 @@ from qaspark.operators.agentic import adjacent_pairs, fill_identifiers, gather
 from qaspark.operators.chunking import WordChunks
 from qaspark.operators.generation import ExpressionGenerator
 from qaspark.operators.ordering import dense_index, dense_index_in_group, next_in_group
+from qaspark.operators.review import item_links
 from qaspark.plans.qa import reattach_context
 
 _NUMBERED = f"{DOCS_SQL}, num AS (SELECT source_md, text, row_number() OVER (ORDER BY source_md) - 1 AS idx FROM docs)"
@@ -108,6 +109,4 @@ def job_session_links(spark, sf):
         F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.concat(F.lit("job-"), F.expr("conv_id div 5")).alias("job_id")
     ).distinct()
     items = turns.select(F.concat(F.lit("conv-"), "conv_id").alias("session_id"), F.col("turn").alias("item"))
-    return jobs.join(uploads, "upload_id").join(sessions, "job_id").join(items, "session_id").select(
-        "upload_id", "job_id", "session_id", "item"
-    )
+    return item_links(uploads, jobs, sessions, items).select("upload_id", "job_id", "session_id", "item")

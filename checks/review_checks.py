@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks.generate_checks import GRADES, scores_sql, expand_sql
 from checks.model import model
@@ -351,36 +353,52 @@ def question_search(spark, sf):
 @check(
     "legacy_import",
     "R13",
-    "WITH j AS (SELECT 'job-' || conv_id AS job_id, 'up-' || (conv_id // 3) AS upload_id, min(text) AS source_file_name FROM conversations GROUP BY conv_id), "
+    "WITH j AS (SELECT 'job-' || conv_id AS job_id, 'up-' || (conv_id // 3) AS upload_id, min(text) AS source_file_name, count(*) AS n FROM conversations GROUP BY conv_id), "
     "have AS (SELECT DISTINCT 'job-' || conv_id AS job_id FROM conversations WHERE role = 'system'), "
-    "new_jobs AS (SELECT * FROM j WHERE job_id NOT IN (FROM have)), named AS (SELECT DISTINCT 'up-' || doc_id AS upload_id FROM documents WHERE lang = 'en') "
-    "SELECT 'jobs' AS tbl, job_id AS id, upload_id AS link FROM new_jobs UNION ALL SELECT 'uploads', upload_id, 'document.md' FROM named "
-    "UNION ALL SELECT 'uploads', upload_id, min_by(source_file_name, job_id) FROM new_jobs WHERE upload_id NOT IN (FROM named) GROUP BY upload_id "
-    "UNION ALL SELECT 'sessions', 's-' || user_id, 'job-' || user_id FROM (SELECT DISTINCT user_id FROM events) WHERE 'job-' || user_id IN (SELECT job_id FROM j)",
+    "new_jobs AS (SELECT * FROM j WHERE job_id NOT IN (FROM have)), named AS (SELECT DISTINCT 'up-' || doc_id AS upload_id, lang = 'en' AS described, n_chars FROM documents), "
+    "s AS (SELECT DISTINCT 's-' || user_id || '-' || event_type AS session_id, 'job-' || user_id AS job_id, event_type FROM events WHERE 'job-' || user_id IN (SELECT job_id FROM j)) "
+    "SELECT 'jobs' AS tbl, job_id AS id, upload_id AS link, '{\"names\":[\"' || job_id || '\"],\"turns\":' || n || '}' AS params, '{\"export\":\"jobs/' || job_id || '/qa.jsonl\"}' AS more, "
+    "(SELECT max(session_id) FROM s WHERE s.job_id = new_jobs.job_id) AS session FROM new_jobs "
+    "UNION ALL SELECT 'uploads', upload_id, CASE WHEN described THEN upload_id || '.md' ELSE 'document.md' END, CASE WHEN described THEN n_chars ELSE 0 END::VARCHAR, 'uploads/' || upload_id || '/doc.md', NULL FROM named "
+    "UNION ALL SELECT 'uploads', upload_id, min_by(source_file_name, job_id), '0', 'uploads/' || upload_id || '/doc.md', NULL FROM new_jobs WHERE upload_id NOT IN (SELECT upload_id FROM named) GROUP BY upload_id "
+    "UNION ALL SELECT 'sessions', session_id, job_id, CASE WHEN event_type = 'click' THEN '{\"kind\":\"click\"}' ELSE '{}' END, 'singlehop', NULL FROM s "
+    "UNION ALL SELECT 'items', 'qa-' || k, session_id, NULL, '{\"question\":\"' || event_type || k || '\"}', session_id || '@' || k FROM s, unnest([0, 1]) AS u(k) "
+    "UNION ALL SELECT 'links', job_id, max(session_id), NULL, NULL, NULL FROM s GROUP BY job_id",
 )
 def legacy_import(spark, sf):
-    turns = table(spark, sf, "conversations")
+    """Upload folders with and without metadata, jobs with free-form fields, several sessions of one job."""
+    turns, docs = table(spark, sf, "conversations"), table(spark, sf, "documents")
     text = F.lit(None).cast("string")
-    old_jobs = turns.groupBy("conv_id").agg(F.min("text").alias("source_file_name")).select(
-        F.concat(F.lit("job-"), "conv_id").alias("job_id"), F.concat(F.lit("up-"), F.expr("conv_id div 3")).alias("upload_id"),
-        text.alias("session_id"), "source_file_name", F.lit("2024").alias("created_at"), text.alias("finished_at"),
+    job = F.concat(F.lit("job-"), "conv_id")
+    old_jobs = turns.groupBy("conv_id").agg(F.min("text").alias("source_file_name"), F.count(F.lit(1)).alias("n")).select(
+        job.alias("job_id"), F.concat(F.lit("up-"), F.expr("conv_id div 3")).alias("upload_id"), text.alias("session_id"), "source_file_name",
+        F.parse_json(F.to_json(F.struct(F.col("n").alias("turns"), F.array(job).alias("names")))).alias("params"),
+        F.parse_json(F.to_json(F.struct(F.concat(F.lit("jobs/"), job, F.lit("/qa.jsonl")).alias("export")))).alias("result_paths"),
+        F.lit("2024").alias("created_at"), text.alias("finished_at"),
     )
-    uploads = table(spark, sf, "documents").filter("lang = 'en'").select(
-        F.concat(F.lit("up-"), "doc_id").alias("upload_id"), text.alias("fileName"), F.lit(None).cast("bigint").alias("size"), text.alias("createdAt")
+    described = F.col("lang") == "en"
+    folder = F.concat(F.lit("up-"), "doc_id")
+    uploads = docs.select(
+        folder.alias("upload_id"), F.when(described, F.concat(folder, F.lit(".md"))).alias("fileName"), F.when(described, F.col("n_chars").cast("bigint")).alias("size"), text.alias("createdAt")
     )
-    sessions = table(spark, sf, "events").select("user_id").distinct().select(
-        F.concat(F.lit("s-"), "user_id").alias("session_id"), F.concat(F.lit("job-"), "user_id").alias("jobId"),
-        F.array(F.struct(F.lit("qa-0").alias("id"), F.lit("{}").alias("record"))).alias("items"),
+    item = lambda k: F.struct(F.lit(f"qa-{k}").alias("id"), F.to_json(F.struct(F.concat("event_type", F.lit(k)).alias("question"))).alias("record"))
+    params = F.when(F.col("event_type") == "click", F.parse_json(F.lit('{"kind": "click"}'))).otherwise(F.parse_json(F.lit("[]")))
+    sessions = table(spark, sf, "events").select("user_id", "event_type").distinct().select(
+        F.concat(F.lit("s-"), "user_id", F.lit("-"), "event_type").alias("session_id"), F.concat(F.lit("job-"), "user_id").alias("jobId"),
+        *[text.alias(c) for c in ("sourceFileName", "pipeline", "generator", "createdAt", "updatedAt")], params.alias("params"), F.array(item(0), item(1)).alias("items"),
     )
     have = {
-        "jobs": turns.filter("role = 'system'").select(F.concat(F.lit("job-"), "conv_id").alias("job_id")).distinct(),
+        "jobs": turns.filter("role = 'system'").select(job.alias("job_id")).distinct(),
         "uploads": uploads.select("upload_id").filter(F.lit(False)),
         "sessions": sessions.select("session_id").filter(F.lit(False)),
     }
     new = R.import_legacy(uploads, old_jobs, sessions, have)
-    parts = [
-        new["jobs"].select(F.lit("jobs").alias("tbl"), F.col("job_id").alias("id"), F.col("upload_id").alias("link")),
-        new["uploads"].select(F.lit("uploads").alias("tbl"), F.col("upload_id").alias("id"), F.col("file_name").alias("link")),
-        new["sessions"].select(F.lit("sessions").alias("tbl"), F.col("session_id").alias("id"), F.col("job_id").alias("link")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    shown = {
+        "jobs": ("job_id", "upload_id", "params_json", "result_paths_json", "session_id"),
+        "uploads": ("upload_id", "file_name", F.col("size_bytes").cast("string"), "storage_path", text),
+        "sessions": ("session_id", "job_id", "params_json", "pipeline", text),
+        "items": ("id", "session_id", text, "record", F.concat("session_id", F.lit("@"), "sort_index")),
+        "job_sessions": ("job_id", "session_id", text, text, text),
+    }
+    parts = [new[k].select(F.lit("links" if k == "job_sessions" else k), *v).toDF("tbl", "id", "link", "params", "more", "session") for k, v in shown.items()]
+    return reduce(DataFrame.unionByName, parts)

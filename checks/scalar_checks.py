@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.model import model
 from checks.registry import DOCS_SQL, HEADED_SQL, PAIRS_SQL, WS_SQL, bigs, check, conversation_pairs, documents, strip, table, words
+from qaspark.functions.text import iso_time, utc_now
 from qaspark.functions import jsontext as J, text as X
 from qaspark.operators.singlehop import prompt_list, with_pairs
 
@@ -55,7 +56,7 @@ def special_char_ratio(spark, sf):
 
 @check(
     "content_hash",
-    "X12 X13",
+    "X12",
     "SELECT doc_id, sha256(text) AS digest, true AS dated FROM documents",
 )
 def content_hash(spark, sf):
@@ -64,6 +65,19 @@ def content_hash(spark, sf):
     )
 
 
+@check(
+    "iso_times",
+    "X13",
+    "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END || 'Z' AS at, "
+    "strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || 'Z' AS whole, true AS past FROM events",
+)
+def iso_times(spark, sf):
+    moment = F.col("ts").cast("timestamp_ntz")
+    return table(spark, sf, "events").select(
+        "event_id", iso_time(moment).alias("at"), iso_time(F.date_trunc("second", moment).cast("timestamp_ntz")).alias("whole"), (iso_time(moment) < utc_now()).alias("past")
+    )
+
+
 # One row per document and response form; the payload is the whole text of the document.
 _FORMS = (
     "forms AS (SELECT doc_id, text, unnest(['bare', 'fenced', 'plain fence', 'chatter', 'tail', 'single', 'list', 'number']) "

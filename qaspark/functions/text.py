@@ -146,3 +146,15 @@ def complexity(steps: Column, facts: Column, question: Column, answer: Column) -
         + share(word_count(question), 20) * 0.15
         + share(word_count(answer), 50) * 0.15
     )
+
+
+def iso_time(moment: Column) -> Column:
+    """ISO text of a time without zone that is meant as UTC: with six digits of the second if there are any, and a ``Z``."""
+    micros = F.date_format(moment, "SSSSSS")
+    fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC as ISO text, whatever the session's zone is."""
+    return iso_time(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp()))

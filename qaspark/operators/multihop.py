@@ -63,11 +63,14 @@ def valid_pairs(objects: Column, strict: bool) -> Column:
 
 
 def first_by_question(pairs: Column) -> Column:
-    """First pair of every lower-cased question, in order, inside one response."""
-    keys = F.transform(pairs, lambda p: py_lower_strip(p.question))
-    firsts = let(keys, lambda ks: F.transform(ks, lambda k, i: F.array_position(ks, k) == i + 1))
-    zipped = F.zip_with(pairs, firsts, lambda p, first: F.struct(p.alias("p"), first.alias("first")))
-    return F.transform(F.filter(zipped, lambda z: z["first"]), lambda z: z.p)
+    """First pair of every lower-cased question, in order, inside one response: sorted by question and place, then by place."""
+    keyed = F.transform(pairs, lambda p, i: F.struct(py_lower_strip(p.question).alias("k"), i.alias("i"), p.alias("p")))
+    firsts = let(
+        F.array_sort(keyed),
+        lambda ks: F.filter(ks, lambda x, j: (j == 0) | (F.get(ks, j - 1).k != x.k)),
+    )
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x.i.alias("i"), x.p.alias("p"))))
+    return F.transform(placed, lambda x: x.p)
 
 
 def braced_objects(response: Column) -> Column:

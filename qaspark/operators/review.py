@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from qaspark.functions.text import first_filled, let
+from qaspark.functions.text import first_filled, let, utc_now
 from qaspark.operators.base import first_per_group, join_small, require
 from qaspark.operators.expand import ExpandQA
 from qaspark.operators.filters import review_flag
@@ -232,6 +232,17 @@ def as_versions(changed: DataFrame, items: DataFrame) -> DataFrame:
     return changed.select(*rest, merge_json(F.col("record_json"), fresh).alias("record_json")).select(*items.columns)
 
 
+def item_links(uploads: DataFrame, jobs: DataFrame, sessions: DataFrame, items: DataFrame) -> DataFrame:
+    """Items with the session, job and upload that they belong to; an item, session or job without its owner drops out.
+
+    The owners' ids are unique, so only the item side repeats a key. Each owner side is narrowed to its ids, measured and broadcast
+    where it is small; beyond that it is written, and AQE splits the partition of an owner that holds most items.
+    """
+    owners = join_small(jobs.select("job_id", "upload_id"), uploads.select("upload_id"), ["upload_id"], "inner")
+    owners = join_small(sessions.select("session_id", "job_id"), owners, ["job_id"], "inner")
+    return join_small(items, owners, ["session_id"], "inner")
+
+
 # --- paged views: top-k reports, so their limit is the feature ---------------------------------------
 
 
@@ -269,65 +280,88 @@ def search_questions(items: DataFrame, term: str) -> DataFrame:
 LEGACY_UPLOAD = "fileName string, size bigint, createdAt string"
 LEGACY_JOB = (
     "job_id string, upload_id string, session_id string, source_file_name string, pipeline string, generator string, "
-    "status string, stage string, qa_count bigint, error_message string, created_at string, finished_at string"
+    "status string, stage string, params variant, qa_count bigint, error_message string, result_paths variant, "
+    "created_at string, finished_at string"
 )
 LEGACY_SESSION = (
-    "id string, jobId string, sourceFileName string, pipeline string, generator string, createdAt string, "
+    "id string, jobId string, sourceFileName string, pipeline string, generator string, params variant, createdAt string, "
     "updatedAt string, items array<struct<id:string,record:string>>"
 )
+# What stands for an absent field.
+LEGACY_FILE, LEGACY_PIPELINE = "document.md", "singlehop"
 
 
-def _folder(level: int) -> Column:
-    """Name of a parent folder of the input file."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -level)
+def _folder(path: Column, level: int) -> Column:
+    """Name of a parent folder of a file."""
+    return F.element_at(F.split(path, "/"), -level)
 
 
 def read_legacy(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Uploads, jobs and sessions of the older layout: one JSON file per object, several lines each."""
-    reader = spark.read.option("multiLine", "true")
-    uploads = reader.schema(LEGACY_UPLOAD).json(f"{root}/uploads/*/meta.json").select(_folder(2).alias("upload_id"), "*")
+    """Uploads, jobs and sessions of the older layout: one JSON file per object, several lines each.
+
+    An upload is a folder with at least one file; its metadata may be missing. The listing reads no file's content.
+    """
+    reader, path = spark.read.option("multiLine", "true"), F.col("_metadata.file_path")
+    listed = spark.read.format("binaryFile").load(f"{root}/uploads/*/*").select(_folder(F.col("path"), 2).alias("upload_id")).distinct()
+    described = reader.schema(LEGACY_UPLOAD).json(f"{root}/uploads/*/meta.json").select(_folder(path, 2).alias("upload_id"), "*")
+    uploads = listed.join(described, "upload_id", "left")
     jobs = reader.schema(LEGACY_JOB).json(f"{root}/jobs/*/meta.json")
     sessions = reader.schema(LEGACY_SESSION).json(f"{root}/sessions/*.json")
-    stem = F.regexp_replace(_folder(1), r"\.json\z", "")
+    stem = F.regexp_replace(_folder(path, 1), r"\.json\z", "")
     return uploads, jobs, sessions.withColumn("session_id", first_filled(F.col("id"), stem)).drop("id")
 
 
+def free_form(value: Column) -> Column:
+    """JSON text of a free-form field; what is absent, empty, zero or false becomes an empty object."""
+    text = F.to_json(value)
+    return F.when(text.isin("null", "{}", "[]", '""', "0", "false"), F.lit("{}")).otherwise(F.coalesce(text, F.lit("{}")))
+
+
 def import_legacy(
-    uploads: DataFrame, jobs: DataFrame, sessions: DataFrame, have: dict[str, DataFrame]
+    uploads: DataFrame, jobs: DataFrame, sessions: DataFrame, have: dict[str, DataFrame], now: Column | None = None
 ) -> dict[str, DataFrame]:
-    """Rows to insert: present ids are left alone, missing uploads are made up, orphan sessions skipped."""
+    """Rows to insert: present ids are left alone, missing uploads are made up, orphan sessions skipped.
+
+    ``now`` stands for absent times (the current time if not given). A job that several sessions name belongs to the one with
+    the greatest id; ``job_sessions`` lists that link for jobs that are there already, too. So every job is one row.
+    """
+    now = utc_now() if now is None else now
+    name = lambda c: first_filled(F.col(c), F.lit(LEGACY_FILE))
     new_jobs = jobs.join(have["jobs"].select("job_id"), "job_id", "left_anti")
     named = uploads.select(
-        "upload_id",
-        first_filled(F.col("fileName"), F.lit("document.md")).alias("file_name"),
-        F.coalesce("size", F.lit(0)).alias("size_bytes"),
-        F.col("createdAt").alias("created_at"),
+        "upload_id", name("fileName").alias("file_name"), F.coalesce("size", F.lit(0)).alias("size_bytes"), first_filled(F.col("createdAt"), now).alias("created_at")
     )
     implied = new_jobs.groupBy("upload_id").agg(
-        F.min_by(first_filled(F.col("source_file_name"), F.lit("document.md")), "job_id").alias("file_name"),
+        F.min_by(name("source_file_name"), "job_id").alias("file_name"),
         F.lit(0).cast("bigint").alias("size_bytes"),
-        F.min_by("created_at", "job_id").alias("created_at"),
+        F.min_by(first_filled(F.col("created_at"), now), "job_id").alias("created_at"),
     )
     missing = implied.join(named.select("upload_id"), "upload_id", "left_anti")
     new_uploads = named.unionByName(missing).join(have["uploads"].select("upload_id"), "upload_id", "left_anti")
     known_jobs = have["jobs"].select("job_id").unionByName(jobs.select("job_id")).distinct()
+    created = first_filled(F.col("createdAt"), now)
     new_sessions = (
         sessions.filter(F.coalesce("jobId", F.lit("")) != "")
         .join(have["sessions"].select("session_id"), "session_id", "left_anti")
         .withColumnRenamed("jobId", "job_id")
         .join(known_jobs, "job_id", "left_semi")
+        .select(
+            "session_id", "job_id", name("sourceFileName").alias("source_file_name"),
+            first_filled(F.col("pipeline"), F.lit(LEGACY_PIPELINE)).alias("pipeline"), "generator", free_form(F.col("params")).alias("params_json"),
+            created.alias("created_at"), first_filled(F.col("updatedAt"), created).alias("updated_at"), "items",
+        )
     )
-    linked = new_sessions.select("job_id", F.col("session_id").alias("_session"))
-    new_jobs = new_jobs.join(linked, "job_id", "left").withColumn(
-        "session_id", F.coalesce("_session", "session_id")
-    ).drop("_session")
+    linked = new_sessions.groupBy("job_id").agg(F.max("session_id").alias("_session"))
+    kept = [c for c in new_jobs.columns if c not in ("session_id", "params", "result_paths")]
+    texts = [free_form(F.col(c)).alias(f"{c}_json") for c in ("params", "result_paths")]
+    filed = new_jobs.select(*kept, "session_id", *texts).join(linked, "job_id", "left")
+    filed = filed.withColumns({"session_id": F.coalesce("_session", "session_id"), "updated_at": first_filled(F.col("finished_at"), F.col("created_at"))})
     return {
         "uploads": new_uploads.withColumn("storage_path", F.concat(F.lit("uploads/"), "upload_id", F.lit("/doc.md"))),
-        "jobs": new_jobs.withColumn("updated_at", F.coalesce("finished_at", "created_at")),
+        "jobs": filed.drop("_session"),
+        "job_sessions": linked.withColumnRenamed("_session", "session_id"),
         "sessions": new_sessions.drop("items"),
-        "items": new_sessions.select("session_id", F.posexplode("items").alias("sort_index", "_i")).select(
-            "session_id", "sort_index", "_i.*"
+        "items": new_sessions.select("session_id", "created_at", F.posexplode("items").alias("sort_index", "_i")).select(
+            "session_id", "sort_index", "_i.*", "created_at"
         ),
     }
-
-

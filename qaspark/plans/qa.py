@@ -1,7 +1,7 @@
 """Whole flows: documents or question tables in, stage tables and exports out.
 
-Each flow returns its stage tables by name. Everything stays lazy unless a generator calls a model or
-``output_dir`` asks for JSON Lines files; then each stage is computed once, written and read back by
+Each flow returns its stage tables by name. Everything stays lazy unless a generator calls a model, ``written`` asks for
+stage tables or ``output_dir`` for JSON Lines files; then each stage is computed once, written and read back by
 the next one.
 """
 
@@ -38,17 +38,19 @@ GENERATORS = ("default", "atomic", "taxonomy")
 
 @dataclass
 class Stages:
-    """Collects stage tables and, when a folder is given, writes each one as it is added."""
+    """Collects stage tables and, when a folder is given or they are to be ``written``, writes each one as it is added."""
 
     output_dir: str | None = None
+    written: bool = False
 
     def __post_init__(self) -> None:
         self.tables: dict[str, DataFrame] = {}
 
     def add(self, name: str, df: DataFrame, omit: tuple[str, ...] = ()) -> DataFrame:
-        if self.output_dir:
+        if self.output_dir or self.written:
             # the cut keeps every column for the next stage and stops it from computing this one again
             df = cut(df, name)
+        if self.output_dir:
             write_jsonl(df.drop(ROW_KEY), f"{self.output_dir.rstrip('/')}/{name}.jsonl", omit)
         self.tables[name] = df.drop(ROW_KEY)
         return df
@@ -69,6 +71,7 @@ def markdown_qa(
     think: bool = False,
     atomic_max_per_task: int = 10,
     output_dir: str | None = None,
+    written: bool = False,
 ) -> dict[str, DataFrame]:
     """Single-hop flow over ``(source_md, text)``: chunk, generate, score, filter, [expand], [think], export.
 
@@ -77,7 +80,7 @@ def markdown_qa(
     require(kind in GENERATORS, "generator must be one of: default, atomic, taxonomy")
     complete = taxonomy is not None and taxonomy.is_complete()
     require(kind != "taxonomy" or complete, "generator='taxonomy' requires a complete taxonomy config")
-    out = Stages(output_dir)
+    out = Stages(output_dir, written)
     chunks = out.add("chunks", WordChunks(chunk_words, overlap_words)(documents))
     generator, chunks = generator.over(chunks, dict.fromkeys(CONTEXT_FIELDS, "chunk_text"))
     if kind == "taxonomy":

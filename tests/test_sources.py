@@ -168,11 +168,18 @@ def test_legacy_layout(spark, tmp_path):
     put("jobs/j1/meta.json", {"job_id": "j1", "upload_id": "u1", **job})
     put("jobs/j2/meta.json", {"job_id": "j2", "upload_id": "u2", **job})
     put("sessions/s1.json", {"jobId": "j1", "items": [{"id": "qa-0", "record": {"question": "q"}}]})
+    put("jobs/j3/meta.json", {"job_id": "j3", "upload_id": "u3", **job, "params": {"n": [1, {"é": None}]}, "result_paths": {"export": "x"}})
+    (tmp_path / "uploads/u3").mkdir()
+    (tmp_path / "uploads/u3/doc.md").write_text("no metadata")
+    for name in ("s4", "s5"):
+        put(f"sessions/{name}.json", {"id": name, "jobId": "j3", "params": {"k": 1}, "createdAt": "t5", "items": []})
     put("sessions/s2.json", {"id": "s2", "jobId": "missing", "items": []})
     put("sessions/s3.json", {"id": "s3", "items": []})
     uploads, jobs, sessions = read_legacy(spark, str(tmp_path))
     none = lambda c: spark.createDataFrame([], f"{c} string")
     new = import_legacy(uploads, jobs, sessions, {"uploads": none("upload_id"), "jobs": none("job_id"), "sessions": none("session_id")})
-    assert sorted((r.upload_id, r.file_name, r.size_bytes) for r in new["uploads"].collect()) == [("u1", "a.md", 3), ("u2", "b.md", 0)]
-    assert sorted((r.job_id, r.session_id) for r in new["jobs"].collect()) == [("j1", "s1"), ("j2", None)]
+    assert sorted((r.upload_id, r.file_name, r.size_bytes) for r in new["uploads"].collect()) == [("u1", "a.md", 3), ("u2", "b.md", 0), ("u3", "document.md", 0)]
+    assert sorted((r.job_id, r.session_id) for r in new["jobs"].collect()) == [("j1", "s1"), ("j2", None), ("j3", "s5")]
+    assert {r.job_id: (r.params_json, r.result_paths_json) for r in new["jobs"].collect()} == {"j1": ("{}", "{}"), "j2": ("{}", "{}"), "j3": ('{"n":[1,{"é":null}]}', '{"export":"x"}')}
+    assert sorted((r.session_id, r.params_json, r.created_at, r.updated_at) for r in new["sessions"].collect())[1:] == [("s4", '{"k":1}', "t5", "t5"), ("s5", '{"k":1}', "t5", "t5")]
     assert [(r.session_id, r.id, json.loads(r.record)) for r in new["items"].collect()] == [("s1", "qa-0", {"question": "q"})]
