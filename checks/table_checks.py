@@ -150,6 +150,25 @@ def alpaca_export(spark, sf):
     return bigs(export.AlpacaExport()(graded(spark, sf)))
 
 
+def _chat_sql(*turns: tuple[str, str]) -> str:
+    said = " || ' # ' || ".join(f"'{who}: ' || {what}" for who, what in turns)
+    return f"WITH {PAIRS_SQL} SELECT source_md, chunk_index, {said} AS chat FROM qa WHERE trim(question) <> '' AND trim(answer) <> ''"
+
+
+@check("sharegpt_export", "E4", _chat_sql(("human", "chunk_text || chr(10) || chr(10) || question"), ("gpt", "answer")))
+def sharegpt_export(spark, sf):
+    rows = export.ChatExport("sharegpt", context=True)(conversation_pairs(spark, sf))
+    said = F.transform("conversations", lambda t: F.concat(t["from"], F.lit(": "), t["value"]))
+    return bigs(rows.select("source_md", "chunk_index", F.array_join(said, " # ").alias("chat")))
+
+
+@check("chatml_export", "E4", _chat_sql(("system", "'Be brief.'"), ("user", "question"), ("assistant", "answer")))
+def chatml_export(spark, sf):
+    rows = export.ChatExport("chatml", "Be brief.")(conversation_pairs(spark, sf))
+    said = F.transform("messages", lambda t: F.concat(t["role"], F.lit(": "), t["content"]))
+    return bigs(rows.select("source_md", "chunk_index", F.array_join(said, " # ").alias("chat")))
+
+
 @check(
     "multihop_export",
     "E2",
@@ -196,6 +215,17 @@ def limit_per_chunk(spark, sf):
     return bigs(LimitPerChunk(3)(rows).select("source_md", "line_no", "line"))
 
 
+@check(
+    "limit_per_status",
+    "L1",
+    "SELECT l_linestatus, l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey DESC, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn <= 2500",
+)
+def limit_per_status(spark, sf):
+    """Two groups hold all rows, and both are cut above the optimizer's threshold."""
+    rows = table(spark, sf, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey")
+    return bigs(first_per_group(rows, ["l_linestatus"], [F.desc("l_orderkey"), "l_linenumber", "l_partkey"], 2500))
+
+
 @check(
     "limit_per_source",
     "L1",

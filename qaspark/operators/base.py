@@ -87,31 +87,32 @@ def join_small(df: DataFrame, side: DataFrame, on, how: str) -> DataFrame:
     return df.join(F.broadcast(side) if fits_broadcast(side) else cut(side, "side"), on, how)
 
 
+FAN = 8
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
-    """The first ``n`` rows of each group.
+    """The first ``n`` rows of each group; ``order`` tells rows apart.
 
     ``row_number() <= n`` lets Spark drop rows per input partition before the shuffle
     (WindowGroupLimit), so a group holding a third of the table sends at most ``n`` rows per
     partition. That rewrite stops at ``spark.sql.optimizer.windowGroupLimitThreshold``; above it the
-    group is first cut within salts, which keeps the same rows and spreads the hot group.
+    group is cut in a tree of salts: every level keeps the first ``n`` of a salt and joins ``FAN`` salts to one, so
+    no task meets more than ``FAN`` times ``n`` rows of a group, whatever the number of partitions is.
     """
     require(n > 0, "n must be positive")
     spark = df.sparkSession
     limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        salts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        # the salt follows from the row alone, so a repeated task salts it the same way
-        hashed = [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-        salt = F.pmod(F.xxhash64(*hashed), F.lit(salts))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions", "200")) if n > limit else 1
+    # the salt follows from the row alone, so a repeated task salts it the same way
+    hashed = [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts))) if salts > 1 else df
+    while salts > 1:
         within = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_rn", F.row_number().over(within))
-            .filter(F.col("_rn") <= n)
-            .drop("_rn", "_salt")
-        )
+        rows = rows.withColumn("_rn", F.row_number().over(within)).filter(F.col("_rn") <= n).drop("_rn")
+        salts = -(-salts // FAN)
+        rows = rows.withColumn("_salt", F.floor(F.col("_salt") / FAN)) if salts > 1 else rows.drop("_salt")
     ranked = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") <= n).drop("_rn")
+    return rows.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from qaspark.functions.text import is_blank
+from qaspark.operators.base import require
 from qaspark.operators.filters import export_scope, final_pair
 from qaspark.sources.jsonl import write_jsonl
 
@@ -68,6 +70,43 @@ class MultiHopExport:
         return records
 
 
+# Names of speakers and fields in the two chat shapes.
+_CHAT_SHAPES = {
+    "sharegpt": ("conversations", "from", "value", {"system": "system", "user": "human", "assistant": "gpt"}),
+    "chatml": ("messages", "role", "content", {"system": "system", "user": "user", "assistant": "assistant"}),
+}
+
+
+@dataclass(frozen=True)
+class ChatExport:
+    """Question and answer as turns of a chat, in one of two common shapes; ``system`` adds a first turn.
+
+    With ``context`` the passage stands before the question. Records without a question or an answer are left out.
+    """
+
+    shape: str = "chatml"
+    system: str = ""
+    context: bool = False
+    path: str | None = None
+
+    def __post_init__(self) -> None:
+        require(self.shape in _CHAT_SHAPES, f"shape must be one of: {', '.join(_CHAT_SHAPES)}")
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        turns, who, what, names = _CHAT_SHAPES[self.shape]
+        question, answer = final_pair(df)
+        asked = F.concat(F.coalesce("chunk_text", F.lit("")), F.lit("\n\n"), question) if self.context else question
+        said = [("user", asked), ("assistant", answer)]
+        if self.system:
+            said.insert(0, ("system", F.lit(self.system)))
+        chat = F.array(*[F.struct(F.lit(names[speaker]).alias(who), text.alias(what)) for speaker, text in said])
+        filled = ~is_blank(question) & ~is_blank(answer)
+        records = df.filter(filled).select(chat.alias(turns), "source_md", "chunk_index")
+        if self.path:
+            write_jsonl(records, self.path)
+        return records
+
+
 def session_export(items: DataFrame, scope: str = "passed", ids: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """Export of review items: final pair plus the fields that are present."""
     rows = export_scope(items, scope, ids)

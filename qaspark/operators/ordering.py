@@ -14,7 +14,7 @@ from operator import and_
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from qaspark.operators.base import join_small
+from qaspark.operators.base import fits_broadcast, join_small
 from qaspark.session import cut
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
@@ -62,9 +62,20 @@ def dense_index(df: DataFrame, order: Sequence[str], to: str = "idx") -> DataFra
 def dense_index_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str = "idx") -> DataFrame:
     """Number the rows of each group 0, 1, 2, ...; a hot group is numbered by many tasks.
 
-    Only the first group of a block can have begun in an earlier block, so carried counts are one
-    row per block at most.
+    The rows are numbered as a whole, which takes the one range shuffle; a group's numbers start at its first one. The table of first
+    numbers has a row for each group: measured small it is broadcast, and the rows move no further. With more groups than
+    that, rows are numbered inside their blocks and counts are carried across block borders.
     """
+    placed = dense_index(df, [*keys, *order], "_at")
+    first = cut(placed.groupBy(*keys).agg(F.min("_at").alias("_first")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first"), "group-starts")
+    if fits_broadcast(first):
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        return placed.join(F.broadcast(first), same).select(*df.columns, (F.col("_at") - F.col("_first")).alias(to))
+    return _index_by_blocks(df, keys, order, to)
+
+
+def _index_by_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str) -> DataFrame:
+    """Only the first group of a block can have begun in an earlier block, so carried counts are one row per block at most."""
     blocks = sorted_blocks(df, keys, order)
     counts = blocks.groupBy("_blk", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     group = F.struct(*keys)

@@ -187,3 +187,25 @@ def test_folds_grow_in_proportion(spark):
         assert spark.range(1).select(F.size(column(1001)).alias("n")).first().n == expected(1001)
         seconds(20_000, column)
         assert seconds(80_000, column) < 3 * seconds(40_000, column) + 2
+
+
+def test_large_limits_meet_in_a_tree_of_salts(spark, skewed):
+    """No window sees more than FAN times n rows of a group: the levels are planned, whatever the number of partitions is."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        cut = first_per_group(skewed, ["k"], ["o"], 1200)
+        assert plan(cut).count("row_number()") >= 3 and "_salt" not in cut.columns
+        want = skewed.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o"))).filter("rn <= 1200").drop("rn")
+        assert cut.exceptAll(want).count() == want.exceptAll(cut).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_groups_are_numbered_alike_with_and_without_a_broadcast(spark, skewed, monkeypatch):
+    few = dense_index_in_group(skewed, ["k"], ["o"])
+    assert "row_number()" not in plan(few) and "BroadcastHashJoin" in plan(few)
+    monkeypatch.setattr("qaspark.operators.ordering.fits_broadcast", lambda df: False)
+    many = dense_index_in_group(skewed, ["k"], ["o"])
+    assert "row_number()" in plan(many)
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
