@@ -9,7 +9,9 @@ bins that stay poorly filled are opened once more and their pieces packed across
 
 from __future__ import annotations
 
+import itertools
 import random
+import string
 import unicodedata
 import zlib
 from array import array
@@ -26,6 +28,7 @@ from qaspark.session import cut
 END = b"\0\0\0\0"
 CACHE = 200_000
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 # --- token ids ----------------------------------------------------------------------------------------
 
@@ -33,8 +36,8 @@ ODD_SPACES = "\x1c\x1d\x1e\x1f"
 class WordTokens:
     """Ids of a text as little-endian bytes, for a tokenizer that never joins what white space parts.
 
-    Each stretch between white space is encoded once and kept; of a stretch that ends in a full stop or comma the
-    word alone is looked up. A full cache stays as it is: frequent
+    Each stretch between white space is encoded once and kept; of a stretch that ends in ASCII marks other than the apostrophe
+    the word and the marks are looked up, as the tokenizer parts them there. A full cache stays as it is: frequent
     words come early, and rare ones are not worth a place. Rare inputs that Python and the tokenizer would part differently
     are encoded whole.
     """
@@ -47,6 +50,7 @@ class WordTokens:
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.stretches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -65,11 +69,22 @@ class WordTokens:
                 self.words[low] = known
         return known
 
+    def mark(self, marks: str) -> bytes:
+        known = self.marks.get(marks)
+        if known is None:
+            known = self.encode(marks)
+            if len(self.marks) < CACHE:
+                self.marks[marks] = known
+        return known
+
     def stretch(self, piece: str) -> bytes:
-        if piece[-1] in ".,":
-            known = self.word(piece[:-1]) + self.word(piece[-1]) if piece[:-1].isalpha() else self.encode(piece)
-        else:
+        head = piece.rstrip(MARKS)
+        if len(head) == len(piece):
             known = self.word(piece)
+        elif not head or head.isalpha() and head.lower().isalpha():
+            known = (self.word(head) if head else b"") + self.mark(piece[len(head) :])
+        else:
+            known = self.encode(piece)
         if len(self.stretches) < CACHE:
             self.stretches[piece] = known
         return known
@@ -134,16 +149,17 @@ class Evolution:
     generations: int = 6
 
     def start(self, lengths: list[int], rng: random.Random) -> list[list[list[int]]]:
-        """Best fit decreasing, and best fit in orders that are disturbed a little."""
-        out = []
+        return list(self.starts(lengths, rng))
+
+    def starts(self, lengths: list[int], rng: random.Random) -> Iterator[list[list[int]]]:
+        """Best fit decreasing, then best fit in orders that are disturbed a little."""
         for k in range(self.population):
             order = list(range(len(lengths)))
             if k:
                 order.sort(key=lambda i: -lengths[i] * (1 + 0.15 * rng.random()))
             bins: list[list[int]] = []
             best_fit(lengths, order, bins, [], self.capacity)
-            out.append(bins)
-        return out
+            yield bins
 
     def fitness(self, lengths: list[int], bins: list[list[int]]) -> tuple[int, float]:
         """Fewer bins first; of equal numbers the one with the squares of fill concentrated."""
@@ -173,7 +189,12 @@ class Evolution:
         """The best packing after the generations, or as soon as no packing can have fewer bins."""
         bound = -(-sum(lengths) // self.capacity)
         rng = random.Random(seed)
-        herd = sorted([*guests, *self.start(lengths, rng)], key=lambda b: self.fitness(lengths, b), reverse=True)[: self.population]
+        herd: list[list[list[int]]] = []
+        for bins in itertools.chain(guests, self.starts(lengths, rng)):
+            if len(bins) <= bound:
+                return bins
+            herd.append(bins)
+        herd = sorted(herd, key=lambda b: self.fitness(lengths, b), reverse=True)[: self.population]
         for _ in range(self.generations if lengths else 0):
             if len(herd[0]) <= bound:
                 break

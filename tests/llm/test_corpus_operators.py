@@ -1,5 +1,6 @@
 """Operators over documents against brute force: packing, exact and near duplicates, decontamination, toxicity."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -211,6 +212,25 @@ def test_edited_copies_of_one_late_original(spark):
     assert {r["doc_id"] for r in NearDuplicates().keep_first(docs).collect()} == set(root)
 
 
+def test_crossover_saves_bins_that_best_fit_misses():
+    """Bins cut into three random parts each, so that as many bins suffice."""
+    rng = np.random.default_rng(4)
+    starts = bests = 0
+    for seed in range(12):
+        lengths = []
+        for _ in range(25):
+            ends = [0, *np.sort(rng.integers(3, 27, 2)).tolist(), 30]
+            lengths += [int(b - a) for a, b in zip(ends, ends[1:]) if b > a]
+        lengths.sort(reverse=True)
+        evolution = Evolution(30, population=8, generations=60)
+        best = evolution.run(lengths, seed)
+        assert sorted(i for b in best for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 30 for b in best)
+        starts += min(len(b) for b in evolution.start(lengths, random.Random(seed)))
+        bests += len(best)
+    assert 300 <= bests < starts
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(0)
     stored = rng.integers(0, 2**64, 50, dtype=np.uint64)
