@@ -142,7 +142,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens before and after a cleaning pass over every document."""
     docs = table(spark, sf, "documents")
     edited = docs.select("doc_id", "text", cleaning_column()("text").alias("edits"))
-    return EditAwareCounts(tokenizer_path("byte_bpe_50k.json")).recount(edited, "edits").drop("text")
+    return EditAwareCounts(tokenizer_path("byte_bpe_50k.json")).recount(edited, "edits", texts=False)
 
 
 # CRC-32 with the reflected polynomial EDB88320, byte by byte; near words share a text with one character left out.

@@ -182,27 +182,36 @@ class EditAwareCounts:
 
         return keyed(docs).select("doc_id", "_r1", "_r2", leaves("text").alias("l")).select("doc_id", "_r1", "_r2", "l.*")
 
-    def recount(self, docs: DataFrame, edits: str, index: DataFrame | None = None) -> DataFrame:
-        """``doc_id``, tokens before and after the edits in column ``edits``, and what was encoded anew.
+    def recount(self, docs: DataFrame, edits: str, index: DataFrame | None = None, texts: bool = True) -> DataFrame:
+        """``doc_id``, tokens before and after the edits in column ``edits``, what was encoded anew, and with ``texts`` the text as it then is.
 
-        With ``index`` the kept leaves are joined by row name; without it the trees are built on the way.
+        With ``index`` the kept leaves are joined by row name; without it the trees are built on the way, for the documents that
+        have an edit.
         """
         ship(docs)
         path = self.tokenizer
 
-        @F.pandas_udf("before bigint, after bigint, n_edits int, pre_tokens bigint, encoded bigint, text string")
-        def follow(texts: pd.Series, lists: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        kinds = "before bigint, after bigint, n_edits int, pre_tokens bigint, encoded bigint" + ", text string" * texts
+
+        def usable(e: dict | None) -> bool:
+            return e is not None and not pd.isna(e["start"]) and not pd.isna(e["end"])
+
+        @F.pandas_udf(kinds)
+        def follow(bodies: pd.Series, lists: pd.Series, sizes: pd.Series, counts: pd.Series) -> pd.DataFrame:
             count, out = counter(path), []
-            for text, edits, s, c in zip(texts, lists, sizes, counts):
+            for text, edits, s, c in zip(bodies, lists, sizes, counts):
+                todo = [e for e in edits if usable(e)] if edits is not None else []
+                if not todo:
+                    each = count.all(PRE_TOKEN.findall(text)) if s is None else c
+                    n = int(sum(each))
+                    out.append((n, n, 0, len(each), 0, text)[: 5 + texts])
+                    continue
                 doc = EditedDocument(text, count, None if s is None else (list(s), list(c)))
-                before, n = doc.tree.total, 0
-                pieces = sum(len(b[0]) for b in doc.tree.blocks)
-                for e in edits if edits is not None else ():
-                    if e is not None and not pd.isna(e["start"]) and not pd.isna(e["end"]):
-                        doc.edit(int(e["start"]), int(e["end"]), e["text"] or "")
-                        n += 1
-                out.append((before, doc.tree.total, n, pieces, doc.encoded, doc.text))
-            return pd.DataFrame(out, columns=["before", "after", "n_edits", "pre_tokens", "encoded", "text"])
+                before, pieces = doc.tree.total, sum(len(b[0]) for b in doc.tree.blocks)
+                for e in todo:
+                    doc.edit(int(e["start"]), int(e["end"]), e["text"] or "")
+                out.append((before, doc.tree.total, len(todo), pieces, doc.encoded, doc.text)[: 5 + texts])
+            return pd.DataFrame(out, columns=[k.split()[0] for k in kinds.split(", ")])
 
         rows = docs.select("doc_id", text_of().alias("text"), F.col(edits).cast(EDITS).alias("edits"), *row_id())
         if index is None:
