@@ -176,8 +176,9 @@ class Decontamination:
     ``radius`` bits of 64 cover a similarity of 0.8 with the usual spread of SimHash; all fingerprints within it are
     verified. Input ``doc_id``, ``text`` and the benchmark's ``item_id``, ``text``; other columns are ignored, or kept
     by ``remove``. Null, empty and wordless texts match nothing on either side. Equal items each match; repeated
-    rows each give their matches. The best window of an item wins, of equals the first. The benchmark is read in
-    blocks of bounded size, each a pass over the documents.
+    rows each give their matches, a null id like any other. The best window of an item wins, of equals the first. Texts of
+    any length are searched whole; one shorter than an item is not compared with it. The benchmark is read in blocks of
+    bounded size, each a pass over the documents. An empty table on either side gives no match and removes nothing.
     """
 
     similarity: float = 0.8

@@ -431,7 +431,8 @@ class WrapperExtraction:
     without a host (null or odd url) share one wrapper. Hosts with one page, and pages that do not fit their host's
     wrapper, are judged by their own tree. Repeated rows are extracted each. Wrappers are merged first within a task,
     then within salts whose number is the root of the number of tasks, then by host, so that no task sees more
-    than about that many partial wrappers of a hot host. Returns ``page_id``, ``url``, ``text``.
+    than about that many partial wrappers of a hot host. A null ``page_id`` is kept; equal pages get equal texts, so ties do
+    not matter. Pages of any length are parsed whole. An empty table gives no rows. Returns ``page_id``, ``url``, ``text``.
     """
 
     def wrappers(self, pages: DataFrame) -> DataFrame:

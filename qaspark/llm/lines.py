@@ -25,7 +25,8 @@ class RepeatedLines:
     Lines are parted by \\n and compared whole. Input ``doc_id``, ``text``; other columns are ignored. A null text is one
     empty line, as is an empty text. Texts of fewer lines lose nothing. Runs are judged on the input; a run that
     overlaps its own copy loses the later lines. Repeated rows have no order, so they share one answer: a run is
-    earlier only if it is in another row or at an earlier line. Returns ``doc_id``, ``n_lines``, ``kept`` (array of lines).
+    earlier only if it is in another row or at an earlier line. Null ids are one id. Texts of any length are parted whole. An
+    empty table gives no rows. Returns ``doc_id``, ``n_lines``, ``kept`` (array of lines).
     """
 
     run: int = 2

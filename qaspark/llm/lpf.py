@@ -156,7 +156,8 @@ class RepeatedPassages:
     ``keep="none"`` removes every copy; ``keep="first"`` removes later copies only (order: id, text hash, position).
     Input ``doc_id``, ``text``; other columns are ignored. Null texts count as empty; texts shorter than ``limit``
     lose nothing; matches never cross documents. Repeated rows are copies of each other and get the same answer
-    (with ``keep="first"`` too, since nothing orders them). Judged on the input, never on what is left.
+    (with ``keep="first"`` too, since nothing orders them); null ids are one id. Texts of any length are searched whole. Judged
+    on the input, never on what is left. An empty table gives no rows.
     Returns ``doc_id``, ``n_bytes``, ``spans`` (removed byte ranges [first, end)) and ``kept`` (remaining bytes).
     """
 

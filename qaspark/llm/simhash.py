@@ -135,7 +135,7 @@ class SimHashDedup:
     """Fingerprints and classes of whole documents.
 
     Input columns ``doc_id`` and ``text``; others are ignored. Null texts count as empty and get fingerprint zero,
-    which links like any other. Repeated rows and ties share a fingerprint and so a class. A null id belongs to its
+    which links like any other. Texts of any length are read whole. Repeated rows and ties share a fingerprint and so a class. A null id belongs to its
     class but never names it unless all its ids are null. An empty table gives no rows.
     Returns ``doc_id``, ``fp`` (signed), ``component_id`` (smallest id reachable).
     """
@@ -196,7 +196,8 @@ class NearDuplicates:
     are told apart by a 64-bit hash of their name.
 
     Input ``doc_id``, ``text``; other columns are ignored. Null and wordless texts are never near copies. Repeated
-    rows are one document. Ties do not occur: the order is by id, then by a hash of the text.
+    rows are one document. Ties do not occur: the order is by id (null as zero), then by a hash of the text. Texts of any length are
+    taken whole. An empty table gives no links and keeps nothing.
     """
 
     similarity: float = 0.8

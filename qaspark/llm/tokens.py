@@ -161,7 +161,8 @@ class EditAwareCounts:
 
     Input ``doc_id``, ``text``; other columns are ignored unless named. Null texts count as empty (no token); repeated rows are
     counted each. Edits are applied in their order to the text as it then is; null edits, or null fields in one,
-    change nothing (a null text deletes). An empty table gives no rows.
+    change nothing (a null text deletes). Edits that tie in place follow their order in the list. A column named like an
+    output is not carried over. Texts of any length are counted whole. An empty table gives no rows.
     """
 
     tokenizer: str

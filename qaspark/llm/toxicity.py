@@ -304,7 +304,8 @@ class Toxicity:
     Input ``doc_id``, ``text``; ``labels``: ``doc_id``, ``toxic``. Rows whose crc32 of the id (as text, null as empty)
     leaves no remainder at ``folds`` are held out of training. Null and empty texts get the score of a text without
     tokens; null or other labels are not learnt from; rows with a null id have no label. Without both labels every
-    score is the same. Repeated rows are scored alike. Other columns are kept by ``reject`` and ignored elsewhere.
+    score is the same. Repeated rows are scored alike. Other columns are kept by ``reject`` and ignored elsewhere. Texts of any
+    length are scored whole; units that tie are taken in their own order. An empty table of documents gives no rows.
     """
 
     trainer: Trainer = field(default_factory=Trainer)
