@@ -138,8 +138,9 @@ class BenchmarkIndex:
         best: dict = {}
         for n, own in self.sizes.items():
             hashes, hits = all_hashes[own["k"]], all_hits[own["k"]]
-            size = n - own["k"] + 1
-            if not len(hits) or len(hashes) < size:
+            # a text shorter than the item is one window; with too few shingles it cannot reach the similarity
+            size = min(n - own["k"] + 1, len(hashes))
+            if not len(hits) or size + 1e-9 < self.similarity * (n - own["k"] + 1):
                 continue
             own_hits = hits[np.isin(hashes[hits], own["known"])]
             last = len(hashes) - size
@@ -149,7 +150,7 @@ class BenchmarkIndex:
                     window = hashes[low + q : low + q + size]
                     s = weighted_similarity(Counter(window.tolist()), own["counts"][i])
                     if s >= self.similarity:
-                        key, found = own["ids"][i], (-s, low + q, n, d)
+                        key, found = own["ids"][i], (-s, low + q, size + own["k"] - 1, d)
                         best[key] = min(best.get(key, found), found)
         return [(key, at, n, d, -s) for key, (s, at, n, d) in best.items()]
 
@@ -177,7 +178,7 @@ class Decontamination:
     verified. Input ``doc_id``, ``text`` and the benchmark's ``item_id``, ``text``; other columns are ignored, or kept
     by ``remove``. Null, empty and wordless texts match nothing on either side. Equal items each match; repeated
     rows each give their matches, a null id like any other. The best window of an item wins, of equals the first. Texts of
-    any length are searched whole; one shorter than an item is not compared with it. The benchmark is read in blocks of
+    any length are searched whole; one shorter than an item is one window. The benchmark is read in blocks of
     bounded size, each a pass over the documents. An empty table on either side gives no match and removes nothing.
     """
 

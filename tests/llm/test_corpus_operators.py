@@ -281,6 +281,24 @@ def test_decontamination_against_all_windows(spark):
     assert found == expected
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(30)
+    rows, expected = [], {}
+    for i, r in enumerate(items.collect()):
+        words = re.findall(r"[^\W_]+", r["text"])
+        for cut in (1, 4, 30):
+            text = words[:-cut]
+            rows.append((100 * i + cut, " ".join(text)))
+            own = Counter(tuple(w.lower() for w in words[j : j + 5]) for j in range(len(words) - 4))
+            here = Counter(tuple(w.lower() for w in text[j : j + 5]) for j in range(len(text) - 4))
+            s = sum((own & here).values()) / sum((own | here).values())
+            if s >= 0.8:
+                expected[(100 * i + cut, r["item_id"])] = (0, len(text), round(s, 9))
+    found = Decontamination()(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    assert len(expected) >= 30
+    assert {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], round(r["similarity"], 9)) for r in found} == expected
+
+
 def test_decontamination_on_odd_rows(spark, odd, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "a b c d e f g"), (4, "big id")], "item_id bigint, text string")
     found = Decontamination()(odd, items)
