@@ -134,6 +134,7 @@ def _fetched(spark, sf):
         .when(F.contains(url, F.lit("m.")), F.lit("application/pdf")).alias("head_type"),
         F.when(F.contains(url, F.lit("ref=")), F.lit("APPLICATION/PDF;v=1")).otherwise(F.lit("text/plain")).alias("get_type"),
         F.when(~F.contains(url, F.lit("/de/")), F.encode(body, "utf-8")).alias("body"),
+        F.sha2("html", 256).alias("file"),
     )
 
 
@@ -155,11 +156,11 @@ def url_acceptance(spark, sf):
 def url_manifest(spark, sf):
     fetched = _fetched(spark, sf)
     results = table(spark, sf, "pages").select(
-        "url", (F.length("html") % 3).alias("returncode"), F.lit(True).alias("has_output"),
+        "url", F.sha2("html", 256).alias("file"), (F.length("html") % 3).alias("returncode"), F.lit(True).alias("has_output"),
         F.lit(None).cast("string").alias("copy_error"), F.lit("log").alias("stderr"), F.length("html").alias("duration_ms"),
         F.lit("1.0").alias("version"), F.lit("auto").alias("backend"),
     )
-    done = ingest.url_manifest(fetched, results, "out")
+    done = ingest.url_manifest(fetched, results, "out", ("url", "file"))
     return done.select("source_path", "status", "output_md_path", "error_code", "sha256", "url_host", "url_fingerprint")
 
 

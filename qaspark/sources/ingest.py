@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,6 +23,8 @@ E_UNSUPPORTED = "E_UNSUPPORTED_EXT"
 FINGERPRINT_HEX = 16
 STDERR_TAIL = 4000
 ERROR_DETAIL = 2000
+# What a converter result tells, in the order in which results with equal keys are chosen.
+RESULT = ("returncode", "has_output", "copy_error", "stderr", "duration_ms", "version", "backend")
 
 
 def suffix(path: Column) -> Column:
@@ -183,12 +186,17 @@ def url_error(head_type: Column, get_type: Column, body: Column) -> Column:
     )
 
 
-def url_manifest(fetched: DataFrame, results: DataFrame, output_dir: str) -> DataFrame:
-    """Manifest of fetched URLs ``(url, head_type, get_type, body)`` and converter ``results`` keyed by url."""
+def url_manifest(fetched: DataFrame, results: DataFrame, output_dir: str, keys: Sequence[str] = ("url",)) -> DataFrame:
+    """Manifest of fetched URLs ``(url, head_type, get_type, body)`` and converter ``results``: one row for each fetch.
+
+    ``keys`` are the columns of both tables that name a result. A URL that was fetched more than once needs one beside ``url``
+    that tells its files apart. Of several results with equal keys the smallest counts, return code first.
+    """
+    results = results.groupBy(*keys).agg(F.min(F.struct(*RESULT)).alias("_result")).select(*keys, "_result.*")
     refused = url_error(F.col("head_type"), F.col("get_type"), F.col("body"))
     # a URL without a host cannot have been fetched; its row stays, as failed
     checked = url_layout(fetched).withColumn("_refused", F.when(F.col("url_host") == "", F.lit(E_FAILED)).otherwise(refused))
-    joined = checked.join(results, "url", "left")
+    joined = checked.join(results, list(keys), "left")
     status, code = outcome(F.col("returncode"), F.col("has_output"), F.col("copy_error"))
     taken = F.col("_refused").isNull()
     copied = F.col("copy_error").isNull()

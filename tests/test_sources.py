@@ -1,5 +1,6 @@
 """Files in, files out."""
 
+import hashlib
 import json
 
 import pytest
@@ -83,6 +84,20 @@ def test_relative_urls_keep_their_rows(spark):
     assert [(r.status, r.error_code, r.output_md_path) for r in done] == [("failed", ingest.E_FAILED, "")] * 3
 
 
+def test_a_url_fetched_twice_keeps_its_own_results(spark):
+    """Each fetch gives one row with the result of its own file; a result that comes twice adds none."""
+    fetches = [("http://h/x", "one", b"%PDF 1"), ("http://h/x", "two", b"%PDF 2"), ("http://h/y", "one", b"%PDF 1")]
+    fetched = spark.createDataFrame([(*f, "application/pdf", "") for f in fetches], "url string, file string, body binary, head_type string, get_type string")
+    results = [("http://h/x", "one", 0), ("http://h/x", "two", 1), ("http://h/y", "one", 0), ("http://h/y", "one", 0)]
+    converted = spark.createDataFrame(results, "url string, file string, returncode int").selectExpr(
+        "*", "true AS has_output", "cast(null AS string) AS copy_error", "'' AS stderr", "1L AS duration_ms", "'1' AS version", "'b' AS backend"
+    )
+    done = ingest.url_manifest(fetched, converted, "out", ("url", "file")).collect()
+    assert sorted((r.source_path, r.sha256[:4], r.status) for r in done) == sorted(
+        (u, hashlib.sha256(b).hexdigest()[:4], "failed" if f == "two" else "ok") for u, f, b in fetches
+    )
+
+
 def test_manifest_finds_texts_of_real_files(spark, tmp_path):
     """Plain paths of a manifest and the URIs of a reader name the same files, blanks and plus signs included."""
     from qaspark.sources.markdown import scan_manifest
