@@ -9,6 +9,7 @@ from checks.registry import DOCS_SQL, HEADED_SQL, PAIRS_SQL, WS_SQL, bigs, check
 from qaspark.functions.text import iso_time, utc_now
 from qaspark.functions import jsontext as J, text as X
 from qaspark.operators.singlehop import prompt_list, with_pairs
+from qaspark.sources.tables import spread
 
 L = F.length
 PUNCT_SQL = "[!-/:-@\\[-`{-~]"
@@ -98,7 +99,7 @@ def _responses(spark, sf):
         "number": F.lit(" 12 "),
     }
     each = F.array(*[F.struct(F.lit(k).alias("form"), v.alias("response")) for k, v in forms.items()])
-    return table(spark, sf, "documents").select("doc_id", "text", "n_chars", F.inline(each))
+    return spread(table(spark, sf, "documents")).select("doc_id", "text", "n_chars", F.inline(each))
 
 
 @check(

@@ -7,17 +7,32 @@ from pyspark.sql import Column, functions as F
 from qaspark.functions.text import WS, let, py_strip
 
 
+def _without_fence(text: Column, *openings: str) -> Column:
+    """A stripped text without the first of ``openings`` that it starts with and without one closing fence.
+
+    By prefix and suffix: a pattern is tried at every character of a response.
+    """
+    bare = text
+    for mark in reversed(openings):
+        bare = F.when(text.startswith(mark), F.substr(text, F.lit(len(mark) + 1))).otherwise(bare)
+    return let(bare, lambda b: py_strip(F.when(b.endswith("```"), F.left(b, F.length(b) - 3)).otherwise(b)))
+
+
 def clean_json_block(c: Column) -> Column:
     """Trim, drop one opening code fence (json fence, then plain) and one closing fence, trim."""
-    return py_strip(F.regexp_replace(py_strip(c), r"\A(?:```json)?(?:```)?|```\z", ""))
+
+    def unfence(text: Column) -> Column:
+        bare = _without_fence(text, "```json```", "```json", "```")
+        return F.when(text.startswith("```") | text.endswith("```"), bare).otherwise(text)
+
+    return let(py_strip(c), unfence)
 
 
 def json_object_tail(c: Column) -> Column:
     """From the first ``{`` of the unfenced response to its end; null when there is none."""
 
     def unfence(text: Column) -> Column:
-        bare = py_strip(F.regexp_replace(text, rf"\A```(?:json)?[{WS}]*|[{WS}]*```\z", ""))
-        return F.when(text.startswith("```"), bare).otherwise(text)
+        return F.when(text.startswith("```"), _without_fence(text, "```json", "```")).otherwise(text)
 
     def tail(text: Column) -> Column:
         return F.when(F.contains(text, F.lit("{")), F.substr(text, F.locate("{", text)))
@@ -42,7 +57,8 @@ def strict_json(c: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    # a struct without fields can be had from any object and from nothing else; the schema would be built from all members
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
@@ -61,8 +77,7 @@ def json_tail_object(c: Column) -> Column:
 
 def items(v: Column) -> Column:
     """Elements of a VARIANT array as ``array<variant>``; anything else gives an empty array."""
-    empty = F.from_json(F.lit("[]"), "array<variant>")
-    return let(v, lambda x: F.coalesce(F.when(is_array(x), F.try_variant_get(x, "$", "array<variant>")), empty))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.from_json(F.lit("[]"), "array<variant>"))
 
 
 def member(v: Column, key: str) -> Column:
@@ -72,20 +87,19 @@ def member(v: Column, key: str) -> Column:
 def as_text(v: Column) -> Column:
     """Text of any JSON value; null stays the word None and booleans are capitalised."""
 
-    def text(x: Column) -> Column:
-        plain = F.try_variant_get(x, "$", "string")
-        return (
-            F.when(F.is_variant_null(x), F.lit("None"))
-            .when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(plain))
-            .otherwise(plain)
-        )
+    return let(v, lambda x: let(F.try_variant_get(x, "$", "string"), lambda plain: _shown(plain, x)))
 
-    return let(v, text)
+
+def _shown(plain: Column, v: Column) -> Column:
+    """``as_text`` of ``v``, whose plain text is known: only null, true and false need another look at the value."""
+    boolean = plain.isin("true", "false") & (F.schema_of_variant(v) == "BOOLEAN")
+    return F.when(plain.isNull() & F.is_variant_null(v), F.lit("None")).when(boolean, F.initcap(plain)).otherwise(plain)
 
 
 def text_of(v: Column, key: str) -> Column:
     """Stripped text of a member; a missing member is empty, an explicit null is the word None."""
-    return py_strip(F.coalesce(as_text(member(v, key)), F.lit("")))
+    plain = F.try_variant_get(v, f"$.{key}", "string")
+    return let(plain, lambda p: py_strip(F.coalesce(_shown(p, member(v, key)), F.lit(""))))
 
 
 def _filled_text(v: Column) -> Column:

@@ -131,3 +131,15 @@ def test_normalize_answer_order(spark):
     # punctuation goes first, so "a.n" becomes the article "an" and is dropped
     assert one(spark, X.normalize_answer(F.col("a")), "a.n apple") == "apple"
     assert one(spark, X.normalize_answer(F.col("a")), "éa thé") == "éa thé"
+
+
+def test_fences_are_found_without_patterns(spark):
+    """Fences go by prefix and suffix; only the first opening and the last closing one are fences."""
+    cases = [
+        ('```json\n{"a": 1}\n```', '{"a": 1}'), ("``````json", "```json"), ("```json```x", "x"), ("``````", ""), ("````", "`"),
+        ("`````", "``"), (' ```x``` ', "x"), ("x```", "x"), ("``", "``"), ("", ""), (None, None),
+    ]
+    frame = spark.createDataFrame(cases, "r string, want string")
+    plan = frame.select(J.clean_json_block(F.col("r")), J.json_object_tail(F.col("r")))._jdf.queryExecution().toString()
+    assert "regexp" not in plan
+    assert [r.got for r in frame.select(J.clean_json_block(F.col("r")).alias("got")).collect()] == [want for _, want in cases]
