@@ -25,7 +25,7 @@ def replayed(flow: Flow, generator: Generator) -> DataFrame:
     """``flow`` on the responses that a first run of it recorded."""
     recorder = RecordingGenerator(generator)
     flow(recorder)
-    return flow(TableGenerator(recorder.recorded()))
+    return flow(TableGenerator(recorder.recorded(), unique=True))
 
 
 def single_flow(spark, sf) -> Flow:

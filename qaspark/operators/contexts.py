@@ -16,6 +16,8 @@ MAX_SPECIAL_RATIO = 0.3
 MIN_SENTENCE = 3
 MIN_LINK = 11
 TRIPLE = 3
+# Columns of a context that follow from its chunk and its number.
+CONTEXT_TEXTS = ("premise", "intermediate", "conclusion", "related_contexts", "context", "supporting_sentence_count")
 
 
 def context_language(language: str) -> str:
@@ -77,21 +79,28 @@ class MultiHopContexts:
         object.__setattr__(self, "language", context_language(self.language))
         normalize_language(self.language)
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def _split(self, df: DataFrame) -> DataFrame:
         gated = df.withColumn("_text", py_strip(F.coalesce("chunk_text", F.lit("")))).withColumn(
             "_ok", passes_gate(F.col("_text"), self.min_text_length, self.max_text_length)
         )
         # sentences are read several times by the triple builder, hence a column of their own
-        cut_up = gated.withColumn(
+        return gated.withColumn(
             "_sents", F.when(F.col("_ok"), sentences(F.col("_text"), self.language))
         ).withColumn("_n", F.size("_sents"))
-        pairs = F.when(F.col("_n") >= self.min_context_sentences, info_pairs(F.col("_sents")))
+
+    def _pairs(self) -> Column:
+        return F.when(F.col("_n") >= self.min_context_sentences, info_pairs(F.col("_sents")))
+
+    def _told(self, df: DataFrame) -> DataFrame:
         sep = ". " if self.language == "en" else " "
         parts = F.filter(F.array("premise", "intermediate", "conclusion"), lambda p: p != "")
-        return (
-            cut_up.select(*df.columns, F.posexplode(pairs).alias("info_pair_index", "_p"))
-            .select(*df.columns, "info_pair_index", "_p.*")
-            .withColumns(
-                {"context": F.array_join(parts, sep), "supporting_sentence_count": F.lit(TRIPLE)}
-            )
-        )
+        return df.withColumns({"context": F.array_join(parts, sep), "supporting_sentence_count": F.lit(TRIPLE)})
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        each = self._split(df).select(*df.columns, F.posexplode(self._pairs()).alias("info_pair_index", "_p"))
+        return self._told(each.select(*df.columns, "info_pair_index", "_p.*"))
+
+    def again(self, df: DataFrame) -> DataFrame:
+        """The columns ``CONTEXT_TEXTS`` of context rows that kept ``chunk_text`` and ``info_pair_index`` alone."""
+        placed = self._split(df).select(*df.columns, F.get(self._pairs(), F.col("info_pair_index")).alias("_p"))
+        return self._told(placed.select(*df.columns, "_p.*"))

@@ -27,6 +27,9 @@ from qaspark.operators.exchange import ROW_KEY, TextStore, row_key
 from qaspark.session import cut
 
 
+Attach = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Ask:
     """One question per row: which stage, what prompt, and the column its response goes to."""
@@ -44,8 +47,14 @@ class Generator(Protocol):
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         """``df`` with one response column per ask; asks of a row do not depend on each other."""
 
-    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
-        """A generator that keeps the columns ``texts`` (name to the column it repeats) of ``df`` out of its joins, and the rows to go on with."""
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+        """As ``ask``, but texts that lie in a store stay there, and what brings them to rows made of the result."""
+
+    def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
+        """A generator that keeps the columns ``texts`` (name to the column it repeats) of ``df`` out of its joins, and the rows to go on with.
+
+        ``derived`` are names of columns that rows made of ``df`` get, and the function that adds them.
+        """
 
 
 @dataclass(frozen=True)
@@ -60,7 +69,10 @@ class ExpressionGenerator:
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         return df.withColumns({a.to: self._answer(a.stage, a.prompt) for a in asks})
 
-    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+        return self.ask(df, stage, prompt, system), lambda rows: rows
+
+    def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         return self, df
 
     def _answer(self, stage: str, prompt: Column) -> Column:
@@ -86,6 +98,8 @@ def store_of(texts: TextStore | None, df: DataFrame) -> TextStore | None:
 class TableGenerator:
     """Stored responses ``(stage, prompt_hash, response[, resp_ord])``; the lowest ``resp_ord`` wins.
 
+    ``unique`` says that they are a written table with one row for each stage and hash, as ``RecordingGenerator`` gives; it is read in place.
+
     The responses of a stage are reduced to one row per hash (combined before the shuffle) and written
     once. The join then reads a plain table on that side, which lets AQE split the partition of a prompt
     that a third of all rows ask; it cannot do so above an aggregate.
@@ -93,15 +107,18 @@ class TableGenerator:
 
     responses: DataFrame
     texts: TextStore | None = None
+    unique: bool = False
     _by_stage: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
-    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+    def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         marked = df.withColumn(ROW_KEY, row_key(df))
-        return replace(self, texts=TextStore.of(marked, texts)), marked
+        return replace(self, texts=TextStore.of(marked, texts, *derived)), marked
 
     def _stored(self, stage: str) -> DataFrame:
         if stage not in self._by_stage:
             rows = self.responses.filter(F.col("stage") == stage)
+            if self.unique:
+                return rows.select("prompt_hash", F.col("response").alias("_stored"))
             order = F.col("resp_ord") if "resp_ord" in rows.columns else F.col("response")
             unique = rows.groupBy("prompt_hash").agg(F.min_by("response", order).alias("_stored"))
             self._by_stage[stage] = cut(unique, f"stored-{stage}")
@@ -112,6 +129,13 @@ class TableGenerator:
 
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         """All prompts of a row are hashed where the row is; then only hashes and narrow columns move."""
+        rows, attach = self._bare(df, asks)
+        return attach(rows).select(*df.columns, *[a.to for a in asks])
+
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+        return self._bare(df.drop("response"), [Ask(stage, prompt, system, "response")])
+
+    def _bare(self, df: DataFrame, asks: Sequence[Ask]) -> tuple[DataFrame, Attach]:
         texts = store_of(self.texts, df)
         held = texts.held(df) if texts else []
         hashed = df.withColumns({f"_h{i}": hash_or_own(a.prompt, a.system) for i, a in enumerate(asks)})
@@ -119,8 +143,7 @@ class TableGenerator:
         for i, a in enumerate(asks):
             stored = self._stored(a.stage).withColumnRenamed("prompt_hash", f"_h{i}")
             rows = rows.join(stored, f"_h{i}", "left").withColumn(a.to, F.coalesce("_stored", F.lit(""))).drop(f"_h{i}", "_stored")
-        rows = texts.attach(rows, held) if texts else rows
-        return rows.select(*df.columns, *[a.to for a in asks])
+        return rows, lambda found: texts.attach(found, held) if texts else found
 
 
 ModelCall = Callable[[list[str], str], list[str]]
@@ -164,12 +187,12 @@ class CallableGenerator:
     threads: int = 4
     texts: TextStore | None = None
 
-    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
+    def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         marked = df.withColumn(ROW_KEY, row_key(df))
-        return replace(self, texts=TextStore.of(marked, texts)), marked
+        return replace(self, texts=TextStore.of(marked, texts, *derived)), marked
 
-    def _once(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
-        """``df`` with a struct ``_a0``, ``_a1``, ... for each ask; of rows with equal prompts one asks.
+    def _once(self, df: DataFrame, asks: Sequence[Ask]) -> tuple[DataFrame, Attach]:
+        """``df`` without its texts and with a struct ``_a0``, ``_a1``, ... for each ask; of rows with equal prompts one asks.
 
         The narrow rows are written once with their hashes. The row that asks is chosen among narrow rows and gets its texts from
         the store, so a prompt is built only where it is sent.
@@ -182,14 +205,21 @@ class CallableGenerator:
             answer = _model_udf(self.call, a.system, self.threads)(a.prompt).alias(f"_a{i}")
             answers = cut(self.texts.attach(asking, held).select(f"_h{i}", answer), f"responses-{a.stage}")
             rows = rows.join(answers, f"_h{i}", "left")
-        rows = self.texts.attach(rows, held)
         nothing = F.struct(F.lit("").alias("response"), F.lit("skipped").alias("gen_status"), F.lit(None).cast("string").alias("gen_error"))
-        return rows.select(*df.columns, *[F.coalesce(f"_a{i}", nothing).alias(f"_a{i}") for i in range(len(asks))])
+        filled = rows.withColumns({f"_a{i}": F.coalesce(f"_a{i}", nothing) for i in range(len(asks))}).drop(*hashes)
+        return filled, lambda found: self.texts.attach(found, held)
+
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+        if not store_of(self.texts, df):
+            return self.ask(df, stage, prompt, system), lambda rows: rows
+        rows, attach = self._once(df.drop("response", "gen_status", "gen_error"), [Ask(stage, prompt, system, "response")])
+        return rows.select(*[c for c in rows.columns if c != "_a0"], "_a0.*"), attach
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
         if store_of(self.texts, df):
             kept = df.drop("response", "gen_status", "gen_error")
-            return self._once(kept, [Ask(stage, prompt, system, "response")]).select(*kept.columns, "_a0.*")
+            rows, attach = self._once(kept, [Ask(stage, prompt, system, "response")])
+            return attach(rows).select(*kept.columns, "_a0.*")
         kept = [c for c in df.columns if c not in ("response", "gen_status", "gen_error")]
         answer = _model_udf(self.call, system, self.threads)(prompt)
         answered = self._spread(df).select(*kept, answer.alias("_r")).select(*kept, "_r.*")
@@ -198,7 +228,8 @@ class CallableGenerator:
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         """All calls of a row in one pass, so the rows are written once and not once per ask."""
         if store_of(self.texts, df):
-            return self._once(df, asks).select(*df.columns, *[F.col(f"_a{i}.response").alias(a.to) for i, a in enumerate(asks)])
+            rows, attach = self._once(df, asks)
+            return attach(rows).select(*df.columns, *[F.col(f"_a{i}.response").alias(a.to) for i, a in enumerate(asks)])
         answers = [_model_udf(self.call, a.system, self.threads)(a.prompt).alias(f"_{a.to}") for a in asks]
         answered = self._spread(df).select(*df.columns, *answers)
         texts = [F.col(f"_{a.to}.response").alias(a.to) for a in asks]
@@ -215,10 +246,13 @@ class RecordingGenerator:
     inner: Generator
     _parts: list[DataFrame] = field(default_factory=list, repr=False, compare=False)
 
-    def over(self, df: DataFrame, texts: Mapping[str, str]) -> tuple[Generator, DataFrame]:
-        inner, rows = self.inner.over(df, texts)
+    def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
+        inner, rows = self.inner.over(df, texts, *derived)
         return replace(self, inner=inner), rows
 
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+        return self.ask(df, stage, prompt, system), lambda rows: rows
+
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
         answered = self.inner.ask(df, stage, prompt, system)
         self._keep(answered, Ask(stage, prompt, system, "response"))

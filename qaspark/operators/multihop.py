@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,8 +14,7 @@ from qaspark.operators.contexts import context_language
 from qaspark.operators.generation import Generator
 from qaspark.operators.language import normalize_language
 
-# Members a strictly valid object must have.
-REQUIRED = ("question", "reasoning_steps", "answer", "supporting_facts", "type")
+# What a strictly valid object must have, beside filled texts. No member can then be absent.
 MIN_STEPS = 2
 MIN_FACTS = 2
 
@@ -40,7 +37,6 @@ def _normal(x: Column) -> Column:
         J.text_of(x, "answer").alias("answer"),
         J.text_items(J.member(x, "supporting_facts")).alias("supporting_facts"),
         J.text_of(x, "type").alias("type"),
-        reduce(and_, [J.member(x, key).isNotNull() for key in REQUIRED]).alias("complete"),
     )
 
 
@@ -53,7 +49,6 @@ def _is_valid(qa: Column, strict: bool) -> Column:
         & (qa.type != "")
         & (F.size(qa.reasoning_steps) >= MIN_STEPS)
         & (F.size(qa.supporting_facts) >= MIN_FACTS)
-        & qa.complete
     )
 
 
@@ -63,14 +58,17 @@ def valid_pairs(objects: Column, strict: bool) -> Column:
 
 
 def first_by_question(pairs: Column) -> Column:
-    """First pair of every lower-cased question, in order, inside one response: sorted by question and place, then by place."""
+    """First pair of every lower-cased question, in order, inside one response: sorted by question and place, then by place.
+
+    Most responses have one pair, and nothing to compare.
+    """
     keyed = F.transform(pairs, lambda p, i: F.struct(py_lower_strip(p.question).alias("k"), i.alias("i"), p.alias("p")))
     firsts = let(
         F.array_sort(keyed),
         lambda ks: F.filter(ks, lambda x, j: (j == 0) | (F.get(ks, j - 1).k != x.k)),
     )
     placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x.i.alias("i"), x.p.alias("p"))))
-    return F.transform(placed, lambda x: x.p)
+    return F.when(F.size(pairs) <= 1, pairs).otherwise(F.transform(placed, lambda x: x.p))
 
 
 def braced_objects(response: Column) -> Column:
@@ -147,17 +145,18 @@ class MultiHopQA:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         language = context_language(normalize_language(self.target_language))
-        asked = self.generator.ask(
+        asked, attach = self.generator.ask_bare(
             df,
             "multihop",
             P.MULTIHOP[language].render(context=F.col("context")),
             P.multihop_system(language, self.system_prompt),
         )
+        bare = [c for c in df.columns if c in asked.columns]
         rows = (
             with_multihop_pairs(asked, self.strict_validation, "_pairs")
-            .select(*df.columns, F.posexplode(entries("_pairs")).alias("_j", "_p"))
+            .select(*bare, F.posexplode(entries("_pairs")).alias("_j", "_p"))
             .select(
-                *[c for c in df.columns if c != "rec_ord"],
+                *[c for c in bare if c != "rec_ord"],
                 F.array("info_pair_index", "_j").alias("rec_ord"),
                 F.col("_p.question").alias("question"),
                 F.col("_p.answer").alias("answer"),
@@ -167,8 +166,10 @@ class MultiHopQA:
                 F.col("_p.type").alias("qa_type"),
             )
         )
-        kept = LimitPerChunk(self.num_q)(FirstByQuestion()(rows))
-        return kept.withColumn(
+        # texts come back to the rows that are kept, where the columns of the contexts come first as before
+        kept = attach(LimitPerChunk(self.num_q)(FirstByQuestion()(rows)))
+        first = [c for c in df.columns if c != "rec_ord"]
+        return kept.select(*first, *[c for c in rows.columns if c not in first]).withColumn(
             "complexity",
             complexity(F.col("reasoning_steps"), F.col("supporting_facts"), F.col("question"), F.col("answer")),
         )

@@ -15,7 +15,7 @@ from qaspark.operators.agentic import DepthQA, WidthQA
 from qaspark.operators.atomic import AtomicQA
 from qaspark.operators.base import LimitPerChunk, require
 from qaspark.operators.chunking import SemanticChunks, WordChunks
-from qaspark.operators.contexts import MultiHopContexts
+from qaspark.operators.contexts import CONTEXT_TEXTS, MultiHopContexts
 from qaspark.operators.expand import ExpandQA, ThinkQA
 from qaspark.operators.exchange import ROW_KEY
 from qaspark.operators.export import AlpacaExport, MultiHopExport
@@ -30,7 +30,7 @@ from qaspark.session import cut
 from qaspark.sources.jsonl import CONTEXT_FIELDS, write_jsonl
 from qaspark.sources.taxonomy import Taxonomy
 
-# What tells contexts apart; all their other columns are texts that follow from them.
+# What tells contexts apart; all their other columns are texts.
 CONTEXT_KEYS = ("source_md", "chunk_index", "info_pair_index", "rec_ord")
 # Generator names of the single-hop flow.
 GENERATORS = ("default", "atomic", "taxonomy")
@@ -120,9 +120,11 @@ def markdown_multihop_qa(
     """Multi-hop flow: semantic chunks of up to four characters per word, contexts, pairs, export."""
     out = Stages(output_dir)
     chunks = out.add("chunks", SemanticChunks(max_chunk_chars=chunk_words * 4)(documents))
-    contexts = MultiHopContexts(language, min_context_sentences=min_context_sentences)(chunks)
-    contexts = out.add("multihop_contexts", contexts)
-    generator, contexts = generator.over(contexts, {name: name for name, kind in contexts.dtypes if name not in CONTEXT_KEYS})
+    builder = MultiHopContexts(language, min_context_sentences=min_context_sentences)
+    # a chunk has many contexts: its text is stored once, and they are built again for the rows that are kept
+    texts = {name: name for name in chunks.columns if name not in CONTEXT_KEYS}
+    generator, chunks = generator.over(chunks, texts, CONTEXT_TEXTS, builder.again)
+    contexts = out.add("multihop_contexts", builder(chunks))
     generated = out.add("qa_multihop_generated", MultiHopQA(generator, language, num_q=num_q)(contexts))
     out.add("qa_multihop_export", MultiHopExport()(generated))
     return out.tables

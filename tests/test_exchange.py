@@ -103,3 +103,27 @@ def test_texts_are_stored_once_for_each_key(spark):
     assert spark.table(store.table).count() == rows.distinct().count()
     back = store.attach(store.detach(marked), ["chunk_text"])
     assert sorted(map(repr, back.select(*marked.columns).collect())) == sorted(map(repr, marked.collect()))
+
+
+def test_multihop_texts_are_stored_once_for_each_chunk(spark, monkeypatch):
+    """Contexts are built again from their chunk, with the same rows as a run that keeps them."""
+    from checks.model import model
+    from qaspark.plans import qa as flows
+
+    text = ". ".join(f"Sentence number {i} tells of a thing" for i in range(40)) + "."
+    documents = spark.createDataFrame([(f"d{i}", text if i else None) for i in range(4)] + [("d1", text)], "source_md string, text string")
+    stores = []
+    of = TextStore.of.__func__
+    monkeypatch.setattr(TextStore, "of", classmethod(lambda cls, *args: stores.append(of(cls, *args)) or stores[-1]))
+    recorder = RecordingGenerator(model("multihop"))
+    stages = flows.markdown_multihop_qa(documents, recorder, chunk_words=300, language="en")
+    recorded = recorder.recorded()
+    for generator in (TableGenerator(recorded), TableGenerator(recorded, unique=True)):
+        again = flows.markdown_multihop_qa(documents, generator, chunk_words=300, language="en")
+        for name in ("chunks", "multihop_contexts", "qa_multihop_generated", "qa_multihop_export"):
+            assert again[name].columns == stages[name].columns
+            assert sorted(map(repr, again[name].collect())) == sorted(map(repr, stages[name].collect()))
+    chunks, contexts = stages["chunks"], stages["multihop_contexts"]
+    assert contexts.count() > 5 * chunks.count() and stages["qa_multihop_generated"].count() > 0
+    assert {spark.table(s.table).count() for s in stores} == {chunks.distinct().count()}
+    assert all("context" not in spark.table(s.table).columns for s in stores)
