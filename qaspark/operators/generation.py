@@ -241,34 +241,51 @@ class CallableGenerator:
 
 @dataclass(frozen=True)
 class RecordingGenerator:
-    """Passes on to ``inner`` and keeps what was asked: ``recorded()`` is a response table for ``TableGenerator``."""
+    """Passes on to ``inner`` and keeps what was asked: ``recorded()`` is a response table for ``TableGenerator``.
+
+    Over a text store (its own where ``inner`` has none) the narrow rows of a call are written with their answers, so a later call
+    goes on from them and no call is computed again for each one after it. ``ask_bare``, the only call of its flow, writes none.
+    """
 
     inner: Generator
+    texts: TextStore | None = None
     _parts: list[DataFrame] = field(default_factory=list, repr=False, compare=False)
 
     def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         inner, rows = self.inner.over(df, texts, *derived)
-        return replace(self, inner=inner), rows
+        if ROW_KEY in rows.columns:
+            return replace(self, inner=inner), rows
+        marked = rows.withColumn(ROW_KEY, row_key(rows))
+        return replace(self, inner=inner, texts=TextStore.of(marked, texts, *derived)), marked
 
     def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
-        return self.ask(df, stage, prompt, system), lambda rows: rows
+        answered = self.inner.ask(df, stage, prompt, system)
+        self._keep(answered, [(stage, prompt_hash(prompt, system), "response")])
+        return answered, lambda rows: rows
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
-        answered = self.inner.ask(df, stage, prompt, system)
-        self._keep(answered, Ask(stage, prompt, system, "response"))
-        return answered
+        return self._whole(self.inner.ask(df, stage, prompt, system), [Ask(stage, prompt, system, "response")])
 
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
-        answered = self.inner.ask_all(df, asks)
-        for a in asks:
-            self._keep(answered, a)
-        return answered
-
-    def _keep(self, answered: DataFrame, a: Ask) -> None:
-        part = answered.filter(a.prompt.isNotNull()).select(
-            F.lit(a.stage).alias("stage"), prompt_hash(a.prompt, a.system).alias("prompt_hash"), F.col(a.to).alias("response")
-        )
-        self._parts.append(part)
+        return self._whole(self.inner.ask_all(df, asks), asks)
+
+    def _whole(self, answered: DataFrame, asks: Sequence[Ask]) -> DataFrame:
+        rows, attach = self._record(answered, asks)
+        return attach(rows).select(*answered.columns)
+
+    def _record(self, answered: DataFrame, asks: Sequence[Ask]) -> tuple[DataFrame, Attach]:
+        texts = store_of(self.texts, answered)
+        held = texts.held(answered) if texts else []
+        hashes = {f"_h{i}": prompt_hash(a.prompt, a.system) for i, a in enumerate(asks)}
+        rows = answered.withColumns(hashes)
+        rows = cut(texts.detach(rows), f"recorded-{asks[0].stage}") if texts else rows
+        self._keep(rows, [(a.stage, F.col(f"_h{i}"), a.to) for i, a in enumerate(asks)])
+        return rows.drop(*hashes), lambda found: texts.attach(found, held) if texts else found
+
+    def _keep(self, rows: DataFrame, told: Sequence[tuple[str, Column, str]]) -> None:
+        for stage, hashed, to in told:
+            part = rows.select(F.lit(stage).alias("stage"), hashed.alias("prompt_hash"), F.col(to).alias("response"))
+            self._parts.append(part.filter("prompt_hash IS NOT NULL"))
 
     def recorded(self) -> DataFrame:
         """(``stage``, ``prompt_hash``, ``response``), one row for each prompt of a stage, written."""

@@ -127,3 +127,18 @@ def test_multihop_texts_are_stored_once_for_each_chunk(spark, monkeypatch):
     assert contexts.count() > 5 * chunks.count() and stages["qa_multihop_generated"].count() > 0
     assert {spark.table(s.table).count() for s in stores} == {chunks.distinct().count()}
     assert all("context" not in spark.table(s.table).columns for s in stores)
+
+
+def test_recorded_calls_are_not_computed_again(spark):
+    """A later call over a text store goes on from the written rows of the earlier one, and all are recorded."""
+    rows = chunks(spark)
+    recorder, marked = RecordingGenerator(ExpressionGenerator({"a": F.upper("chunk_text"), "b": F.reverse("first")})).over(rows, TEXTS)
+    first = recorder.ask(marked, "a", F.col("chunk_text")).withColumnRenamed("response", "first")
+    second = recorder.ask(first, "b", F.concat("chunk_text", F.col("first")))
+    plan = second._jdf.queryExecution().optimizedPlan().toString()
+    assert "upper" not in plan and "reverse" not in plan
+    want = rows.withColumn("first", F.upper("chunk_text")).withColumn("response", F.reverse("first"))
+    want = want.fillna("", ["first", "response"])
+    assert sorted(map(repr, second.drop(ROW_KEY).collect())) == sorted(map(repr, want.collect()))
+    texts = len({r["chunk_text"] for r in rows.collect()} - {None})
+    assert recorder.recorded().groupBy("stage").count().filter(f"count = {texts}").count() == 2
