@@ -57,6 +57,11 @@ class Codes:
     radius: int
     learnt: dict
 
+    @property
+    def bits(self) -> int:
+        """How many bits are kept in words, for the distance of whole codes."""
+        return self.blocks * self.width
+
     def projection(self, dims: int) -> np.ndarray:
         if dims not in self.learnt:
             self.learnt[dims] = projection(dims, self.blocks * self.width)
@@ -186,7 +191,7 @@ class EmbeddingNearDuplicates:
 
     def coded(self, vectors: DataFrame, codes: Codes) -> DataFrame:
         """(``u``, ``w0``, ``w1``, ..., ``blocks``): the code in words for its distance and in blocks for the tables."""
-        words = math.ceil(codes.blocks * codes.width / WORD)
+        words = math.ceil(codes.bits / WORD)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -198,7 +203,7 @@ class EmbeddingNearDuplicates:
                 for d in np.unique(sizes):
                     at = np.nonzero(sizes == d)[0]
                     bits[at] = codes.of(unit(flat[starts[at][:, None] + np.arange(d)]))
-                packed = [bits[:, i * WORD : (i + 1) * WORD] for i in range(words)]
+                packed = [bits[:, i * WORD : min((i + 1) * WORD, codes.bits)] for i in range(words)]
                 whole = [part @ (np.int64(1) << np.arange(part.shape[1], dtype=np.int64)) for part in packed]
                 cutup = bits.reshape(len(bits), codes.blocks, codes.width) @ (np.int64(1) << np.arange(codes.width, dtype=np.int64))
                 blocks = pa.ListArray.from_arrays(np.arange(len(bits) + 1, dtype=np.int32) * codes.blocks, pa.array(cutup.reshape(-1)))
@@ -212,7 +217,7 @@ class EmbeddingNearDuplicates:
         words = [c for c in coded.columns if c.startswith("w")]
         filed = coded.select("u", *words, F.posexplode("blocks").alias("t", "key"))
         firsts = filed.groupBy("t", "key").agg(F.min(F.struct("u", *words)).alias("f"), F.max("u").alias("last")).filter("f.u < last")
-        near = _hamming([F.col(w) for w in words], [F.col(f"f.{w}") for w in words]) <= codes.radius
+        near = hamming([F.col(w) for w in words], [F.col(f"f.{w}") for w in words]) <= codes.radius
         pairs = filed.join(firsts.drop("last"), ["t", "key"]).filter((F.col("u") != F.col("f.u")) & near).select("u", F.col("f.u").alias("c")).distinct()
         v = vectors.select("u", "v")
         close = pairs.join(v, "u").join(v.toDF("c", "w"), "c").select("u", "c", cosine_of("v", "w").alias("cos"))
@@ -239,7 +244,7 @@ class EmbeddingNearDuplicates:
         flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(codes.width)])
         asked = filed.select(F.col("c").alias("a"), *[F.col(w).alias(f"a{w}") for w in words], F.col("slack").alias("aslack"), "t", "key", F.explode(flips).alias("flip"))
         asked = asked.withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
-        met = asked.join(filed, ["t", "key"]).filter((F.col("a") < F.col("c")) & (_hamming([F.col(w) for w in words], [F.col(f"a{w}") for w in words]) <= codes.radius + F.col("slack") + F.col("aslack")))
+        met = asked.join(filed, ["t", "key"]).filter((F.col("a") < F.col("c")) & (hamming([F.col(w) for w in words], [F.col(f"a{w}") for w in words]) <= codes.radius + F.col("slack") + F.col("aslack")))
         return cut(met.select("a", F.col("c").alias("b")).distinct(), "ball-pairs")
 
     def links(self, vectors: DataFrame, balls: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -293,7 +298,7 @@ class EmbeddingNearDuplicates:
         return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _hamming(a: list[Column], b: list[Column]) -> Column:
+def hamming(a: list[Column], b: list[Column]) -> Column:
     total = F.lit(0)
     for x, y in zip(a, b):
         total = total + F.bit_count(x.bitwiseXOR(y))

@@ -1,16 +1,21 @@
-"""Near duplicates without a model: questions by their words, vectors by their angle. SQL functions only."""
+"""Near duplicates without a model: questions by their words, vectors by their angle."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from qaspark.llm.itq import WORD, Codes, EmbeddingNearDuplicates, hamming
 from qaspark.operators.base import require
 from qaspark.session import cut, distil
 
+# Fixed value: tables in which vectors look for the centre of a ball.
+BALL_TABLES = 8
+
 
 def connected(links: DataFrame) -> DataFrame:
     """(``node``, ``root``) of all nodes of ``links`` (``a``, ``b``): the smallest node that can be reached.
@@ -105,15 +110,78 @@ def group_by_links(items: DataFrame, links: DataFrame, name: str) -> tuple[DataF
     return near, named.join(firsts, "root").select(name, "group_first")
 
 
+@dataclass(frozen=True)
+class Planes(Codes):
+    """Independent random planes for every length, which follow from the shape alone. Two words of bits tell most strangers apart."""
+
+    @property
+    def bits(self) -> int:
+        return min(self.blocks * self.width, 2 * WORD)
+
+    def projection(self, dims: int) -> np.ndarray:
+        if dims not in self.learnt:
+            self.learnt[dims] = np.random.default_rng([dims, self.blocks, self.width]).standard_normal((dims, self.blocks * self.width))
+        return self.learnt[dims]
+
+
+@dataclass(frozen=True)
+class VectorBalls(EmbeddingNearDuplicates):
+    """The balls of ``op13`` over tables of ``near``'s shape, in which equal keys meet."""
+
+    near: NearVectors | None = None
+
+    def codes(self, vectors: DataFrame) -> Codes:
+        width, count = self.near.shape(vectors.count())
+        codes = Planes(count, width, 0, {})
+        return replace(codes, radius=self.near.radius(codes.bits))
+
+    def balls(self, vectors: DataFrame, coded: DataFrame, codes: Codes) -> DataFrame:
+        """Vectors of one ball share many keys, so some tables are enough to find its centre."""
+        return super().balls(vectors, coded.withColumn("blocks", F.slice("blocks", 1, BALL_TABLES)), codes)
+
+    def filed(self, coded: DataFrame, balls: DataFrame, sizes: DataFrame, codes: Codes) -> DataFrame:
+        """(``t``, ``key``, ``c``, ``w0``, ..., ``slack``): the balls of every place, with the codes of their centres."""
+        words = [c for c in coded.columns if c.startswith("w")]
+        place = F.posexplode("blocks").alias("t", "key")
+        slack = F.ceil(F.col("radius") / math.pi * codes.bits * 1.5).cast("int") + 2
+        many = sizes.filter("size > 1").select("c", slack.alias("slack"))
+        # a vector that is a ball by itself has its own keys; those of other members are joined to their centre's code
+        alone = balls.join(many, "c", "left_anti").join(coded, "u").select("c", *words, "blocks").select(place, "c", *words, F.lit(0).alias("slack"))
+        centres = many.join(coded.select(F.col("u").alias("c"), *words), "c")
+        keys = balls.join(many.select("c"), "c", "left_semi").join(coded.select("u", "blocks"), "u").select("c", place).distinct()
+        return alone.unionByName(cut(keys.join(centres, "c"), "tables"))
+
+    def ball_pairs(self, coded: DataFrame, balls: DataFrame, sizes: DataFrame, codes: Codes) -> DataFrame:
+        words = [c for c in coded.columns if c.startswith("w")]
+        filed, place, crowd = self.filed(coded, balls, sizes, codes), ["t", "key"], self.near.crowd
+        # buckets of many balls are few; they are known before anything is joined
+        parts = filed.groupBy(*place).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd)
+        parts = cut(parts.select(*place, F.ceil(F.col("k") / crowd).cast("int").alias("parts")), "crowded")
+        # both sides are named alike, so that one exchange serves them
+        left, right = (filed.select(*[F.col(x).alias(f"{x}_{s}") for x in filed.columns]) for s in "ab")
+        same = (F.col("t_a") == F.col("t_b")) & (F.col("key_a") == F.col("key_b"))
+        if not parts.isEmpty():
+            n = F.coalesce("parts", F.lit(1))
+            left = left.join(parts.toDF("t_a", "key_a", "parts"), ["t_a", "key_a"], "left").withColumn("part_a", F.explode(F.sequence(F.lit(0), n - 1)))
+            right = right.join(parts.toDF("t_b", "key_b", "parts"), ["t_b", "key_b"], "left").withColumn("part_b", F.pmod(F.xxhash64("c_b"), n).cast("int"))
+            same = same & (F.col("part_a") == F.col("part_b"))
+        apart = hamming([F.col(f"{w}_a") for w in words], [F.col(f"{w}_b") for w in words])
+        met = left.join(right, same & (F.col("c_a") < F.col("c_b")) & (apart <= codes.radius + F.col("slack_a") + F.col("slack_b")))
+        return cut(met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "ball-pairs")
+
+
 @dataclass(frozen=True)
 class NearVectors:
     """Vectors at a cosine of ``cosine`` or more: ``n_near`` other rows, and the smallest id of the group as ``first``.
 
-    Signatures are signs of products with random planes, whose numbers follow from a hash, so no table of planes is shipped. They
-    are cut into tables; two vectors are compared where a table differs in at most one bit. Width grows with the number of rows and
-    the number of tables with the width, so that a pair at the threshold is missed with a probability of at most ``miss`` (by the
-    independence of planes), whatever the size. Equal vectors are one. A bucket of more than ``crowd`` vectors is cut into parts that
-    meet in as many tasks. Null, empty, zero and non-finite vectors, and vectors of different lengths, are never near.
+    Signatures are signs of products with random planes, whose numbers follow from a seed, so no table of planes is shipped. They
+    are cut into tables; two vectors are compared where they have the same key in a table and their first bits differ in at most
+    ``radius``. A vector goes into each table once: asking for keys one bit off takes fewer tables and many times the rows. Width grows with the number of rows and the number of tables with the width, so that a pair at the threshold is
+    missed with a probability of at most ``miss`` (by the independence of planes), whatever the size. Equal vectors are one. Vectors
+    that lie within half the threshold's angle of one other are a ball, all near one another, so a dense group is never listed in
+    pairs: balls meet in the tables, and vectors of two balls are compared singly only where the angles of the balls leave it open
+    (``EmbeddingNearDuplicates``). A bucket of more than ``crowd`` balls is cut into parts that meet in as many tasks. Null, empty,
+    zero and non-finite vectors, and vectors of different lengths, are never near.
     Input ``id`` column and ``vector`` column; rows equal in both count as one.
     """
 
@@ -123,62 +191,29 @@ class NearVectors:
     miss: float = 1e-4
     crowd: int = 2000
 
+    @property
+    def differ(self) -> float:
+        """The probability that one plane parts two vectors at the threshold."""
+        return math.acos(self.cosine) / math.pi
+
     def shape(self, rows: int) -> tuple[int, int]:
         """Width of a table in bits, and number of tables."""
         width = min(28, max(8, math.ceil(math.log2(max(2, rows)))))
-        q = math.acos(self.cosine) / math.pi
-        met = (1 - q) ** width + width * q * (1 - q) ** (width - 1)
-        return width, math.ceil(math.log(self.miss) / math.log(1 - met))
-
-    def distinct(self, rows: DataFrame) -> DataFrame:
-        """(``u``, ``v``, ``unit``, ``copies``, ``first``): the different usable vectors."""
-        unique = rows.filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-        # the largest component goes out first, so that no square overflows or vanishes
-        high = F.array_max(F.transform("v", F.abs))
-        scaled = unique.withColumn("w", F.transform("v", lambda x: x / high))
-        norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
-        return cut(scaled.select(F.monotonically_increasing_id().alias("u"), "v", F.transform("w", lambda x: x / norm).alias("unit"), "copies", "first"), "vectors")
-
-    def tables(self, vectors: DataFrame, width: int, count: int) -> DataFrame:
-        """(``t``, ``key``, ``u``): every vector in every table."""
-        places = F.sequence(F.lit(0), F.size("unit") - 1)
-
-        def bit(t: int, b: int) -> Column:
-            number = lambda i: F.xxhash64(F.lit(t), F.lit(b), i) / F.lit(2.0**63)
-            product = F.aggregate(F.zip_with("unit", places, lambda x, i: x * number(i)), F.lit(0.0), lambda s, x: s + x)
-            return F.when(product >= 0, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-
-        keys = F.array(*[sum((bit(t, b) for b in range(1, width)), bit(t, 0)) for t in range(count)])
-        return cut(vectors.select("u", F.size("unit").alias("d"), F.posexplode(keys).alias("t", "key")), "signatures")
-
-    def candidates(self, filed: DataFrame, width: int) -> DataFrame:
-        """(``a``, ``b``), a < b: vectors of one length that meet in a table."""
-        place = ["d", "t", "key"]
-        # buckets that many vectors ask for are few; they are known before anything is joined
-        parts = filed.groupBy(*place).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > self.crowd)
-        parts = cut(parts.select(*place, F.ceil(F.col("k") / self.crowd).cast("int").alias("parts")), "crowded")
-        split = filed.join(parts, place, "left").select(*place, "u", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-        flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(width)])
-        asked = filed.select("d", "t", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"), F.col("u").alias("a"))
-        asked = asked.join(parts, place, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        return asked.join(split, [*place, "part"]).filter("a < u").select("a", F.col("u").alias("b")).distinct()
-
-    def links(self, vectors: DataFrame) -> DataFrame:
-        width, count = self.shape(vectors.count())
-        filed = self.tables(vectors, width, count)
-        sides = [vectors.select(F.col("u").alias(n), F.col("unit").alias(f"v{n}")) for n in "ab"]
-        both = self.candidates(filed, width).join(sides[0], "a").join(sides[1], "b")
-        product = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return cut(both.filter(product >= self.cosine).select("a", "b"), "near-vectors")
+        return width, math.ceil(math.log(self.miss / 2) / math.log(1 - (1 - self.differ) ** width))
+
+    def radius(self, bits: int) -> int:
+        """The fewest bits that a pair at the threshold exceeds with a probability of at most half of ``miss``."""
+        q, beyond, r = self.differ, 1 - (1 - self.differ) ** bits, 0
+        while beyond > self.miss / 2:
+            r += 1
+            beyond -= math.comb(bits, r) * q**r * (1 - q) ** (bits - r)
+        return r
 
     def __call__(self, df: DataFrame) -> DataFrame:
         v = F.transform(self.vector, lambda x: x.cast("double"))
         fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-        rows = df.select(F.col(self.id).alias("id"), v.alias("v"))
+        rows = df.select(F.col(self.id).alias("vec_id"), v.alias("v"))
         usable = (F.size("v") > 0) & F.forall("v", fine) & F.exists("v", lambda x: x != 0)
-        rows = cut(rows.select("id", F.when(usable, F.col("v")).alias("v")).distinct(), "vector-rows")
-        vectors = self.distinct(rows)
-        near, first = group_by_links(vectors, self.links(vectors), "u")
-        found = vectors.join(near, "u", "left").join(first, "u").select("v", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_near"), F.col("group_first").alias("first"))
-        out = rows.join(cut(found, "near"), "v", "left")
-        return out.select(F.col("id").alias(self.id), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.coalesce("first", "id").alias("first"))
+        rows = cut(rows.select("vec_id", F.when(usable, F.col("v")).alias("embedding")).distinct(), "vector-rows")
+        found = VectorBalls(cosine=self.cosine, near=self)(rows)
+        return found.select(F.col("vec_id").alias(self.id), F.col("n_links").alias("n_near"), F.col("component_id").alias("first"))

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from qaspark.operators.near import NearQuestions, NearVectors, connected
+from qaspark.session import scratch
 
 
 def groups_by_hand(nodes, links):
@@ -101,3 +102,14 @@ def test_tables_hold_their_promise_at_every_size():
         q = math.acos(0.95) / math.pi
         assert (1 - (1 - q) ** width - width * q * (1 - q) ** (width - 1)) ** count <= 1e-4
         assert 2**width >= min(rows, 2**28)
+
+
+def test_a_dense_group_of_vectors_is_not_written_as_pairs(spark):
+    rng = random.Random(5)
+    centre = [rng.gauss(0, 1) for _ in range(24)]
+    rows = [(i, [x + 0.01 * rng.gauss(0, 1) for x in centre]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(2)
+    with scratch() as paths:
+        got = NearVectors()(frame).collect()
+    assert {(r["n_near"], r["first"]) for r in got} == {(399, 0)} and len(got) == 400
+    assert max(spark.read.parquet(p).count() for p in paths) <= 40 * len(rows)  # 79,800 pairs
