@@ -15,12 +15,16 @@ from qaspark.operators.ordering import dense_index
 from qaspark.operators.review import replace_sessions, upsert
 from qaspark.session import cut
 
+# Most folders of a store of pages: writing and listing them takes longer than their rows.
+MAX_PARTS = 1024
+
 
 @dataclass(frozen=True)
 class StoredPages:
-    """Rows with a stored dense position, in folders of ``rows_per_part`` positions.
+    """Rows with a stored dense position, in folders of ``rows_per_part`` positions, or more where that would be over ``MAX_PARTS`` folders.
 
-    Writing numbers the rows once, in one range shuffle. A page is then a range of positions: the folders outside it are not
+    Writing numbers the rows once, in one range shuffle. Rows lie in order in their files, so a large folder is pruned by row
+    groups; how many positions it has is noted beside the rows. A page is then a range of positions: the folders outside it are not
     listed, and nothing is sorted but the page itself. With ``keys`` (a session, say) a small table of first positions says where
     each group begins, so a page of a group is a range too. ``after`` goes on from the last position that was seen.
     """
@@ -33,9 +37,13 @@ class StoredPages:
     @classmethod
     def write(cls, df: DataFrame, path: str, order: Sequence[str], keys: Sequence[str] = (), rows_per_part: int = 50_000) -> StoredPages:
         """``keys`` and ``order`` together tell rows apart."""
-        numbered = dense_index(df, [*keys, *order], "_at").withColumn("_part", F.floor(F.col("_at") / rows_per_part))
-        numbered.write.partitionBy("_part").parquet(f"{path}/rows")
         pages = cls(df.sparkSession, path, tuple(keys), rows_per_part)
+        numbered = dense_index(df, [*keys, *order], "_at")
+        span = max(rows_per_part, -(-numbered.count() // MAX_PARTS))
+        if span > rows_per_part:
+            df.sparkSession.range(span, span + 1).toDF("span").write.parquet(f"{path}/layout")
+        placed = numbered.withColumn("_part", F.floor(F.col("_at") / span)).sortWithinPartitions("_part", "_at")
+        placed.write.partitionBy("_part").parquet(f"{path}/rows")
         if keys:
             starts = pages.rows().groupBy(*keys).agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n"))
             starts.write.parquet(f"{path}/groups")
@@ -44,9 +52,17 @@ class StoredPages:
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
 
+    def _span(self) -> int:
+        """Positions of a folder."""
+        noted = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/layout")
+        if not noted.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(noted):
+            return self.rows_per_part
+        return self.spark.read.schema("span bigint").parquet(f"{self.path}/layout").first()["span"]
+
     def _range(self, low: int, high: int) -> DataFrame:
         """Positions ``low`` to ``high`` - 1 in order; at most a page, so sorting it is bounded."""
-        parts = F.col("_part").between(low // self.rows_per_part, max(low, high - 1) // self.rows_per_part)
+        span = self._span()
+        parts = F.col("_part").between(low // span, max(low, high - 1) // span)
         return self.rows().filter(parts & (F.col("_at") >= low) & (F.col("_at") < high)).orderBy("_at").drop("_part")
 
     def _group(self, group: dict) -> tuple[int, int]:

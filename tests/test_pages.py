@@ -42,6 +42,19 @@ def test_pages_of_one_hot_and_many_small_groups(spark, tmp_path):
         whole.page(0)
 
 
+def test_pages_of_many_rows_lie_in_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("qaspark.operators.pages.MAX_PARTS", 8, raising=False)
+    rows = [(f"g{i % 3}", i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "session_id string, x int").repartition(3)
+    pages = StoredPages.write(frame, str(tmp_path / "p"), ["x"], ["session_id"], rows_per_part=10)
+    assert len(list((tmp_path / "p" / "rows").glob("_part=*"))) == 8
+    want = [x for s, x in rows if s == "g1"]
+    for again in (pages, StoredPages(spark, str(tmp_path / "p"), ("session_id",), 10)):
+        assert [r["x"] for r in again.page(9, 120, session_id="g1").collect()] == want[120:129]
+        assert [r["x"] for r in again.after(334 + 199, 40, session_id="g1").collect()] == want[200:240]
+    assert "_part" in partitions_read(pages.page(10, 50, session_id="g1"))[0]
+
+
 def files(folder):
     return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
 
