@@ -7,6 +7,7 @@ the next one.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -38,16 +39,16 @@ GENERATORS = ("default", "atomic", "taxonomy")
 
 @dataclass
 class Stages:
-    """Collects stage tables and, when a folder is given or they are to be ``written``, writes each one as it is added."""
+    """Collects stage tables and, when a folder is given or they (all, or those named) are to be ``written``, writes each one as it is added."""
 
     output_dir: str | None = None
-    written: bool = False
+    written: bool | Collection[str] = False
 
     def __post_init__(self) -> None:
         self.tables: dict[str, DataFrame] = {}
 
     def add(self, name: str, df: DataFrame, omit: tuple[str, ...] = ()) -> DataFrame:
-        if self.output_dir or self.written:
+        if self.output_dir or self.written is True or (self.written and name in self.written):
             # the cut keeps every column for the next stage and stops it from computing this one again
             df = cut(df, name)
         if self.output_dir:
@@ -71,7 +72,7 @@ def markdown_qa(
     think: bool = False,
     atomic_max_per_task: int = 10,
     output_dir: str | None = None,
-    written: bool = False,
+    written: bool | Collection[str] = False,
 ) -> dict[str, DataFrame]:
     """Single-hop flow over ``(source_md, text)``: chunk, generate, score, filter, [expand], [think], export.
 
@@ -185,18 +186,20 @@ def review_flow(
     """Stages of a review job: ``session`` (review items) and, where asked for, ``depth`` and ``width``.
 
     The session is made of all scored rows, or of the generated ones where no scores exist. Depth and width work on the
-    generated rows of single-hop jobs, which are written once so that no stage asks the model again.
+    generated rows of single-hop jobs, which are written once, before they are scored, so that no stage asks the model again.
     """
     extra = {}
     if pipeline == "multihop":
         rows = markdown_multihop_qa(documents, generator, language=language, **options)["qa_multihop_generated"]
     else:
+        if (add_depth or add_width) and options.get("written") is not True:
+            options["written"] = (*(options.get("written") or ()), "qa_generated")
         stages = markdown_qa(
             documents, generator, kind=kind, grades=GradeFilter.all_at(min_score), language=language, **options
         )
         rows = stages["qa_generated" if kind == "atomic" else "qa_scored"]
         if add_depth or add_width:
-            generated = cut(stages["qa_generated"], "generated")
+            generated = stages["qa_generated"]
             if add_depth:
                 extra["depth"] = depth_table(generated, generator, depth_rounds)
             if add_width:

@@ -386,3 +386,22 @@ def test_review_flow_adds_depth_and_width(spark):
     assert sorted(stages["session"].select("id", "question").collect()) == sorted(plain.select("id", "question").collect())
     assert {"depth_round", "new_identifier"} <= set(stages["depth"].columns) and stages["depth"].count() > 0
     assert "original_question" in stages["width"].columns and stages["width"].count() > 0
+
+
+def test_review_flow_with_width_makes_its_rows_once(spark):
+    """The rows that are scored are read from where the rows of the width stage are written."""
+    from checks.model import model
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        asked.add(1)
+        return '["Ask who acts"]'
+
+    docs = spark.createDataFrame([(f"d{i}", f"word{i} and {i} more") for i in range(12)], "source_md string, text string")
+    rules = model("singlehop", "scores", "width").rules
+    generator = ExpressionGenerator({**rules, "instructions": F.udf(counted, "string").asNondeterministic()("chunk_text")})
+    stages = flows.review_flow(docs, generator, "s", min_score=3.0, language="en", add_width=True)
+    stages["session"].collect()
+    stages["width"].collect()
+    assert asked.value == 12
