@@ -188,7 +188,8 @@ class CallableGenerator:
     texts: TextStore | None = None
 
     def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
-        marked = df.withColumn(ROW_KEY, row_key(df))
+        # the store and the first call both read these rows
+        marked = cut(df.withColumn(ROW_KEY, row_key(df)), "marked")
         return replace(self, texts=TextStore.of(marked, texts, *derived)), marked
 
     def _once(self, df: DataFrame, asks: Sequence[Ask]) -> tuple[DataFrame, Attach]:

@@ -142,3 +142,19 @@ def test_recorded_calls_are_not_computed_again(spark):
     assert sorted(map(repr, second.drop(ROW_KEY).collect())) == sorted(map(repr, want.collect()))
     texts = len({r["chunk_text"] for r in rows.collect()} - {None})
     assert recorder.recorded().groupBy("stage").count().filter(f"count = {texts}").count() == 2
+
+
+def test_rows_of_a_called_model_are_computed_once(spark):
+    """The store of texts and the first call read rows that are written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = chunks(spark)
+    made = rows.withColumn("chunk_text", F.udf(counted, "string").asNondeterministic()("chunk_text"))
+    generator, marked = CallableGenerator(lambda prompts, system: ["re: " + p for p in prompts]).over(made, TEXTS)
+    got = generator.ask(marked, "s", F.col("chunk_text")).select("chunk_text", "response").collect()
+    assert len(got) == rows.count() == seen.value
+    assert all(r["response"] == ("re: " + r["chunk_text"] if r["chunk_text"] is not None else "") for r in got)
