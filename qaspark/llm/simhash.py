@@ -176,6 +176,30 @@ def _anchored(texts: pd.Series, k: int, seeds: np.ndarray, width: int) -> Iterat
         yield prints, len(np.unique(hashes))
 
 
+def shingle_bits(own: np.ndarray, limit: int = 1 << 16) -> bytes:
+    """A bitmap of different shingle hashes by their low bits: about four bits a shingle, at least 64 and at most ``limit``."""
+    size = min(limit, max(64, 1 << (4 * len(own) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def similarity_bound(n: int, left: bytes, m: int, right: bytes) -> float:
+    """The largest Jaccard similarity that sets of ``n`` and ``m`` shingles with these bitmaps can have.
+
+    A bit that only one side has stands for at least one shingle that only that side has. The longer bitmap is folded.
+    """
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both = int(np.bitwise_count(x & y).sum())
+    shared = min(n - int(np.bitwise_count(x).sum()) + both, m - int(np.bitwise_count(y).sum()) + both)
+    return shared / max(1, n + m - shared)
+
+
 @dataclass(frozen=True)
 class NearDuplicates:
     """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
@@ -195,6 +219,9 @@ class NearDuplicates:
     similar documents of one class stay apart, and the exact similarity of whole shingle sets decides every link. Groups
     are told apart by a 64-bit hash of their name.
 
+    The texts of all documents that share a class with another are written once, and no later step goes back to the table. A
+    pair's texts meet only where bitmaps of the two shingle sets leave the similarity possible; the bound errs on one side only.
+
     Input ``doc_id``, ``text``; other columns are ignored. Null and wordless texts are never near copies. Repeated
     rows are one document. Ties do not occur: the order is by id (null as zero), then by a hash of the text. Texts of any length are
     taken whole. An empty table gives no links and keeps nothing.
@@ -221,10 +248,25 @@ class NearDuplicates:
         return cut(rows.select("doc", "s.prints", "s.n"), "sketches")
 
     def classes(self, rows: DataFrame) -> DataFrame:
-        """(``c``, ``doc``, ``n``): the classes of linked windows that each document lies in."""
+        """(``c``, ``doc``, ``n``): the classes of linked windows that each document shares with another."""
         windows = rows.select("doc", "n", F.explode(F.array_distinct("prints")).alias("fp"))
         roots = cut(components(CoveringLsh().links(windows.select("fp").distinct())), "roots")
-        return cut(windows.join(roots, windows.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("c"), "doc", "n"), "window-classes")
+        every = cut(windows.join(roots, windows.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("c"), "doc", "n"), "window-classes")
+        shared = every.groupBy("c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("c")
+        return cut(every.join(cut(shared, "shared-classes"), "c", "left_semi"), "shared-window-classes")
+
+    def texts(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
+        """(``doc``, ``text``, ``n``, ``bits``): each document of ``classes`` once, with the number and the bitmap of its shingles."""
+        k = self.shingle
+
+        @F.pandas_udf("n int, bits binary")
+        def outline(texts: pd.Series) -> pd.DataFrame:
+            sets = [np.unique(shingle_hashes(t, k)) for t in texts]
+            return pd.DataFrame([(len(own), shingle_bits(own)) for own in sets], columns=["n", "bits"])
+
+        named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
+        own = named.join(classes.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        return cut(own.select("doc", "text", outline("text").alias("s")).select("doc", "text", "s.n", "s.bits"), "class-texts")
 
     def _sized(self, n: str, m: str):
         return F.least(n, m) >= F.greatest(n, m) * self.similarity
@@ -250,7 +292,7 @@ class NearDuplicates:
         found = marked.join(open_, "c", "left_semi").select("doc", "label").distinct()
         return cut(found.select(F.monotonically_increasing_id().alias("id"), "doc", "label"), "open-documents")
 
-    def prefixes(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+    def prefixes(self, texts: DataFrame, members: DataFrame) -> DataFrame:
         """(``token``, ``pos``, ``id``, ``n``, ``label``, ``weight``): the rarest shingles of every member, by one order for all.
 
         Two sets of similarity t share t of the larger one, so with n shingles each the first n - tn + 1 of both in any
@@ -259,8 +301,8 @@ class NearDuplicates:
         others were copied from have the largest.
         """
         k, least = self.shingle, self.similarity
-        named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
-        texts = cut(named.join(members, "doc").dropDuplicates(["id"]).select("id", "label", "text"), "open-texts")
+        spark = texts.sparkSession
+        texts = cut(texts.select("doc", "text").join(members, "doc").dropDuplicates(["id"]).select("id", "label", "text"), "open-texts")
         share = max(1, texts.count() // self.sample)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +315,7 @@ class NearDuplicates:
         often = sampled.groupBy("token").agg(F.sum("times").alias("times")).filter("times > 2").orderBy(F.desc("times"), "token").limit(self.known).toArrow()
         keys, times = np.asarray(often["token"].to_numpy(), np.int64), np.asarray(often["times"].to_numpy(), np.int64)
         at = np.argsort(keys)
-        shared = docs.sparkSession.sparkContext.broadcast((keys[at], times[at]))
+        shared = spark.sparkContext.broadcast((keys[at], times[at]))
 
         @F.pandas_udf("tokens array<bigint>, n int, weight double")
         def rarest(texts: pd.Series) -> pd.DataFrame:
@@ -293,6 +335,11 @@ class NearDuplicates:
         rows = texts.select("id", "label", rarest("text").alias("s"))
         return cut(rows.select(F.posexplode("s.tokens").alias("pos", "token"), "id", "s.n", "s.weight", "label"), "prefixes")
 
+    def open_blocks(self, index: DataFrame) -> DataFrame:
+        """``index`` without the blocks of one group. Groups only grow, so such a block never has two of them later."""
+        groups = index.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return index.join(cut(groups.filter("lo <> hi").select("token"), "open-tokens"), "token", "left_semi")
+
     def block_centres(self, index: DataFrame) -> DataFrame:
         """(``i``, ``j``): each document with the most central of its blocks where the two are in different groups."""
         central = F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "n", "label")).alias("f")
@@ -327,9 +374,9 @@ class NearDuplicates:
         met = met.select(F.col("c_l").alias("a"), F.col("c").alias("b"), (t - F.col("radius_l") - F.col("radius")).alias("need"))
         return met.distinct()
 
-    def ball_links(self, docs: DataFrame, index: DataFrame, balls: DataFrame, pairs: DataFrame) -> DataFrame:
+    def ball_links(self, texts: DataFrame, index: DataFrame, balls: DataFrame, pairs: DataFrame) -> DataFrame:
         """(``u``, ``v``, ``s``): the links between members of the balls in ``pairs``."""
-        close = cut(self.verified(docs, pairs), "close-balls").select(F.col("v").alias("a"), F.col("u").alias("b"), "s", "need")
+        close = cut(self.verified(texts, pairs), "close-balls").select(F.col("v").alias("a"), F.col("u").alias("b"), "s", "need")
         settled = close.filter(F.col("need") >= self.similarity).select(F.col("b").alias("u"), F.col("a").alias("v"), "s")
         # members meet in their blocks, at distances from the centres and with sizes and places that allow a link
         open_ = close.filter(F.col("need") < self.similarity).select("a", "b", "s")
@@ -339,7 +386,7 @@ class NearDuplicates:
         both = both.filter(self._sized("n_a", "n_b") & self._enough(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), F.col("n_a") + F.col("n_b")))
         both = both.filter(F.col("away_a") + F.col("away_b") + 1e-9 >= self.similarity - F.col("s"))
         inner = both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
-        return settled.unionByName(self.verified(docs, cut(inner, "member-pairs")).select("u", "v", "s"))
+        return settled.unionByName(self.verified(texts, cut(inner, "member-pairs")).select("u", "v", "s"))
 
     def _enough(self, rest, sizes):
         """Whether the overlap of two similar sets fits behind the first shingle that they share."""
@@ -349,31 +396,44 @@ class NearDuplicates:
         """(``u``, ``v``, ``s``), u > v: verified links between row names that connect all members of each group."""
         spark = docs.sparkSession
         classes = distil(spark, lambda: self.classes(self.sketches(docs)), "classes")
-        found = distil(spark, lambda: self.verified(docs, self.centres(classes)).select("u", "v", "s"), "centre-links")
+        texts = self.texts(docs, classes)
+        found = distil(spark, lambda: self.verified(texts, self.centres(classes)).select("u", "v", "s"), "centre-links")
         members = distil(spark, lambda: self.mixed(classes, found), "members")
         if members.isEmpty():
             return found
-        index = distil(spark, lambda: self.prefixes(docs, members), "index")
+        index = distil(spark, lambda: self.open_blocks(self.prefixes(texts, members)), "index")
         names = members.select("id", "doc")
 
         def central() -> DataFrame:
             pairs = self.block_centres(index).join(names.toDF("i", "x"), "i").join(names.toDF("j", "y"), "j")
             pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "block-pairs")
-            return found.unionByName(self.verified(docs, pairs).select("u", "v", "s")).distinct()
+            return found.unionByName(self.verified(texts, pairs).select("u", "v", "s")).distinct()
 
         more = distil(spark, central, "links-so-far")
         balls = distil(spark, lambda: self.balls(members, more), "balls")
         pairs = distil(spark, lambda: self.ball_pairs(index, balls), "ball-pairs")
-        return more.unionByName(distil(spark, lambda: self.ball_links(docs, index, balls, pairs), "ball-links"))
+        return more.unionByName(distil(spark, lambda: self.ball_links(texts, index, balls, pairs), "ball-links"))
+
+    def possible(self, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Those ``pairs`` (``a``, ``b``, ``need``) whose bitmaps allow the similarity ``need``."""
 
-    def verified(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+        @F.pandas_udf("double")
+        def bound(n: pd.Series, left: pd.Series, m: pd.Series, right: pd.Series) -> pd.Series:
+            return pd.Series([similarity_bound(*x) for x in zip(n, left, m, right)], dtype="float64")
+
+        outlines = texts.select("doc", "n", "bits")
+        both = pairs.join(outlines.toDF("b", "nb", "bb"), "b").join(outlines.toDF("a", "na", "ba"), "a")
+        most = bound.asNondeterministic()("na", "ba", "nb", "bb").alias("most")
+        return cut(both.select("a", "b", "need", most).filter(F.col("most") + 1e-12 >= F.col("need")).drop("most"), "possible-pairs")
+
+    def verified(self, texts: DataFrame, pairs: DataFrame) -> DataFrame:
         """(``u``, ``v``, ``s``, ``need``) of those ``pairs`` (``a``, ``b``) whose whole shingle sets are as similar as ``need``, the threshold if it is absent."""
         if "need" not in pairs.columns:
             pairs = pairs.withColumn("need", F.lit(self.similarity))
+        pairs = self.possible(texts, pairs)
         involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        named = keyed(docs).select(F.struct("_r1", "_r2").alias("doc"), "text")
-        # all texts are shuffled once; only those of candidates travel on
-        texts = cut(named.join(involved, "doc", "left_semi").dropDuplicates(["doc"]), "candidate-texts")
+        # only texts of candidates travel
+        texts = cut(texts.select("doc", "text").join(involved, "doc", "left_semi"), "candidate-texts")
         k = self.shingle
 
         @F.pandas_udf("double")

@@ -10,11 +10,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from qaspark.llm import simhash
 from qaspark.llm.decontaminate import BlockIndex, Decontamination
 from qaspark.llm.exact import StreamingExactDedup
 from qaspark.llm.packing import BestFitPacking, Evolution, WordTokens
 from qaspark.llm.queries import QUERIES, tokenizer_path
-from qaspark.llm.simhash import NearDuplicates, SimHashDedup, components, mask_tables, shingle_hashes
+from qaspark.llm.simhash import NearDuplicates, SimHashDedup, components, mask_tables, shingle_bits, shingle_hashes, similarity_bound
 from qaspark.llm.toxicity import Toxicity, maximal_segments
 
 SMALL = "/root/testdata/sf0.001"
@@ -182,6 +183,48 @@ def test_near_copies_behind_a_smaller_member_of_their_class(spark):
     assert {r["_r1"] for r in NearDuplicates().dropped(docs).collect()} == copies
 
 
+def test_bitmaps_bound_the_similarity():
+    """The bound is never below the similarity, also between sizes and beyond the largest bitmap, and far below the threshold for unlike sets."""
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((1, 1, 1), (1, 1, 0), (300, 300, 0), (300, 290, 150), (300, 40, 40), (900, 1100, 880), (30_000, 32_000, 29_000)):
+        both = np.unique(rng.integers(0, 2**63, n + m - shared, dtype=np.uint64))
+        left, right = both[:n], both[n - shared :]
+        most = similarity_bound(n, shingle_bits(left), m, shingle_bits(right))
+        assert shared / len(both) <= most <= 1
+        assert most == similarity_bound(m, shingle_bits(right), n, shingle_bits(left))
+        if shared * 2 <= min(n, m) and n > 1:
+            assert most < 0.6
+
+
+def test_texts_of_a_class_are_read_once_and_only_like_pairs_meet(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(12):  # 20 documents that share a passage only, and a near copy of the first
+        passage = [f"p{g}w{i}" for i in range(60)]
+        own = [passage + [f"o{g}x{j}w{i}" for i in range(120)] for j in range(20)]
+        texts += [" ".join(w) for w in own] + [" ".join(edited(own[0], rng, 0.005))]
+    reads, written = [], {}
+    real_keyed, real_cut = simhash.keyed, simhash.cut
+
+    def noted(df, label):
+        out = real_cut(df, label)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "keyed", lambda docs: reads.append(1) or real_keyed(docs))
+    monkeypatch.setattr(simhash, "cut", noted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["_r1"] for r in NearDuplicates().dropped(docs).collect()} == {21 * g + 20 for g in range(12)}
+    assert len(reads) == 2  # fingerprints, then the texts of shared classes
+    assert written["centre-pairs"] > 5 * 12
+    assert written["candidate-texts"] <= 2 * 24
+
+
+def test_blocks_of_one_group_are_left_out(spark):
+    index = spark.createDataFrame([(1, 10, 7), (1, 11, 7), (2, 10, 7), (2, 12, 8), (3, 12, 8)], "token bigint, id bigint, label bigint")
+    assert sorted(map(tuple, NearDuplicates().open_blocks(index).collect())) == [(2, 10, 7), (2, 12, 8)]
+
+
 def test_a_large_group_meets_others_as_one_ball(spark):
     near = NearDuplicates()
     members = [(i, 0 if i < 90 else i, 0 if i < 90 else i, 0.0 if i in (0, *range(90, 95)) else 0.15) for i in range(95)]
