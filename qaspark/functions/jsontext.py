@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from qaspark.functions.text import WS, let, py_strip
+from qaspark.functions.text import WS, let, py_strip, strip_bound
+
+
+# Fixed value: what JSON itself allows around a value.
+JSON_SPACES = " \t\n\r"
+# Fixed value: first characters of JSON values.
+JSON_BEGINS = '{["-0123456789tfn'
 
 
 def _without_fence(text: Column, *openings: str) -> Column:
@@ -45,11 +51,12 @@ def strict_json(c: Column) -> Column:
 
     The parser itself stops at the end of the first value. So the text is parsed as the only member of
     an object, which settles its grammar, and counted as the elements of an array: a text that closes
-    its surroundings early or brings a second value gives another count than one.
+    its surroundings early or brings a second value gives another count than one. Chatter is told by its first character.
     """
 
     def parse(text: Column) -> Column:
-        alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+        begins = F.left(F.ltrim(text, F.lit(JSON_SPACES)), F.lit(1)).isin(*JSON_BEGINS)
+        alone = begins & (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
         as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
         return F.when(alone, F.try_variant_get(as_member, "$.v", "variant"))
 
@@ -96,10 +103,15 @@ def _shown(plain: Column, v: Column) -> Column:
     return F.when(plain.isNull() & F.is_variant_null(v), F.lit("None")).when(boolean, F.initcap(plain)).otherwise(plain)
 
 
+def is_told(plain: Column) -> Column:
+    """Whether a value's plain text is its ``as_text``: absent and null look alike, and so do booleans and the same words as text."""
+    return F.coalesce(~plain.isin("true", "false"), F.lit(False))
+
+
 def text_of(v: Column, key: str) -> Column:
     """Stripped text of a member; a missing member is empty, an explicit null is the word None."""
     plain = F.try_variant_get(v, f"$.{key}", "string")
-    return let(plain, lambda p: py_strip(F.coalesce(_shown(p, member(v, key)), F.lit(""))))
+    return let(F.coalesce(let(plain, lambda p: _shown(p, member(v, key))), F.lit("")), strip_bound)
 
 
 def _filled_text(v: Column) -> Column:

@@ -47,6 +47,16 @@ def py_strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def strip_bound(v: Column) -> Column:
+    """``py_strip`` of a value that costs nothing to read (a column or a lambda variable).
+
+    Trimming walks over the whole text, and most texts have nothing to trim: their first and last bytes are visible ASCII.
+    """
+    last = F.substr(v.cast("binary"), F.lit(-1), F.lit(1))
+    bare = (v >= "!") & (v < "\x7f") & (last >= F.lit(b"!")) & (last < F.lit(b"\x7f"))
+    return F.when(bare, v).otherwise(py_strip(v))
+
+
 def py_lower_strip(c: Column) -> Column:
     return F.lower(py_strip(c))
 
@@ -81,8 +91,10 @@ def special_char_ratio(c: Column) -> Column:
 
 
 def count_char(c: Column, char: str) -> Column:
-    """Occurrences of a one-character string, without a regular expression."""
-    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+    """Occurrences of a one-character string, without a regular expression; bytes are counted, since characters cost a pass."""
+    removed = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(char), F.lit("")))
+    width = len(char.encode())
+    return removed if width == 1 else (removed / width).cast("int")
 
 
 def normalize_answer(c: Column) -> Column:

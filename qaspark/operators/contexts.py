@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from qaspark.functions.text import count_char, let, py_strip, special_char_ratio
+from qaspark.functions.text import count_char, let, py_strip, special_char_ratio, strip_bound
 from qaspark.operators.base import require
 from qaspark.operators.language import normalize_language
 
@@ -35,7 +35,7 @@ def passes_gate(text: Column, min_length: int = 100, max_length: int = 200_000)
 
 def sentences(text: Column, language: str) -> Column:
     stop = r"\." if language == "en" else "。"
-    return F.filter(F.transform(F.split(text, stop), py_strip), lambda s: F.length(s) >= MIN_SENTENCE)
+    return F.filter(F.transform(F.split(text, stop), strip_bound), lambda s: F.length(s) >= MIN_SENTENCE)
 
 
 def info_pairs(sents: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaspark.functions import jsontext as J
-from qaspark.functions.text import complexity, let, py_lower_strip, py_strip
+from qaspark.functions.text import complexity, let, py_lower_strip, py_strip, strip_bound
 from qaspark.operators import prompts as P
 from qaspark.operators.base import LimitPerChunk, entries, first_per_group, fold_in_blocks, require
 from qaspark.operators.contexts import context_language
@@ -17,6 +17,10 @@ from qaspark.operators.language import normalize_language
 # What a strictly valid object must have, beside filled texts. No member can then be absent.
 MIN_STEPS = 2
 MIN_FACTS = 2
+# What is read of an object, in the forms that most responses have.
+PAIR = "struct<question:string,reasoning_steps:array<struct<step:string>>,answer:string,supporting_facts:array<string>,type:string>"
+# Up to this size a list of pairs is compared without sorting.
+FEW = 32
 
 
 def reasoning_steps(value: Column) -> Column:
@@ -31,13 +35,25 @@ def reasoning_steps(value: Column) -> Column:
 
 
 def _normal(x: Column) -> Column:
-    return F.struct(
-        J.text_of(x, "question").alias("question"),
-        reasoning_steps(J.member(x, "reasoning_steps")).alias("reasoning_steps"),
-        J.text_of(x, "answer").alias("answer"),
-        J.text_items(J.member(x, "supporting_facts")).alias("supporting_facts"),
-        J.text_of(x, "type").alias("type"),
-    )
+    """The fields of an object, all read in one cast. Only what the cast cannot tell is looked up by its name."""
+
+    def fields(r: Column) -> Column:
+        def text(key: str) -> Column:
+            return F.when(J.is_told(r[key]), strip_bound(r[key])).otherwise(J.text_of(x, key))
+
+        steps = F.filter(F.transform(r.reasoning_steps, lambda s: F.struct(strip_bound(s.step).alias("step"))), lambda s: s.step != "")
+        facts = F.filter(F.transform(r.supporting_facts, strip_bound), lambda t: t != "")
+        steps_told = F.forall(r.reasoning_steps, lambda s: J.is_told(s.step))
+        facts_told = F.forall(r.supporting_facts, J.is_told)
+        return F.struct(
+            text("question").alias("question"),
+            F.when(steps_told, steps).otherwise(reasoning_steps(J.member(x, "reasoning_steps"))).alias("reasoning_steps"),
+            text("answer").alias("answer"),
+            F.when(facts_told, facts).otherwise(J.text_items(J.member(x, "supporting_facts"))).alias("supporting_facts"),
+            text("type").alias("type"),
+        )
+
+    return let(F.try_variant_get(x, "$", PAIR), fields)
 
 
 def _is_valid(qa: Column, strict: bool) -> Column:
@@ -60,7 +76,7 @@ def valid_pairs(objects: Column, strict: bool) -> Column:
 def first_by_question(pairs: Column) -> Column:
     """First pair of every lower-cased question, in order, inside one response: sorted by question and place, then by place.
 
-    Most responses have one pair, and nothing to compare.
+    Most responses have one pair, and nothing to compare; the first place of a question in a few is found without sorting.
     """
     keyed = F.transform(pairs, lambda p, i: F.struct(py_lower_strip(p.question).alias("k"), i.alias("i"), p.alias("p")))
     firsts = let(
@@ -68,51 +84,79 @@ def first_by_question(pairs: Column) -> Column:
         lambda ks: F.filter(ks, lambda x, j: (j == 0) | (F.get(ks, j - 1).k != x.k)),
     )
     placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x.i.alias("i"), x.p.alias("p"))))
-    return F.when(F.size(pairs) <= 1, pairs).otherwise(F.transform(placed, lambda x: x.p))
+    few = let(
+        F.transform(pairs, lambda p: py_lower_strip(p.question)),
+        lambda ks: F.filter(pairs, lambda p, i: F.array_position(ks, F.get(ks, i)) == i + 1),
+    )
+    return F.when(F.size(pairs) <= 1, pairs).when(F.size(pairs) <= FEW, few).otherwise(F.transform(placed, lambda x: x.p))
 
 
 def braced_objects(response: Column) -> Column:
     """Top-level brace groups of a text, by counting braces only.
 
     A stray closing brace makes the count negative, after which later groups are not seen; braces in
-    quoted text count as well. A fold over brace tokens, inside the JVM.
+    quoted text count as well. A fold over the pieces between closing braces, inside the JVM: of a piece only
+    the number of its opening braces matters.
     """
     start = F.struct(
-        F.array().cast("array<struct<i:int,n:int>>").alias("done"), F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("opened")
+        F.array().cast("array<struct<i:int,nth:int,last:int>>").alias("done"),
+        F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("nth"),
     )
 
-    def step(acc: Column, token: Column) -> Column:
-        opens, closes = token == "{", token == "}"
-        depth = acc.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
-        seen = acc.seen + 1
-        ends = closes & (depth == 0) & (acc.opened > 0)
-        group = F.struct(acc.opened.alias("i"), (seen - acc.opened + 1).alias("n"))
+    def step(acc: Column, opens: Column) -> Column:
+        depth = acc.depth + opens
+        begins = (acc.depth <= 0) & (depth > 0)
+        i, nth = F.when(begins, acc.at).otherwise(acc.i), F.when(begins, 1 - acc.depth).otherwise(acc.nth)
+        group = F.struct(i.alias("i"), nth.alias("nth"), acc.at.alias("last"))
         return F.struct(
-            F.when(ends, F.concat(acc.done, F.array(group))).otherwise(acc.done).alias("done"),
-            depth.alias("depth"),
-            seen.alias("seen"),
-            F.when(opens & (acc.depth == 0), seen).when(ends, 0).otherwise(acc.opened).alias("opened"),
+            F.when(depth == 1, F.concat(acc.done, F.array(group))).otherwise(acc.done).alias("done"),
+            (depth - 1).alias("depth"),
+            (acc.at + 1).alias("at"),
+            i.alias("i"),
+            nth.alias("nth"),
         )
 
-    # the fold finds token ranges, the texts are joined once
-    tokens = F.regexp_extract_all(response, F.lit(r"[{}]|[^{}]+"), 0)
-    return let(tokens, lambda ts: F.transform(fold_in_blocks(ts, start, step).done, lambda g: F.array_join(F.slice(ts, g.i, g.n), "")))
+    def groups(pieces: Column, opens: Column) -> Column:
+        # the fold finds ranges of pieces and the brace of the first one that opens, the texts are joined once
+        def joined(g: Column) -> Column:
+            head = F.call_function("substring_index", F.get(pieces, g.i - 1), F.lit("{"), g.nth - 1 - F.get(opens, g.i - 1))
+            more = F.concat(F.lit("}"), F.array_join(F.slice(pieces, g.i + 1, g.last - g.i), "}"))
+            return F.concat(F.lit("{"), head, F.when(g.last > g.i, more).otherwise(F.lit("")), F.lit("}"))
+
+        closed = F.slice(opens, 1, F.size(opens) - 1)
+        return F.transform(fold_in_blocks(closed, start, step).done, joined)
+
+    # what lies between closing braces, once with and once without the text
+    opens = F.transform(F.split(F.regexp_replace(response, r"[^{}]+", ""), r"\}"), F.octet_length)
+    return let(F.split(response, r"\}"), lambda pieces: let(opens, lambda n: groups(pieces, n)))
 
 
 def with_multihop_pairs(df: DataFrame, strict: bool = True, to: str = "pairs") -> DataFrame:
     """Add the valid pairs of ``response``: the whole text as JSON first, else its brace groups."""
     whole = df.withColumn("_v", J.strict_json(F.col("response")))
     listed = F.when(J.is_object(F.col("_v")), F.array("_v")).otherwise(J.items(F.col("_v")))
-    with_question = F.filter(listed, lambda x: J.is_object(x) & J.member(x, "question").isNotNull())
-    direct = whole.withColumn("_direct", valid_pairs(with_question, strict))
-    scanned = F.filter(F.transform(braced_objects(F.col("response")), J.strict_json), J.is_object)
+    direct = whole.withColumn("_direct", valid_pairs(listed, strict))
     # the brace scan runs only for rows whose whole text gave nothing
-    found = F.when(F.size("_direct") > 0, F.col("_direct")).otherwise(valid_pairs(scanned, strict))
+    found = F.when(F.size("_direct") > 0, F.col("_direct")).otherwise(_scanned_pairs(F.col("response"), F.col("_v"), strict))
     return direct.withColumn("_found", found).withColumn(to, first_by_question(F.col("_found"))).drop(
         "_v", "_direct", "_found"
     )
 
 
+def _scanned_pairs(response: Column, v: Column, strict: bool) -> Column:
+    """Valid pairs of the brace groups. Groups that cannot give one are not parsed: those that name no question
+    (in plain letters or by escapes), and the whole text where it is an object that gave none.
+    """
+    refused = F.when(J.is_object(v), F.btrim(response, F.lit(J.JSON_SPACES)))
+
+    def named(groups: Column, known: Column) -> Column:
+        return F.filter(groups, lambda g: (F.contains(g, F.lit("question")) | F.contains(g, F.lit("\\"))) & ~g.eqNullSafe(known))
+
+    groups = let(refused, lambda known: named(braced_objects(response), known))
+    scanned = F.filter(F.transform(groups, J.strict_json), J.is_object)
+    return valid_pairs(scanned, strict)
+
+
 @dataclass(frozen=True)
 class FirstByQuestion:
     """First row of every question inside its group, compared in lower case; blank questions are dropped.

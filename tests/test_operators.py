@@ -259,6 +259,38 @@ def test_multihop_brace_scan(spark):
     assert hops(spark, "") == hops(spark, "{{{") == []
 
 
+def test_multihop_reads_fields_in_one_cast_and_counts_pieces(spark):
+    """A response is not taken to tokens, and an object is not asked for one member after the other."""
+    df = spark.createDataFrame([(json.dumps(HOP),)], "response string").repartition(1)
+    text = with_multihop_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructField(reasoning_steps,ArrayType(StructType" in text and "regexp_extract_all" not in text
+
+
+def test_multihop_odd_values_and_many_pairs(spark):
+    odd = {"question": True, "reasoning_steps": [{"step": None}, {"step": "true"}, 1.50, {"x": 1}, False], "answer": None, "supporting_facts": [None, 7, "\u3000f "], "type": " t\u00a0"}
+    names = [f"Q{i % 45}" if i % 2 else f"q{i % 45} " for i in range(90)]
+    sizes = (3, 32, 33, 90)
+    texts = [json.dumps(odd), *(json.dumps([{**HOP, "question": q} for q in names[:n]]) for n in sizes)]
+    # a name in escapes is a name, a brace in a text of a refused object may begin a group
+    texts += ["x " + json.dumps(HOP).replace('"question"', '"\\u0071uestion"'), '{"a": "}", "b": ' + json.dumps(HOP) + "}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, response string").repartition(1)
+    found = [r.pairs for r in with_multihop_pairs(df).orderBy("i").collect()]
+    (qa,) = found[0]
+    assert (qa.question, qa.answer, qa.type) == ("True", "None", "t")
+    assert [s.step for s in qa.reasoning_steps] == ["None", "true", "1.5", "False"] and qa.supporting_facts == ["None", "7", "f"]
+    for n, pairs in zip(sizes, found[1:5]):
+        assert [p.question.lower() for p in pairs] == [f"q{i}" for i in range(min(n, 45))]
+    assert [len(pairs) for pairs in found[5:]] == [1, 1]
+
+
+def test_braces_after_a_stray_one(spark):
+    from qaspark.operators.multihop import braced_objects
+
+    texts = ["a{b}{c{d}}e", "} {x{y}} {z}", "}}{{{p}q}}", "{{u}", "}{{v}w}{", "", "}", "{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", braced_objects(F.col("t")).alias("g"))
+    assert [r.g for r in rows.orderBy("i").collect()] == [["{b}", "{c{d}}"], ["{y}"], ["{p}"], [], ["{v}"], [], [], ["{}"]]
+
+
 def test_multihop_limit_and_dedup(spark):
     contexts = spark.createDataFrame(
         [("d", 0, i, f"c{i}") for i in range(5)], "source_md string, chunk_index int, info_pair_index int, context string"
