@@ -23,11 +23,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaspark.operators.base import first_per_group
-from qaspark.operators.exchange import ROW_KEY, TextStore, row_key
-from qaspark.session import cut
+from qaspark.operators.exchange import BLOCK, HASH, PLACE, ROW_KEY, PlacedResponses, TextStore, at_place, block_of, row_key
+from qaspark.session import PACKED, cut, cut_in_buckets, drop_tables, scratch, shuffles_dropped
 
 
 Attach = Callable[[DataFrame], DataFrame]
+# What an operator reads of responses: columns added to a table that has ``response``.
+Read = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Bare:
+    """Answered rows without the texts that lie in a store, and ``attach``, which brings them to rows made of these.
+
+    Where ``again`` is given, what was read of a response need not travel either: rows that keep the columns ``carried`` get it back from ``again``.
+    """
+
+    rows: DataFrame
+    attach: Attach
+    carried: tuple[str, ...] = ()
+    again: Attach | None = None
 
 
 @dataclass(frozen=True)
@@ -47,8 +62,8 @@ class Generator(Protocol):
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         """``df`` with one response column per ask; asks of a row do not depend on each other."""
 
-    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
-        """As ``ask``, but texts that lie in a store stay there, and what brings them to rows made of the result."""
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str, read: Read) -> Bare:
+        """As ``ask``, with what ``read`` adds, but texts that lie in a store stay there."""
 
     def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         """A generator that keeps the columns ``texts`` (name to the column it repeats) of ``df`` out of its joins, and the rows to go on with.
@@ -69,8 +84,8 @@ class ExpressionGenerator:
     def ask_all(self, df: DataFrame, asks: Sequence[Ask]) -> DataFrame:
         return df.withColumns({a.to: self._answer(a.stage, a.prompt) for a in asks})
 
-    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
-        return self.ask(df, stage, prompt, system), lambda rows: rows
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str, read: Read) -> Bare:
+        return Bare(read(self.ask(df, stage, prompt, system)), lambda rows: rows)
 
     def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         return self, df
@@ -103,6 +118,9 @@ class TableGenerator:
     The responses of a stage are reduced to one row per hash (combined before the shuffle) and written
     once. The join then reads a plain table on that side, which lets AQE split the partition of a prompt
     that a third of all rows ask; it cannot do so above an aggregate.
+
+    Responses with places (``PlacedResponses``) stay where they are: ``ask_bare`` moves hashes and places, reads each response once
+    and gives what was read to the rows that come to its place.
     """
 
     responses: DataFrame
@@ -112,7 +130,8 @@ class TableGenerator:
 
     def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         marked = df.withColumn(ROW_KEY, row_key(df))
-        return replace(self, texts=TextStore.of(marked, texts, *derived)), marked
+        store = TextStore.of(marked, texts, *derived)
+        return replace(self, texts=store), store.rows(marked)
 
     def _stored(self, stage: str) -> DataFrame:
         if stage not in self._by_stage:
@@ -132,8 +151,40 @@ class TableGenerator:
         rows, attach = self._bare(df, asks)
         return attach(rows).select(*df.columns, *[a.to for a in asks])
 
-    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
-        return self._bare(df.drop("response"), [Ask(stage, prompt, system, "response")])
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str, read: Read) -> Bare:
+        ask = Ask(stage, prompt, system, "response")
+        if self.unique and PLACE in self.responses.columns and store_of(self.texts, df):
+            return self._placed(df.drop("response"), ask, read)
+        rows, attach = self._bare(df.drop("response"), [ask])
+        return Bare(read(rows), attach)
+
+    def _placed(self, df: DataFrame, ask: Ask, read: Read) -> Bare:
+        """Rows find the places of their responses by the hash of their prompt and go there; rows without a response have null in what is read."""
+        held = self.texts.held(df)
+        responses = self.responses.filter(F.col("stage") == ask.stage)
+        own = F.to_binary(hash_or_own(F.lit(None).cast("string")), F.lit("utf-8"))
+        # keys travel in bytes, half as long as their text; of a hash as many bits as a row key has
+        told = lambda h: F.substring(F.unhex(h), 1, 16)
+        hashed = F.coalesce(told(prompt_hash(ask.prompt, ask.system)), own)
+        rows = self.texts.detach(df.withColumns({HASH: hashed, ROW_KEY: F.unhex(ROW_KEY)}))
+        index = responses.select(told(F.col("prompt_hash")).alias(HASH), PLACE)
+        with scratch() as used, shuffles_dropped(df.sparkSession):
+            found = cut(rows.join(index, HASH, "left").drop(HASH), f"found-{ask.stage}", PACKED)
+        none = -1 - F.monotonically_increasing_id()
+        placed = cut_in_buckets(found.withColumn(BLOCK, F.coalesce(block_of(F.col(PLACE)), none)), f"asked-{ask.stage}", BLOCK, [BLOCK, PLACE])
+        drop_tables(df.sparkSession, used)
+        written = responses.select("response", PLACE, BLOCK)
+        asked = at_place(placed, read(written).drop("response"), "left")
+
+        def again(kept: DataFrame) -> DataFrame:
+            rows = cut_in_buckets(kept.withColumn(BLOCK, block_of(F.col(PLACE))), f"kept-{ask.stage}", BLOCK, [BLOCK, PLACE])
+            wanted = at_place(written, rows.select(PLACE, BLOCK), "left_semi")
+            return at_place(rows, read(wanted).drop("response"), "left").drop(PLACE, BLOCK)
+
+        def attach(rows: DataFrame) -> DataFrame:
+            return self.texts.attach(rows.withColumn(ROW_KEY, F.hex(ROW_KEY)), held, if_read=True)
+
+        return Bare(asked, attach, (PLACE,), again)
 
     def _bare(self, df: DataFrame, asks: Sequence[Ask]) -> tuple[DataFrame, Attach]:
         texts = store_of(self.texts, df)
@@ -210,11 +261,11 @@ class CallableGenerator:
         filled = rows.withColumns({f"_a{i}": F.coalesce(f"_a{i}", nothing) for i in range(len(asks))}).drop(*hashes)
         return filled, lambda found: self.texts.attach(found, held)
 
-    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str, read: Read) -> Bare:
         if not store_of(self.texts, df):
-            return self.ask(df, stage, prompt, system), lambda rows: rows
+            return Bare(read(self.ask(df, stage, prompt, system)), lambda rows: rows)
         rows, attach = self._once(df.drop("response", "gen_status", "gen_error"), [Ask(stage, prompt, system, "response")])
-        return rows.select(*[c for c in rows.columns if c != "_a0"], "_a0.*"), attach
+        return Bare(read(rows.select(*[c for c in rows.columns if c != "_a0"], "_a0.*")), attach)
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
         if store_of(self.texts, df):
@@ -245,24 +296,27 @@ class RecordingGenerator:
     """Passes on to ``inner`` and keeps what was asked: ``recorded()`` is a response table for ``TableGenerator``.
 
     Over a text store (its own where ``inner`` has none) the narrow rows of a call are written with their answers, so a later call
-    goes on from them and no call is computed again for each one after it. ``ask_bare``, the only call of its flow, writes none.
+    goes on from them and no call is computed again for each one after it. ``ask_bare``, the only call of its flow, writes none;
+    a flow with derived texts has this one call and needs no store of its own here. Its responses get places (``PlacedResponses``).
     """
 
     inner: Generator
     texts: TextStore | None = None
     _parts: list[DataFrame] = field(default_factory=list, repr=False, compare=False)
+    _bare: list[DataFrame] = field(default_factory=list, repr=False, compare=False)
 
     def over(self, df: DataFrame, texts: Mapping[str, str], *derived) -> tuple[Generator, DataFrame]:
         inner, rows = self.inner.over(df, texts, *derived)
         if ROW_KEY in rows.columns:
             return replace(self, inner=inner), rows
         marked = rows.withColumn(ROW_KEY, row_key(rows))
-        return replace(self, inner=inner, texts=TextStore.of(marked, texts, *derived)), marked
+        store = None if derived else TextStore.of(marked, texts)
+        return replace(self, inner=inner, texts=store), marked
 
-    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> tuple[DataFrame, Attach]:
+    def ask_bare(self, df: DataFrame, stage: str, prompt: Column, system: str, read: Read) -> Bare:
         answered = self.inner.ask(df, stage, prompt, system)
-        self._keep(answered, [(stage, prompt_hash(prompt, system), "response")])
-        return answered, lambda rows: rows
+        self._bare.append(self._told(answered, stage, prompt_hash(prompt, system), "response"))
+        return Bare(read(answered), lambda rows: rows)
 
     def ask(self, df: DataFrame, stage: str, prompt: Column, system: str = "") -> DataFrame:
         return self._whole(self.inner.ask(df, stage, prompt, system), [Ask(stage, prompt, system, "response")])
@@ -284,12 +338,16 @@ class RecordingGenerator:
         return rows.drop(*hashes), lambda found: texts.attach(found, held) if texts else found
 
     def _keep(self, rows: DataFrame, told: Sequence[tuple[str, Column, str]]) -> None:
-        for stage, hashed, to in told:
-            part = rows.select(F.lit(stage).alias("stage"), hashed.alias("prompt_hash"), F.col(to).alias("response"))
-            self._parts.append(part.filter("prompt_hash IS NOT NULL"))
+        self._parts.extend(self._told(rows, *each) for each in told)
+
+    def _told(self, rows: DataFrame, stage: str, hashed: Column, to: str) -> DataFrame:
+        part = rows.select(F.lit(stage).alias("stage"), hashed.alias("prompt_hash"), F.col(to).alias("response"))
+        return part.filter("prompt_hash IS NOT NULL")
 
     def recorded(self) -> DataFrame:
-        """(``stage``, ``prompt_hash``, ``response``), one row for each prompt of a stage, written."""
-        union = reduce(DataFrame.unionByName, self._parts)
+        """(``stage``, ``prompt_hash``, ``response``), one row for each prompt of a stage, written. Those of ``ask_bare`` alone have places too."""
+        union = reduce(DataFrame.unionByName, [*self._parts, *self._bare])
+        if not self._parts:
+            return PlacedResponses.of(union)
         once = union.groupBy("stage", "prompt_hash").agg(F.min("response").alias("response"))
         return cut(once, "recorded-responses")

@@ -189,31 +189,38 @@ class MultiHopQA:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         language = context_language(normalize_language(self.target_language))
-        asked, attach = self.generator.ask_bare(
+        bare = self.generator.ask_bare(
             df,
             "multihop",
             P.MULTIHOP[language].render(context=F.col("context")),
             P.multihop_system(language, self.system_prompt),
+            lambda answered: with_multihop_pairs(answered, self.strict_validation, "_pairs"),
         )
-        bare = [c for c in df.columns if c in asked.columns]
-        rows = (
-            with_multihop_pairs(asked, self.strict_validation, "_pairs")
-            .select(*bare, F.posexplode(entries("_pairs")).alias("_j", "_p"))
-            .select(
-                *[c for c in bare if c != "rec_ord"],
-                F.array("info_pair_index", "_j").alias("rec_ord"),
-                F.col("_p.question").alias("question"),
-                F.col("_p.answer").alias("answer"),
-                F.lit("multihop").alias("hop_type"),
-                F.col("_p.reasoning_steps").alias("reasoning_steps"),
-                F.col("_p.supporting_facts").alias("supporting_facts"),
-                F.col("_p.type").alias("qa_type"),
-            )
-        )
+        asked = bare.rows
+        columns = [c for c in df.columns if c in asked.columns and c != "rec_ord"]
+        place = F.array("info_pair_index", "_j").alias("rec_ord")
+        told = [
+            F.col("_p.question").alias("question"),
+            F.col("_p.answer").alias("answer"),
+            F.lit("multihop").alias("hop_type"),
+            F.col("_p.reasoning_steps").alias("reasoning_steps"),
+            F.col("_p.supporting_facts").alias("supporting_facts"),
+            F.col("_p.type").alias("qa_type"),
+        ]
+        firsts, limit = FirstByQuestion(), LimitPerChunk(self.num_q)
+        if bare.again is None:
+            each = asked.select(*columns, F.posexplode(entries("_pairs")).alias("_j", "_p"))
+            kept = limit(firsts(each.select(*columns, place, *told)))
+        else:
+            # the question alone decides; the rest is read again at the places of the rows that are kept
+            asks = F.array_compact(F.transform("_pairs", lambda p: p.question))
+            each = asked.select(*columns, *bare.carried, F.posexplode(asks).alias("_j", "question"))
+            some = bare.again(limit(firsts(each.select(*columns, *bare.carried, place, "question")).drop("question")))
+            kept = some.withColumn("_p", F.get("_pairs", F.get("rec_ord", F.lit(1)))).select(*columns, "rec_ord", *told)
         # texts come back to the rows that are kept, where the columns of the contexts come first as before
-        kept = attach(LimitPerChunk(self.num_q)(FirstByQuestion()(rows)))
         first = [c for c in df.columns if c != "rec_ord"]
-        return kept.select(*first, *[c for c in rows.columns if c not in first]).withColumn(
+        rest = [c for c in kept.columns if c not in first]
+        return bare.attach(kept).select(*first, *rest).withColumn(
             "complexity",
             complexity(F.col("reasoning_steps"), F.col("supporting_facts"), F.col("question"), F.col("answer")),
         )

@@ -158,3 +158,81 @@ def test_rows_of_a_called_model_are_computed_once(spark):
     got = generator.ask(marked, "s", F.col("chunk_text")).select("chunk_text", "response").collect()
     assert len(got) == rows.count() == seen.value
     assert all(r["response"] == ("re: " + r["chunk_text"] if r["chunk_text"] is not None else "") for r in got)
+
+
+def multihop_documents(spark, n=3):
+    text = ". ".join(f"Sentence number {i} tells of a thing" for i in range(40)) + "."
+    return spark.createDataFrame([(f"d{i}", text) for i in range(n)] + [("d0", text)], "source_md string, text string")
+
+
+def test_placed_responses_do_not_move(spark):
+    """Only keys, hashes, places and questions are shuffled, in the steps that are written and in what is left to the reader."""
+    from checks.model import model
+    from qaspark.operators import generation
+    from qaspark.plans import qa as flows
+
+    moved, write = {}, generation.cut
+
+    def seen(df, label, *rest):
+        moved[label] = exchanged(df)
+        return write(df, label, *rest)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(generation, "cut", seen)
+            recorder = RecordingGenerator(model("multihop"))
+            stages = flows.markdown_multihop_qa(multihop_documents(spark), recorder, chunk_words=300, language="en")
+            replay = TableGenerator(recorder.recorded(), unique=True)
+            again = flows.markdown_multihop_qa(multihop_documents(spark), replay, chunk_words=300, language="en")
+            rows = again["qa_multihop_generated"].select("source_md", "question", "answer", "reasoning_steps", "rec_ord")
+            moved["rows"] = exchanged(rows)
+            got = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [m for parts in moved.values() for m in parts if re.search(r"response|_stored|reasoning_steps|_pairs|premise|chunk_text", m)]
+    want = stages["qa_multihop_generated"].select("source_md", "question", "answer", "reasoning_steps", "rec_ord").collect()
+    assert got and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_least_response_of_a_prompt_is_recorded_with_its_place(spark):
+    rows = spark.createDataFrame(
+        [("p1", "b"), ("p1", "a"), ("p1", "c"), ("p2", "x"), ("p2", "x"), ("p3", ""), (None, "n")], "p string, r string"
+    ).repartition(3)
+    recorder = RecordingGenerator(ExpressionGenerator({"s": F.col("r")}))
+    for stage in ("s", "s"):
+        recorder.ask_bare(rows, stage, F.col("p"), "sys", lambda answered: answered)
+    recorded = recorder.recorded()
+    want = rows.filter("p IS NOT NULL").groupBy(prompt_hash(F.col("p"), "sys").alias("h")).agg(F.min("r"))
+    assert sorted(map(tuple, recorded.select("prompt_hash", "response").collect())) == sorted(map(tuple, want.collect()))
+    assert recorded.select("_place").distinct().count() == recorded.count() == 3
+
+
+def test_rows_without_a_response_stay(spark):
+    """A prompt that has no stored response, or none at all, has nothing read; the others meet theirs."""
+    rows = chunks(spark)
+    recorder = RecordingGenerator(ExpressionGenerator({"s": F.concat(F.lit("re: "), "chunk_text")}))
+    read = lambda answered: answered.withColumn("said", F.col("response"))
+    recorder.ask_bare(rows.filter("chunk_text <> 'text 4'"), "s", F.col("chunk_text"), "sys", read)
+    generator, marked = TableGenerator(recorder.recorded(), unique=True).over(rows, {"chunk_text": "chunk_text"}, (), None)
+    assert sorted(map(repr, marked.drop(ROW_KEY).select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    bare = generator.ask_bare(marked, "s", F.col("chunk_text"), "sys", read)
+    got = bare.attach(bare.rows).select("source_md", "chunk_index", "chunk_text", "said").collect()
+    said = F.when(F.col("chunk_text") != "text 4", F.concat(F.lit("re: "), "chunk_text"))
+    assert sorted(map(repr, got)) == sorted(map(repr, rows.withColumn("said", said).collect()))
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    import time
+
+    from qaspark.session import SHUFFLE_CLEANUP, cut_in_buckets
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {re.sub(r"^(shuffle_\d+)_.*", r"\1", f) for f in re.findall(r"shuffle_\d+_\S+?\.data", disk.getAllFiles().mkString(" "))}
+    before = names()
+    written = cut_in_buckets(spark.range(1000).withColumn("k", F.col("id") % 7), "numbers", "k", ["k", "id"])
+    until = time.time() + 10
+    while names() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not names() - before
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None and written.count() == 1000
